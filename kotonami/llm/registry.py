@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, mixing, token_counts
+from . import language_id, mixing, token_counts, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -14,6 +14,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op1_source_mixing": mixing.query,
+        "op4_toxicity": toxicity.query,
         "op5_language_id": language_id.query,
         "op8_token_counts": token_counts.query,
     }
