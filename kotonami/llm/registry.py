@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, mixing, token_counts, toxicity
+from . import decontamination, language_id, mixing, token_counts, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -14,8 +14,10 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op1_source_mixing": mixing.query,
+        "op2_warc": warc.query,
         "op4_toxicity": toxicity.query,
         "op5_language_id": language_id.query,
+        "op6_decontamination": decontamination.query,
         "op8_token_counts": token_counts.query,
     }
 
@@ -23,4 +25,6 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_source_mixing": mixing.SQL,
+        "op2_warc": warc.SQL,
+        "op6_decontamination": decontamination.SQL,
     }
