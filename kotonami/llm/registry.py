@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, language_id, mixing, token_counts, toxicity, warc
+from . import decontamination, embedding_dedup, language_id, mixing, token_counts, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +19,7 @@ def queries() -> dict[str, Query]:
         "op5_language_id": language_id.query,
         "op6_decontamination": decontamination.query,
         "op8_token_counts": token_counts.query,
+        "op9_embedding_dedup": embedding_dedup.query,
     }
 
 
@@ -27,4 +28,5 @@ def oracle_sql() -> dict[str, str]:
         "op1_source_mixing": mixing.SQL,
         "op2_warc": warc.SQL,
         "op6_decontamination": decontamination.SQL,
+        "op9_embedding_dedup": embedding_dedup.SQL,
     }
