@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, embedding_dedup, language_id, mixing, token_counts, toxicity, warc
+from . import decontamination, embedding_dedup, jaccard_join, language_id, mixing, token_counts, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,6 +18,7 @@ def queries() -> dict[str, Query]:
         "op4_toxicity": toxicity.query,
         "op5_language_id": language_id.query,
         "op6_decontamination": decontamination.query,
+        "op7_jaccard_join": jaccard_join.query,
         "op8_token_counts": token_counts.query,
         "op9_embedding_dedup": embedding_dedup.query,
     }
@@ -28,5 +29,6 @@ def oracle_sql() -> dict[str, str]:
         "op1_source_mixing": mixing.SQL,
         "op2_warc": warc.SQL,
         "op6_decontamination": decontamination.SQL,
+        "op7_jaccard_join": jaccard_join.SQL,
         "op9_embedding_dedup": embedding_dedup.SQL,
     }
