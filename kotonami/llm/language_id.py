@@ -155,7 +155,7 @@ def _share(usable: DataFrame, wanted: int) -> int:
 def _predict_batches(model: Model):
     def run(batches) -> Iterator:
         for pdf in batches:
-            texts = pdf["text"].tolist()
+            texts = pdf["scored_text"].tolist()
             best = np.zeros(len(texts), dtype=np.int64)
             value = np.zeros(len(texts))
             for k in range(0, len(texts), BATCH):
@@ -163,10 +163,10 @@ def _predict_batches(model: Model):
                 best[k : k + BATCH] = out.argmax(axis=1)
                 value[k : k + BATCH] = out.max(axis=1)
             names = np.asarray(model.languages, dtype=object)
-            known = pdf["letters"].to_numpy()
+            known = pdf["scored_letters"].to_numpy()
             pdf["lang_pred"] = np.where(known, names[best], UNKNOWN)
             pdf["score"] = np.where(known, np.clip(value, 0.0, 1.0), 0.0)
-            yield pdf.drop(columns=["text", "letters"])
+            yield pdf.drop(columns=["scored_text", "scored_letters"])
 
     return run
 
@@ -178,8 +178,10 @@ def predict(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str,
         return docs.select(
             *[docs[c] for c in keep], F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score")
         )
-    rows = docs.select(*[docs[c] for c in keep], body.alias("text"), body.rlike(r"\p{L}").alias("letters"))
-    schema = T.StructType([f for f in rows.schema if f.name not in ("text", "letters")])
+    rows = docs.select(
+        *[docs[c] for c in keep], body.alias("scored_text"), body.rlike(r"\p{L}").alias("scored_letters")
+    )
+    schema = T.StructType([f for f in rows.schema if f.name not in ("scored_text", "scored_letters")])
     schema = schema.add("lang_pred", "string").add("score", "double")
     return rows.mapInPandas(_predict_batches(model), schema)
 

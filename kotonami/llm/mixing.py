@@ -34,7 +34,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 SCHEDULES = (((0.0, 7.5), (1.0, 2.5)), ((0.0, 2.0), (1.0, 2.0)), ((0.0, 0.5), (1.0, 1.5)))
 MAX_REPEATS = 3
 #: Digest buckets for the running counts, as many as keep about this many rows in each.
-ROWS_PER_BUCKET = 20_000
+ROWS_PER_BUCKET = 2_000
 
 Schedule = tuple[tuple[float, float], ...]
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, embedding_dedup, jaccard_join, language_id, mixing, token_counts, toxicity, warc
+from . import decontamination, embedding_dedup, jaccard_join, language_id, mixing, pii, token_counts, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_source_mixing": mixing.query,
         "op2_warc": warc.query,
+        "op3_pii": pii.query,
         "op4_toxicity": toxicity.query,
         "op5_language_id": language_id.query,
         "op6_decontamination": decontamination.query,
