@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, embedding_dedup, jaccard_join, language_id, mixing, pii, token_counts, toxicity, warc
+from . import decontamination, embedding_dedup, jaccard_join, language_id, mixing, pii, suffix_dedup, token_counts, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,6 +22,7 @@ def queries() -> dict[str, Query]:
         "op7_jaccard_join": jaccard_join.query,
         "op8_token_counts": token_counts.query,
         "op9_embedding_dedup": embedding_dedup.query,
+        "op10_suffix_dedup": suffix_dedup.query,
     }
 
 
