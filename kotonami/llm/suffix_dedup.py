@@ -5,9 +5,10 @@ Every byte covered by a string of ``LENGTH`` bytes that also starts earlier in t
 * Anchors. In each string of ``LENGTH`` bytes the ``GRAM``-byte substrings of least hash are its anchors; they
   depend on its content alone. A string can only repeat if its anchors do, so anchors that occur once are
   dropped at the scan (through a bitmap of fixed size; what it lets through wrongly costs time, not exactness).
-* Samples. A kept anchor is met with its context, the bytes of all strings that can hold it. Equal contexts are
-  pre-aggregated to one suffix tuple with its first place, before the shuffle by anchor. Spark's external sort
-  orders the tuples of each anchor by the suffix that starts there.
+* Samples. A kept anchor has a context, the bytes of all strings that can hold it. Anchors with equal contexts are
+  pre-aggregated by a digest of it to one suffix tuple with its first place, and only first places whose
+  anchor has different contexts send their bytes to the sort. Spark's external sort orders the
+  tuples of each anchor by the suffix that starts there.
 * Induction. From the sorted suffixes at the anchors the order of the suffixes one byte earlier follows by
   appending each tuple to the queue of its preceding byte, in order; the common prefix of neighbours in a queue is
   one more than the least common prefix between them before. Repeating this for every byte before the anchor, a
@@ -41,7 +42,7 @@ from . import common, shingles
 LENGTH = 100
 GRAM = 32
 BEFORE = LENGTH - GRAM
-BITMAP_BITS = 1 << 25
+BITMAP_BITS = 1 << 26
 MEMORY_ROWS = 100_000
 PIECE_BYTES = 1 << 19
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -121,47 +122,105 @@ def _slices(raw: np.ndarray, begin: np.ndarray, end: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(raw[index])])
 
 
-def _contexts(bitmap: np.ndarray):
-    """(seq, text) -> (h, seq, pos, before, after) of anchors in the bitmap."""
+def _in(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    cell = hashes & np.uint64(BITMAP_BITS - 1)
+    return (bitmap[(cell >> np.uint64(6)).astype(np.int64)] >> (cell & np.uint64(63))) & np.uint64(1) > 0
+
+
+def _words(column: str):
+    """Hashes (or places, as seq and pos) -> words of the bitmap with their bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        n = 0
+        for batch in batches:
+            own = batch.column(0).to_numpy().view(np.uint64)
+            if column == "place":
+                own = _place_hash(own, batch.column(1).to_numpy())
+            cell = own & np.uint64(BITMAP_BITS - 1)
+            bits = np.uint64(1) << (cell & np.uint64(63))
+            word = (cell >> np.uint64(6)).astype(np.int64)
+            yield pa.record_batch([pa.array(word), pa.array(bits.view(np.int64))], names=["word", "bits"])
 
-        def batch() -> pa.RecordBatch:
-            columns = [
-                pa.array(np.concatenate([x[0] for x in held])),
-                pa.array(np.concatenate([x[1] for x in held])),
-                pa.array(np.concatenate([x[2] for x in held])),
-                pa.concat_arrays([x[3] for x in held]),
-                pa.concat_arrays([x[4] for x in held]),
-            ]
-            return pa.record_batch(columns, names=["h", "seq", "pos", "before", "after"])
-
-        for seq, raw in _texts(batches):
-            if len(raw) < LENGTH:
-                continue
+    return run
+
+
+def _bitmap(rows: DataFrame, column: str) -> np.ndarray:
+    """The bitmap of all ``rows``; BITMAP_BITS / 64 words at most reach the driver."""
+    words = rows.mapInArrow(_words(column), "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    found = words.toArrow()
+    out = np.zeros(BITMAP_BITS // 64, dtype=np.uint64)
+    out[found.column("word").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
+    return out
+
+
+def _place_hash(seq: np.ndarray, pos: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return shingles.mix(seq.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + pos.astype(np.uint64) * _BASE)
+
+
+def _context_digests(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A digest of the bytes around each anchor and of where in them it stands."""
+    out = np.empty(len(at), dtype=np.uint64)
+    for k in range(0, len(at), 20_000):
+        p = at[k : k + 20_000]
+        base = max(0, int(p[0]) - BEFORE)
+        with np.errstate(over="ignore"):
+            own = raw[base : int(p[-1]) + LENGTH].astype(np.uint64) + np.uint64(1)
+            low, high = np.maximum(p - BEFORE, 0), np.minimum(p + LENGTH, len(raw))
+            sums = np.zeros(len(own) + 1, dtype=np.uint64)
+            np.cumsum(own * _UP[: len(own)], out=sums[1:])
+            value = (sums[high - base] - sums[low - base]) * _DOWN[low - base]
+            shape = ((p - low) * 256 + (high - p)).astype(np.uint64)
+            out[k : k + 20_000] = shingles.mix(value ^ shingles.mix(shape))
+    return out
+
+
+def _kept_anchors(batches: Iterator[pa.RecordBatch], bitmap: np.ndarray):
+    """(seq, bytes, positions, hashes) of the anchors whose hash is in the bitmap."""
+    for seq, raw in _texts(batches):
+        if len(raw) >= LENGTH:
             for at, hashes in text_anchors(raw):
-                cell = (hashes & np.uint64(BITMAP_BITS - 1)).astype(np.int64)
-                let = (bitmap[cell >> 6] >> (cell & 63).astype(np.uint64)) & np.uint64(1) > 0
-                at, hashes = at[let].astype(np.int64), hashes[let]
-                for k in range(0, len(at), 20_000):
-                    p, h = at[k : k + 20_000], hashes[k : k + 20_000]
-                    held.append(
-                        (
-                            h.view(np.int64),
-                            np.full(len(p), seq, dtype=np.int64),
-                            p,
-                            _slices(raw, np.maximum(p - BEFORE, 0), p),
-                            _slices(raw, p, np.minimum(p + LENGTH, len(raw))),
-                        )
-                    )
-                    n += len(p)
-                    if n >= 20_000:
-                        yield batch()
-                        held, n = [], 0
+                let = _in(bitmap, hashes)
+                if let.any():
+                    yield seq, raw, at[let].astype(np.int64), hashes[let]
+
+
+def _places(bitmap: np.ndarray):
+    """(seq, text) -> (h, digest, seq, at) of anchors in the bitmap; ``at`` is 128 * position + bytes after it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        n = 0
+        for seq, raw, at, hashes in _kept_anchors(batches, bitmap):
+            after = np.minimum(len(raw) - at, LENGTH)
+            digest = _context_digests(raw, at).view(np.int64)
+            held.append((hashes.view(np.int64), digest, np.full(len(at), seq, dtype=np.int64), at * 128 + after))
+            n += len(at)
+            if n >= 50_000:
+                yield pa.record_batch([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], names=["h", "digest", "seq", "at"])
+                held, n = [], 0
         if held:
-            yield batch()
+            yield pa.record_batch([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], names=["h", "digest", "seq", "at"])
+
+    return run
+
+
+def _contexts(bitmap: np.ndarray, places: np.ndarray):
+    """(seq, text) -> (h, seq, pos, before, after) of anchors in the one bitmap at places in the other."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for seq, raw, at, hashes in _kept_anchors(batches, bitmap):
+            let = _in(places, _place_hash(np.full(len(at), seq, dtype=np.int64).view(np.uint64), at))
+            at, hashes = at[let], hashes[let]
+            for k in range(0, len(at), 20_000):
+                p = at[k : k + 20_000]
+                columns = [
+                    pa.array(hashes[k : k + 20_000].view(np.int64)),
+                    pa.array(np.full(len(p), seq, dtype=np.int64)),
+                    pa.array(p),
+                    _slices(raw, np.maximum(p - BEFORE, 0), p),
+                    _slices(raw, p, np.minimum(p + LENGTH, len(raw))),
+                ]
+                yield pa.record_batch(columns, names=["h", "seq", "pos", "before", "after"])
 
     return run
 
@@ -518,34 +577,32 @@ def repeated_ranges(rows: DataFrame, memory: int = MEMORY_ROWS) -> DataFrame:
     """(seq, low, high): byte ranges of ``rows`` (seq, text) covered by strings that start earlier."""
     texts = rows.select("seq", "text")
     hashes = texts.mapInArrow(_anchor_hashes, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    words = hashes.groupBy(F.shiftright(F.col("h").bitwiseAND(F.lit(BITMAP_BITS - 1)), 6).alias("word")).agg(
-        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("h").bitwiseAND(F.lit(63)).cast("int"))).alias("bits")
-    )
-    found = words.toArrow()  # BITMAP_BITS / 64 rows at most
-    bitmap = np.zeros(BITMAP_BITS // 64, dtype=np.uint64)
-    bitmap[found.column("word").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
-    contexts = texts.mapInArrow(_contexts(bitmap), "h long, seq long, pos long, before binary, after binary")
+    bitmap = _bitmap(hashes.select("h"), "hash")
+    places = texts.mapInArrow(_places(bitmap), "h long, digest long, seq long, at long")
     # Document and place in one number, so that the first place is a plain minimum.
-    place = F.col("seq").cast("decimal(19,0)") * F.lit(1 << 40).cast("decimal(13,0)") + F.col("pos").cast("decimal(13,0)")
-    classes = contexts.groupBy("h", "before", "after").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("place"))
-    seq = F.floor(F.col("place") / F.lit(1 << 40).cast("decimal(13,0)")).cast("long")
-    classes = classes.withColumn("seq", seq).withColumn(
-        "pos", (F.col("place") - F.col("seq").cast("decimal(19,0)") * F.lit(1 << 40).cast("decimal(13,0)")).cast("long")
+    unit = F.lit(1 << 56).cast("decimal(18,0)")
+    place = F.col("seq").cast("decimal(19,0)") * unit + F.col("at").cast("decimal(18,0)")
+    classes = places.groupBy("h", "digest").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("place"))
+    seq = F.floor(F.col("place") / unit).cast("long")
+    classes = classes.withColumn("first_seq", seq).withColumn(
+        "first_at", (F.col("place") - F.col("first_seq").cast("decimal(19,0)") * unit).cast("long")
     )
-    digest = F.xxhash64("before", "after")
-    classes = common.staged(classes.select("h", "before", "after", "n", "seq", "pos", digest.alias("digest")), "suffix-tuples")
+    classes = common.staged(classes.select("h", "digest", "n", "first_seq", "first_at"), "suffix-tuples")
+    # Bytes are only compared where an anchor stands in different contexts.
+    various = classes.groupBy("h").agg(F.count(F.lit(1)).alias("contexts")).where("contexts > 1").select("h")
+    asked = classes.join(various, "h", "left_semi").select("first_seq", F.shiftright("first_at", 7).alias("pos"))
     first = (
-        classes.select("h", "before", "after", "seq", "pos")
+        texts.mapInArrow(_contexts(bitmap, _bitmap(asked, "place")), "h long, seq long, pos long, before binary, after binary")
         .repartition("h")
         .sortWithinPartitions("h", "after", "before")
         .mapInArrow(_induced(memory), "seq long, low long, high long")
     )
-    several = classes.where("n > 1").select("h", "digest", F.col("seq").alias("first_seq"), F.col("pos").alias("first_pos"))
-    places = contexts.select(
-        "h", digest.alias("digest"), "seq", "pos", F.octet_length("before").alias("b"), F.octet_length("after").alias("a")
-    )
-    others = places.join(several, ["h", "digest"]).where("seq != first_seq OR pos != first_pos").where(f"b + a >= {LENGTH}")
-    others = others.select("seq", (F.col("pos") - F.col("b")).alias("low"), (F.col("pos") + F.col("a")).alias("high"))
+    several = classes.where("n > 1").select("h", "digest", "first_seq", "first_at")
+    others = places.join(several, ["h", "digest"]).where("seq != first_seq OR at != first_at")
+    pos, after = F.shiftright("at", 7), F.col("at").bitwiseAND(F.lit(127))
+    others = others.select(
+        "seq", F.greatest(pos - BEFORE, F.lit(0)).alias("low"), (pos + after).alias("high")
+    ).where(f"high - low >= {LENGTH}")
     return first.unionByName(others)
 
 
