@@ -141,7 +141,7 @@ def fit(labelled: DataFrame, max_training: int = MAX_TRAINING) -> Model:
         .limit(max_training)
         .collect()
     )
-    cells = np.array([np.frombuffer(r["cells"], dtype=np.uint8) for r in rows]).reshape(len(rows), -1)
+    cells = np.array([np.frombuffer(r["cells"], dtype=np.uint8) for r in rows], dtype=np.uint8).reshape(len(rows), DIMENSIONS // 8)
     return train(np.unpackbits(cells, axis=1).astype(bool), [r["lang"] for r in rows])
 
 

@@ -89,9 +89,10 @@ class Tokens(dict):
                 code |= _SHOUTED
         elif any(c.isalpha() for c in word):
             code |= _MIXED
-            plain = re.sub(r"[\W_]+", "", token.lower().translate(DISGUISE))
-            if plain and any(u in self.lexicon for u in units(plain)):
-                code |= _HIT | _DISGUISED
+            for worn in (word, token.lower()):
+                plain = re.sub(r"[\W_]+", "", worn.translate(DISGUISE))
+                if plain and any(u in self.lexicon for u in units(plain)):
+                    code |= _HIT | _DISGUISED
         if len(self) > REMEMBERED:
             self.clear()
         self[token] = code

@@ -39,6 +39,7 @@ ARCHIVE_BYTES = 8 << 20
 REVISIT_BYTES = 1000
 VERSION = b"WARC/1.1"
 _VERSION_LINE = re.compile(rb"WARC/1\.[01]\r\n")
+_FIELD_NAME = re.compile(rb"[A-Za-z0-9-]+")
 _MEMBER = b"\x1f\x8b\x08"
 #: A record's decompressed size beyond this counts as damage.
 MAX_RECORD_BYTES = 1 << 30
@@ -70,14 +71,14 @@ def decode(raw: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int] | None:
     fields: dict[str, str] = {}
     for line in raw[m.end() : head_end].split(b"\r\n"):
         name, colon, value = line.partition(b":")
-        if not colon:
+        if not colon or not _FIELD_NAME.fullmatch(name):
             return None
         try:
             fields[name.decode("ascii").strip().lower()] = value.decode().strip()
         except UnicodeDecodeError:
             return None
     length = fields.get("content-length", "")
-    if not (length.isascii() and length.isdigit()) or "warc-type" not in fields:
+    if not (length.isascii() and length.isdigit()) or not {"warc-type", "warc-record-id"} <= fields.keys():
         return None
     begin = head_end + 4
     block = raw[begin : begin + int(length)]
