@@ -57,11 +57,12 @@ def morae(page: Column) -> Column:
     )
 
 
-def sentences(page: Column, entry_id: Column) -> Column:
-    """(jp, en) of the example sentences whose block mentions the entry; a pair without a second part
-    has a null ``en``. The mention is a substring, so an id also meets longer ids it begins."""
+def sentences(blocks: Column, entry_id: Column) -> Column:
+    """(jp, en) of the example sentences of a page whose block (``html.example_blocks``) mentions the
+    entry; a pair without a second part has a null ``en``. The mention is a substring, so an id also
+    meets longer ids it begins."""
     blocks = F.filter(
-        html.example_blocks(page),
+        blocks,
         lambda b: F.exists(b["comments"], lambda c: F.contains(c, F.concat(F.lit("ent_seq="), entry_id.cast("string")))),
     )
 

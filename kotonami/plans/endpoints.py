@@ -82,8 +82,9 @@ def dictionary(requests: DataFrame, search_pages: DataFrame, entry_pages: DataFr
 
 def example_sentences(requests: DataFrame, pages: DataFrame) -> DataFrame:
     """Errors of this service are plain strings."""
-    rows = requests.join(pages, "request_id").withColumn("pairs", records.sentences(F.col("html"), F.col("id")))
-    unread = F.col("transport_error").isNotNull() | html.example_blocks(F.col("html")).isNull()
+    rows = requests.join(pages, "request_id").withColumn("blocks", html.example_blocks(F.col("html")))
+    rows = rows.withColumn("pairs", records.sentences(F.col("blocks"), F.col("id")))
+    unread = F.col("transport_error").isNotNull() | F.col("blocks").isNull()
     status = envelope.sentence_status(unread, F.col("pairs"))
     result = F.struct("word", "id", F.col("pairs").alias("sentence"))
     return envelope.enveloped(rows, status, result, plain_error=True)

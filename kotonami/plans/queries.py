@@ -431,10 +431,11 @@ def dict_sentence_chain(spark: SparkSession, _: str) -> DataFrame:
         payloads.table(spark, "dict_search_page", fixtures.SEARCH_PAGES),
         payloads.table(spark, "dict_entry_page", fixtures.ENTRY_PAGES),
     )
-    pages = payloads.table(spark, "sentence_page", fixtures.SENTENCE_PAGES).where("request_id = 1").select("html")
+    pages = payloads.table(spark, "sentence_page", fixtures.SENTENCE_PAGES).where("request_id = 1")
+    pages = pages.select(html.example_blocks(F.col("html")).alias("blocks"))
     entries = found.where("NOT missing").select("request_id", F.col("entry.id").alias("ent_seq")).distinct()
     pairs = entries.join(F.broadcast(pages)).select(
-        "request_id", "ent_seq", F.posexplode(records.sentences(F.col("html"), F.col("ent_seq"))).alias("pos", "s")
+        "request_id", "ent_seq", F.posexplode(records.sentences(F.col("blocks"), F.col("ent_seq"))).alias("pos", "s")
     )
     return pairs.select("request_id", "ent_seq", "pos", "s.jp", "s.en")
 
