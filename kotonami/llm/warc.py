@@ -90,18 +90,14 @@ def decode(raw: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int] | None:
     return fields, block, begin + len(block) + 4
 
 
-def _member(raw: bytes, at: int) -> tuple[bytes, int] | None:
-    """(content, end) of the gzip member that starts at ``at``."""
-    if raw[at : at + 3] != _MEMBER:
-        return None
+def _member(raw: bytes) -> tuple[bytes, int] | None:
+    """(content, end) of the gzip member that ``raw`` begins with; None if it goes on beyond ``raw``.
+
+    Raises ``zlib.error`` where it is broken.
+    """
     inflate = zlib.decompressobj(31)
-    try:
-        content = inflate.decompress(memoryview(raw)[at:], MAX_RECORD_BYTES)
-    except zlib.error:
-        return None
-    if not inflate.eof:
-        return None
-    return content, len(raw) - len(inflate.unused_data)
+    content = inflate.decompress(raw, MAX_RECORD_BYTES)
+    return (content, len(raw) - len(inflate.unused_data)) if inflate.eof else None
 
 
 def _record_at(raw: bytes, at: int) -> tuple[list[tuple[dict[str, str], bytes]], int] | None:
@@ -109,12 +105,11 @@ def _record_at(raw: bytes, at: int) -> tuple[list[tuple[dict[str, str], bytes]],
     if raw[at : at + 3] == _MEMBER:
         # Only a window first: members are small against the archive.
         size = 1 << 16
-        while True:
-            part = raw[at : at + size]
-            got = _member(part, 0)
-            if got or at + size >= len(raw):
-                break
-            size *= 8
+        try:
+            while not (got := _member(raw[at : at + size])) and at + size < len(raw):
+                size *= 8
+        except zlib.error:
+            return None
         if not got:
             return None
         content, used = got
