@@ -129,7 +129,7 @@ ENTRY_PAGES = [
     ("105", None, '<a href="srchres.py">not a number</a>'),
 ]
 DICT_STATUS = [(1, 200, True), (2, 200, True), (3, 404, False), (4, 500, False), (5, 500, False), (6, 500, False)]
-ENTRIES_SQL = """SELECT * FROM (VALUES (1, 0, '101', false, 1387990, 0, 'n|suf', 'teacher|master'), (1, 0, '101', false, 1387990, 1, '', 'sensei'),
+ENTRIES_SQL = """SELECT * REPLACE (request_id::BIGINT AS request_id) FROM (VALUES (1, 0, '101', false, 1387990, 0, 'n|suf', 'teacher|master'), (1, 0, '101', false, 1387990, 1, '', 'sensei'),
     (1, 1, '102', false, 0, NULL, NULL, NULL), (2, 0, '103', false, 138799, 0, '', 'thrice'),
     (5, 0, '999', true, NULL, NULL, NULL, NULL), (6, 0, '105', true, NULL, NULL, NULL, NULL)) AS v(request_id, pos, entry_id, missing, id, sense, parts, meanings)"""
 
@@ -145,5 +145,5 @@ SENTENCE_PAGES = [
     (6, None, '<div style="clear:both"><!--ent_seq=8--></div>'),
 ]
 SENTENCE_STATUS = [(1, 200, True), (2, 200, True), (3, 404, False), (4, 500, False), (5, 500, False), (6, 404, False)]
-CHAIN_SQL = """SELECT * FROM (VALUES (1, 1387990, 0, '彼は先生だ。', 'He is a teacher .'), (1, 1387990, 1, '彼は先生だ。', 'He is a teacher .'),
+CHAIN_SQL = """SELECT * REPLACE (request_id::BIGINT AS request_id) FROM (VALUES (1, 1387990, 0, '彼は先生だ。', 'He is a teacher .'), (1, 1387990, 1, '彼は先生だ。', 'He is a teacher .'),
     (2, 138799, 0, '彼は先生だ。', 'He is a teacher .'), (2, 138799, 1, '彼は先生だ。', 'He is a teacher .')) AS v(request_id, ent_seq, pos, jp, en)"""

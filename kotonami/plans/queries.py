@@ -262,7 +262,7 @@ def detail_assembly(spark: SparkSession, _: str) -> DataFrame:
     return records.details(payloads.table(spark, "detail_payload", fixtures.DETAIL_PAYLOAD))
 
 
-@register("furigana_tokens", f"""SELECT request_id, (w.pos - 1)::INT AS pos, w.word->>'surface' AS surface,
+@register("furigana_tokens", f"""SELECT request_id::BIGINT AS request_id, (w.pos - 1)::INT AS pos, w.word->>'surface' AS surface,
     CASE WHEN json_type(w.word, '$.subword') IS NULL THEN coalesce(w.word->>'furigana', w.word->>'surface') ELSE w.word->>'furigana' END AS furigana,
     coalesce(json_array_length(w.word, '$.subword'), 0)::INT AS n_subwords
     FROM (SELECT request_id, unnest(words) AS word, generate_subscripts(words, 1) AS pos
@@ -449,7 +449,7 @@ def _status(rows: DataFrame) -> DataFrame:
 
 def _envelope(name: str, expected: list[tuple[int, int, bool]]):
     rows = [(i, s, str(r).lower()) for i, s, r in expected]
-    sql = f"SELECT request_id, status, CASE WHEN status <> 200 THEN status END AS code, has_result = 'true' AS has_result FROM {values(rows, 'request_id', 'status', 'has_result')}"
+    sql = f"SELECT request_id::BIGINT AS request_id, status, CASE WHEN status <> 200 THEN status END AS code, has_result = 'true' AS has_result FROM {values(rows, 'request_id', 'status', 'has_result')}"
     return register(name, sql)
 
 
