@@ -22,7 +22,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from . import common
@@ -97,7 +96,19 @@ def targets(sizes: DataFrame, schedules: tuple[Schedule, ...], max_repeats: int)
     )
 
 
-def mix(
+def in_order(placed: DataFrame) -> DataFrame:
+    """Rows range-partitioned and sorted by the position of their first pass; those without come last."""
+    first = F.get("positions", F.lit(0)).asc_nulls_last()
+    parts = int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return placed.repartitionByRange(parts, first, F.col("doc_id")).sortWithinPartitions(first, "doc_id")
+
+
+def mix(docs: DataFrame, **options) -> DataFrame:
+    """``place`` with its rows in training order."""
+    return in_order(place(docs, **options))
+
+
+def place(
     docs: DataFrame,
     text: str = "text",
     source: str = "source",
@@ -106,7 +117,7 @@ def mix(
     schedules: tuple[Schedule, ...] = SCHEDULES,
     max_repeats: int = MAX_REPEATS,
 ) -> DataFrame:
-    """One row per document, sorted by the position of its first pass.
+    """One row per document. ``keep`` is carried through every shuffle, so keep it narrow.
 
     Columns: ``doc_id``, ``source``, those of ``keep``, ``size`` (words), ``source_size``,
     ``target`` (of its source), ``taken`` (words of it the mix takes, all passes together; the
@@ -127,16 +138,15 @@ def mix(
     rows = rows.withColumn("bucket", bucket)
 
     sums = rows.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
-    in_order = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.withColumn("bucket_start", F.coalesce(F.sum("bucket_size").over(in_order), F.lit(0)))
+    by_bucket = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumn("bucket_start", F.coalesce(F.sum("bucket_size").over(by_bucket), F.lit(0)))
     plan = targets(
         sums.groupBy("source").agg(F.sum("bucket_size").alias("source_size")), schedules, max_repeats
     )
     sums = sums.alias("s").join(plan.alias("p"), F.col("s.source").eqNullSafe(F.col("p.source")))
     sums = sums.select("s.source", "bucket", "bucket_start", "source_size", "class", "target")
 
-    ties = [F.col("size")]
-    within = Window.partitionBy("source", "bucket").orderBy("digest", "doc_id", *ties)
+    within = Window.partitionBy("source", "bucket").orderBy("digest", "doc_id", "size")
     rows = rows.withColumn(
         "inner", F.coalesce(F.sum("size").over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     )
@@ -159,7 +169,7 @@ def mix(
             ]
         )
         when = own if when is None else F.when(F.col("class") == k, own).otherwise(when)
-    placed = joined.select(
+    return joined.select(
         "doc_id",
         "r.source",
         *[F.col(f"kept_{c}").alias(c) for c in keep],
@@ -169,11 +179,6 @@ def mix(
         taken.cast("long").alias("taken"),
         F.array_compact(when).alias("positions"),
     )
-    first = F.get("positions", F.lit(0))
-    spread = docs.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    return placed.repartitionByRange(int(spread), first.asc_nulls_last(), F.col("doc_id")).sortWithinPartitions(
-        first.asc_nulls_last(), "doc_id"
-    )
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
