@@ -38,7 +38,7 @@ THRESHOLD = 0.8
 BANDS, ROWS = 30, 4
 STEP = 20
 TOLERANCE = 1e-5
-GROUP_ROWS = 1_000
+GROUP_ROWS = 300
 SEED = 11
 
 _rng = np.random.default_rng(SEED)
