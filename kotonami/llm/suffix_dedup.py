@@ -4,7 +4,7 @@ Every byte covered by a string of ``LENGTH`` bytes that also starts earlier in t
 
 * Anchors. In each string of ``LENGTH`` bytes the ``GRAM``-byte substrings of least hash are its anchors; they
   depend on its content alone. A string can only repeat if its anchors do, so anchors that occur once are
-  dropped at the scan (through a bitmap of fixed size; what it lets through wrongly costs time, not exactness).
+  dropped at the scan (through a bitmap of bounded size; what it lets through wrongly costs time, not exactness).
 * Samples. A kept anchor has a context, the bytes of all strings that can hold it. Anchors with equal contexts are
   pre-aggregated by a digest of it to one suffix tuple with its first place, and only first places whose
   anchor has different contexts send their bytes to the sort. Spark's external sort orders the
@@ -42,7 +42,8 @@ from . import common, shingles
 LENGTH = 100
 GRAM = 32
 BEFORE = LENGTH - GRAM
-BITMAP_BITS = 1 << 26
+#: Bitmaps have 16 bits for each entry, but no more than these; beyond it they let more through.
+MAX_BITMAP_BITS = 1 << 28
 MEMORY_ROWS = 100_000
 PIECE_BYTES = 1 << 19
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -123,11 +124,11 @@ def _slices(raw: np.ndarray, begin: np.ndarray, end: np.ndarray) -> pa.Array:
 
 
 def _in(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    cell = hashes & np.uint64(BITMAP_BITS - 1)
+    cell = hashes & np.uint64(len(bitmap) * 64 - 1)
     return (bitmap[(cell >> np.uint64(6)).astype(np.int64)] >> (cell & np.uint64(63))) & np.uint64(1) > 0
 
 
-def _words(column: str):
+def _words(column: str, size: int):
     """Hashes (or places, as seq and pos) -> words of the bitmap with their bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,7 +136,7 @@ def _words(column: str):
             own = batch.column(0).to_numpy().view(np.uint64)
             if column == "place":
                 own = _place_hash(own, batch.column(1).to_numpy())
-            cell = own & np.uint64(BITMAP_BITS - 1)
+            cell = own & np.uint64(size - 1)
             bits = np.uint64(1) << (cell & np.uint64(63))
             word = (cell >> np.uint64(6)).astype(np.int64)
             yield pa.record_batch([pa.array(word), pa.array(bits.view(np.int64))], names=["word", "bits"])
@@ -144,10 +145,11 @@ def _words(column: str):
 
 
 def _bitmap(rows: DataFrame, column: str) -> np.ndarray:
-    """The bitmap of all ``rows``; BITMAP_BITS / 64 words at most reach the driver."""
-    words = rows.mapInArrow(_words(column), "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    """The bitmap of all ``rows`` (a written table); MAX_BITMAP_BITS / 64 words at most reach the driver."""
+    size = min(MAX_BITMAP_BITS, max(1 << 16, 1 << (16 * rows.count()).bit_length()))
+    words = rows.mapInArrow(_words(column, size), "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits"))
     found = words.toArrow()
-    out = np.zeros(BITMAP_BITS // 64, dtype=np.uint64)
+    out = np.zeros(size // 64, dtype=np.uint64)
     out[found.column("word").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
     return out
 
@@ -577,7 +579,7 @@ def repeated_ranges(rows: DataFrame, memory: int = MEMORY_ROWS) -> DataFrame:
     """(seq, low, high): byte ranges of ``rows`` (seq, text) covered by strings that start earlier."""
     texts = rows.select("seq", "text")
     hashes = texts.mapInArrow(_anchor_hashes, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    bitmap = _bitmap(hashes.select("h"), "hash")
+    bitmap = _bitmap(common.staged(hashes.select("h"), "suffix-anchors"), "hash")
     places = texts.mapInArrow(_places(bitmap), "h long, digest long, seq long, at long")
     # Document and place in one number, so that the first place is a plain minimum.
     unit = F.lit(1 << 56).cast("decimal(18,0)")
@@ -591,8 +593,9 @@ def repeated_ranges(rows: DataFrame, memory: int = MEMORY_ROWS) -> DataFrame:
     # Bytes are only compared where an anchor stands in different contexts.
     various = classes.groupBy("h").agg(F.count(F.lit(1)).alias("contexts")).where("contexts > 1").select("h")
     asked = classes.join(various, "h", "left_semi").select("first_seq", F.shiftright("first_at", 7).alias("pos"))
+    asked = _bitmap(common.staged(asked, "suffix-asked"), "place")
     first = (
-        texts.mapInArrow(_contexts(bitmap, _bitmap(asked, "place")), "h long, seq long, pos long, before binary, after binary")
+        texts.mapInArrow(_contexts(bitmap, asked), "h long, seq long, pos long, before binary, after binary")
         .repartition("h")
         .sortWithinPartitions("h", "after", "before")
         .mapInArrow(_induced(memory), "seq long, low long, high long")
