@@ -26,11 +26,6 @@ def query_param(url: Column, name: str) -> Column:
     return F.try_url_decode(F.replace(value, F.lit("+"), F.lit("%20")))
 
 
-def search_url(base: Column, word: Column) -> Column:
-    """A search address with the word escaped."""
-    return F.concat(base, F.lit("?q="), F.url_encode(word))
-
-
 def links(html: Column) -> Column:
     """Addresses of all anchors with a double-quoted href, in order."""
     return F.regexp_extract_all(html, F.lit(r'<a href="([^"]*)"'), F.lit(1))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text, web
 from ..operators import align, envelope, records, search
-from ..sources import html, payloads
+from ..sources import html, payloads, requests
 from . import endpoints, fixtures
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -379,10 +379,47 @@ def positional_zip(spark: SparkSession, _: str) -> DataFrame:
 
 
 # URLs and pages.
-@register("url_build", "SELECT p_partkey, 'https://www.edrdg.org/jmwsgi/srchres.py?q=' || replace(url_encode(p_name), '%20', '+') AS url FROM part")
+def _escaped(value: str) -> str:
+    """DuckDB's escaping, with a plus sign for a space."""
+    return f"replace(url_encode({value}), '%20', '+')"
+
+
+def _form_sql(fields: dict[str, str]) -> str:
+    return " || '&' || ".join(f"{_escaped(quoted(k))} || '=' || {_escaped(v)}" for k, v in fields.items())
+
+
+@register("url_build", f"""SELECT p_partkey, 'https://www.edrdg.org/jmwsgi/srchres.py?s1=1&y1=1&t1=' || {_escaped('p_name')} || '&src=1&search=Search&svc=jmdict' AS url,
+    'https://www.edrdg.org/jmwsgi/entr.py?svc=jmdict&e=' || p_partkey AS entry FROM part""")
 def url_build(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = F.lit("https://www.edrdg.org/jmwsgi/srchres.py")
-    return read(spark, sf_dir, "part").select("p_partkey", web.search_url(base, F.col("p_name")).alias("url"))
+    key = F.col("p_partkey").cast("string")
+    return read(spark, sf_dir, "part").select(
+        "p_partkey", requests.dictionary_url(F.col("p_name")).alias("url"), requests.entry_url(key).alias("entry")
+    )
+
+
+@register("request_bodies", f"""SELECT t.request_id, '{{"id":"1234-1","jsonrpc":"2.0","method":"jlp.furiganaservice.furigana","params":{{"q":"' || word || '","grade":1}}}}' AS furigana,
+    {_form_sql({'data[Phrasing][text]': 'word'} | {f'data[Phrasing][{k}]': quoted(v) for k, v in requests.ACCENT_SETTINGS.items()})} AS accent,
+    {_form_sql({'_search': "'true'", 'filters': 'r.filters'})} AS headwords, {_form_sql({'dsrchkey': 'word', 'dicsel': "'1'"})} AS sentences
+    FROM {values(TERMS, 'request_id', 'word').replace('AS v(', 'AS t(')} JOIN ({SQL['search_rules']}) r ON r.request_id = t.request_id WHERE word <> ''""")
+def request_bodies(spark: SparkSession, _: str) -> DataFrame:
+    word = F.col("word")
+    return _terms(spark).where("word != ''").select(
+        "request_id",
+        requests.furigana_body(word).alias("furigana"),
+        requests.accent_body(word).alias("accent"),
+        requests.headword_body(word).alias("headwords"),
+        requests.sentence_body(word).alias("sentences"),
+    )
+
+
+@register("detail_requests", """SELECT site, headword_id, endpoint, CASE WHEN endpoint IN ('basicinfoss', 'patternfreqorder') THEN 'POST' ELSE 'GET' END AS method,
+    CASE site WHEN 'NLB' THEN 'https://nlb.ninjal.ac.jp' ELSE 'https://tsukubawebcorpus.jp' END || '/' || endpoint || '/' || headword_id || '/' AS url
+    FROM (SELECT CASE WHEN p_partkey % 2 = 0 THEN 'NLB' ELSE 'NLT' END AS site, p_brand || '-' || p_partkey AS headword_id,
+      unnest(CASE WHEN p_partkey % 2 = 0 THEN ['basicinfob', 'basicinfosc', 'basicinfosj', 'basicinfoss', 'basicinfoky', 'basicinfojs', 'patternfreqorder']
+        ELSE ['basicinfob', 'basicinfosj', 'basicinfojs', 'patternfreqorder'] END) AS endpoint FROM part)""")
+def detail_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    site = F.when(F.col("id") % 2 == 0, "NLB").otherwise("NLT").alias("site")
+    return requests.detail_requests(lexicon(spark, sf_dir).select(site, "headword_id"))
 
 
 @register("url_param_first", r"SELECT page_id, nullif(regexp_extract(url, '\?(?:[^#]*&)?utm_source=([^&#]+)', 1), '') AS value FROM pages")
