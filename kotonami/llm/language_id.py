@@ -91,21 +91,22 @@ def _unit(cells: np.ndarray) -> np.ndarray:
     return x / np.sqrt(np.maximum(x.sum(axis=1, keepdims=True), 1))
 
 
-def train(cells: np.ndarray, languages: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
-    """Kernel ridge regression on Nyström features of presence vectors, rows in a fixed order."""
+def train(bits: np.ndarray, languages: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
+    """Kernel ridge regression on Nyström features of presence vectors (packed), rows in a fixed order."""
     names = tuple(sorted(set(languages)))
     if not names:
         return Model((), np.zeros((DIMENSIONS, 0), np.float32), np.zeros(0, np.float32))
-    x = _unit(cells)
     turn: list[int] = []
     by = [[i for i, own in enumerate(languages) if own == name] for name in names]
     for k in range(max(map(len, by))):
         turn += [rows[k] for rows in by if k < len(rows)]
-    marks = x[turn[:landmarks]]
+    marks = _unit(np.unpackbits(bits[turn[:landmarks]], axis=1))
     values, vectors = np.linalg.eigh((marks @ marks.T).astype(np.float64))
     sound = values > 1e-6 * values[-1]
     root = vectors[:, sound] / np.sqrt(values[sound])
-    phi = (x @ marks.T).astype(np.float64) @ root
+    # Batch by batch: the unpacked vectors of the whole sample are never held.
+    parts = [_unit(np.unpackbits(bits[k : k + BATCH], axis=1)) @ marks.T for k in range(0, len(bits), BATCH)]
+    phi = np.concatenate(parts).astype(np.float64) @ root
     y = np.array([[1.0 if own == name else 0.0 for name in names] for own in languages])
     # Each class weighs the same, however rare the language is.
     weight = np.sqrt(1 / (len(names) * y.sum(axis=0)))[np.argmax(y, axis=1)][:, None]
@@ -141,8 +142,8 @@ def fit(labelled: DataFrame, max_training: int = MAX_TRAINING) -> Model:
         .limit(max_training)
         .collect()
     )
-    cells = np.array([np.frombuffer(r["cells"], dtype=np.uint8) for r in rows], dtype=np.uint8).reshape(len(rows), DIMENSIONS // 8)
-    return train(np.unpackbits(cells, axis=1).astype(bool), [r["lang"] for r in rows])
+    bits = np.frombuffer(b"".join(r["cells"] for r in rows), dtype=np.uint8).reshape(len(rows), DIMENSIONS // 8)
+    return train(bits, [r["lang"] for r in rows])
 
 
 def _share(usable: DataFrame, wanted: int) -> int:
