@@ -14,6 +14,9 @@ Scoring reads every whole text.
 Defined results: a null text, or one without a letter, is ``und`` with score 0; without training
 rows every text is ``und``; ties go to the language that comes first by name; repeated rows are
 scored alike. Lengths are not limited: a text's n-grams are gathered piece by piece.
+
+The outputs of a text sum to 1 over the languages, so the best one says nothing of texts in none of
+them. ``familiar`` tells these: see ``Familiarity``.
 """
 
 from __future__ import annotations
@@ -35,6 +38,8 @@ RIDGE = 1e-2
 UNKNOWN = "und"
 PIECE_CHARS = 1 << 18
 BATCH = 128
+#: A text is familiar from this part of the middle training text's familiarity on.
+LEAST_PART = 0.35
 
 
 @dataclass(frozen=True)
@@ -45,29 +50,43 @@ class Model:
     bias: np.ndarray
 
 
-def presence(texts: list[str]) -> np.ndarray:
-    """One row of cells per text: which hashed 1- to 3-grams of its lower-cased characters occur."""
-    out = np.zeros((len(texts), DIMENSIONS), dtype=bool)
-    flat = out.reshape(-1)
-    shift = np.uint32(32 - DIMENSIONS.bit_length() + 1)
+@dataclass(frozen=True)
+class Familiarity:
+    """How far the 3-grams of a text are those of the training texts, however many languages there are.
 
-    def mark(rows: list[int], pieces: list[str]) -> None:
-        joined = "".join(pieces)
-        codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-        lengths = np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces))
-        of = np.repeat(np.asarray(rows, dtype=np.int64) * DIMENSIONS, lengths)
-        whole = np.repeat(np.arange(len(pieces)), lengths)
-        total = (codes + np.uint32(7)) * np.uint32(0x9E3779B1)
-        for n in range(1, 4):
-            if n > 1:
-                total = (total[:-1] ^ (total[:-1] >> np.uint32(15))) * np.uint32(0x85EBCA77) + codes[n - 1 :]
-                total *= np.uint32(0xC2B2AE3D)
-                fits = whole[: len(total)] == whole[n - 1 :]
-            if len(total) == 0:
-                break
-            cell = (total >> shift).astype(np.int64) + of[: len(total)]
-            flat[cell if n == 1 else cell[fits]] = True
+    A cell's share is the part of a language's training texts that have it, the largest over the
+    languages; a text's familiarity is the mean share over all its 3-grams, so its length does not
+    matter. Texts go whose familiarity, two standard errors added, is below the predicted
+    language's least one.
+    """
+
+    shares: np.ndarray
+    #: Language -> least familiarity: ``LEAST_PART`` of the median of its training texts, each left out of the shares.
+    least: dict[str, float]
 
+
+def _grams(rows: list[int], pieces: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(n, row, cell) of the hashed n-grams of ``pieces``, n = 1..3."""
+    shift = np.uint32(32 - DIMENSIONS.bit_length() + 1)
+    joined = "".join(pieces)
+    codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    lengths = np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces))
+    of = np.repeat(np.asarray(rows, dtype=np.int64), lengths)
+    whole = np.repeat(np.arange(len(pieces)), lengths)
+    total = (codes + np.uint32(7)) * np.uint32(0x9E3779B1)
+    for n in range(1, 4):
+        fits = slice(None)
+        if n > 1:
+            total = (total[:-1] ^ (total[:-1] >> np.uint32(15))) * np.uint32(0x85EBCA77) + codes[n - 1 :]
+            total *= np.uint32(0xC2B2AE3D)
+            fits = whole[: len(total)] == whole[n - 1 :]
+        if len(total) == 0:
+            break
+        yield n, of[: len(total)][fits], (total >> shift).astype(np.int64)[fits]
+
+
+def _in_pieces(texts: list[str], mark) -> None:
+    """Call ``mark`` with rows and pieces of all lower-cased texts; each n-gram is whole in one piece at least."""
     rows: list[int] = []
     pieces: list[str] = []
     held = 0
@@ -83,9 +102,40 @@ def presence(texts: list[str]) -> np.ndarray:
                 rows, pieces, held = [], [], 0
     if pieces:
         mark(rows, pieces)
+
+
+def presence(texts: list[str]) -> np.ndarray:
+    """One row of cells per text: which hashed 1- to 3-grams of its lower-cased characters occur."""
+    out = np.zeros((len(texts), DIMENSIONS), dtype=bool)
+    flat = out.reshape(-1)
+
+    def mark(rows: list[int], pieces: list[str]) -> None:
+        for _, row, cell in _grams(rows, pieces):
+            flat[row * DIMENSIONS + cell] = True
+
+    _in_pieces(texts, mark)
     return out
 
 
+def familiarity(texts: list[str], shares: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Mean share of the 3-grams of each text (a space at both ends) and the standard error of that mean."""
+    n, total, square = np.zeros((3, len(texts)))
+
+    def mark(rows: list[int], pieces: list[str]) -> None:
+        for k, row, cell in _grams(rows, pieces):
+            if k == 3:
+                share = shares[cell].astype(np.float64)
+                n[:] += np.bincount(row, minlength=len(texts))
+                total[:] += np.bincount(row, weights=share, minlength=len(texts))
+                square[:] += np.bincount(row, weights=share**2, minlength=len(texts))
+
+    _in_pieces([f" {t} " for t in texts], mark)
+    n = np.maximum(n, 1)
+    mean = total / n
+    # One part in n more: the spread of a few 3-grams says little.
+    return mean, np.sqrt((np.maximum(square / n - mean**2, 0) + 1 / n) / n)
+
+
 def _unit(cells: np.ndarray) -> np.ndarray:
     x = cells.astype(np.float32)
     return x / np.sqrt(np.maximum(x.sum(axis=1, keepdims=True), 1))
@@ -130,20 +180,59 @@ def _packed(batches) -> Iterator:
             yield part.drop(columns="text").assign(cells=[row.tobytes() for row in bits])
 
 
-def fit(labelled: DataFrame, max_training: int = MAX_TRAINING) -> Model:
-    """Train on a bounded sample of ``labelled`` (doc_id, text, lang)."""
-    usable = labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+def _usable(labelled: DataFrame) -> DataFrame:
+    return labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("doc_id", "text", "lang")
+
+
+def _sample(usable: DataFrame, max_training: int) -> tuple[np.ndarray, list[str], int]:
+    """Packed presence vectors and languages of the sample, and the greatest hash of its ids."""
     place = F.xxhash64("doc_id")
     rows = (
-        usable.select("doc_id", "text", "lang")
-        .where(place <= _share(usable, max_training))
+        usable.where(place <= _share(usable, max_training))
         .mapInPandas(_packed, "doc_id long, lang string, cells binary")
         .orderBy(place, "doc_id", "cells", "lang")
         .limit(max_training)
+        .withColumn("place", place)
         .collect()
     )
     bits = np.frombuffer(b"".join(r["cells"] for r in rows), dtype=np.uint8).reshape(len(rows), DIMENSIONS // 8)
-    return train(bits, [r["lang"] for r in rows])
+    return bits, [r["lang"] for r in rows], max((r["place"] for r in rows), default=-(1 << 63))
+
+
+def fit(labelled: DataFrame, max_training: int = MAX_TRAINING) -> Model:
+    """Train on a bounded sample of ``labelled`` (doc_id, text, lang)."""
+    bits, languages, _ = _sample(_usable(labelled), max_training)
+    return train(bits, languages)
+
+
+def fit_both(labelled: DataFrame, max_training: int = MAX_TRAINING) -> tuple[Model, Familiarity]:
+    """``fit``, and what is familiar by the same sample."""
+    usable = _usable(labelled)
+    bits, languages, last = _sample(usable, max_training)
+    model = train(bits, languages)
+    size = np.array([languages.count(name) for name in model.languages])
+    count = np.zeros((len(size), DIMENSIONS))
+    for cells, language in zip(bits, languages, strict=True):
+        count[model.languages.index(language)] += np.unpackbits(cells)
+    share = count / size[:, None]
+    # Without the text itself: all its cells have been counted once for it.
+    without: dict[str, np.ndarray] = {}
+    for k, name in enumerate(model.languages):
+        if size[k] > 1:
+            others = np.delete(share, k, axis=0).max(axis=0, initial=0.0)
+            without[name] = np.maximum(others, (count[k] - 1) / (size[k] - 1)).astype(np.float32)
+
+    def measured(batches) -> Iterator:
+        for pdf in batches:
+            for name, part in pdf.groupby("lang"):
+                for k in range(0, len(part), BATCH):
+                    own = part.iloc[k : k + BATCH]
+                    yield own[["lang"]].assign(value=familiarity(own["text"].tolist(), without[name])[0])
+
+    sample = usable.where((F.xxhash64("doc_id") <= last) & F.col("lang").isin(list(without)))
+    middle = sample.mapInPandas(measured, "lang string, value double").groupBy("lang").agg(F.percentile("value", F.lit(0.5)).alias("m"))
+    least = {r["lang"]: LEAST_PART * r["m"] for r in middle.collect()} if without else {}
+    return model, Familiarity(share.max(axis=0, initial=0.0).astype(np.float32), least)
 
 
 def _share(usable: DataFrame, wanted: int) -> int:
@@ -153,7 +242,7 @@ def _share(usable: DataFrame, wanted: int) -> int:
     return int(-(1 << 63) + part * ((1 << 64) - 1)) if part < 1 else (1 << 63) - 1
 
 
-def _predict_batches(model: Model):
+def _predict_batches(model: Model, known: Familiarity | None):
     def run(batches) -> Iterator:
         for pdf in batches:
             texts = pdf["scored_text"].tolist()
@@ -164,27 +253,41 @@ def _predict_batches(model: Model):
                 best[k : k + BATCH] = out.argmax(axis=1)
                 value[k : k + BATCH] = out.max(axis=1)
             names = np.asarray(model.languages, dtype=object)
-            known = pdf["scored_letters"].to_numpy()
-            pdf["lang_pred"] = np.where(known, names[best], UNKNOWN)
-            pdf["score"] = np.where(known, np.clip(value, 0.0, 1.0), 0.0)
+            letters = pdf["scored_letters"].to_numpy()
+            pdf["lang_pred"] = np.where(letters, names[best], UNKNOWN)
+            pdf["score"] = np.where(letters, np.clip(value, 0.0, 1.0), 0.0)
+            if known is not None:
+                least = np.array([known.least.get(name, 0.0) for name in model.languages])
+                familiar = np.zeros(len(texts), dtype=bool)
+                for k in range(0, len(texts), BATCH):
+                    mean, error = familiarity(texts[k : k + BATCH], known.shares)
+                    familiar[k : k + BATCH] = mean + 2 * error >= least[best[k : k + BATCH]]
+                pdf["familiar"] = familiar & letters
             yield pdf.drop(columns=["scored_text", "scored_letters"])
 
     return run
 
 
-def predict(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns with ``lang_pred`` and ``score`` (0..1) of each row's whole text."""
+def predict(
+    docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",), known: Familiarity | None = None
+) -> DataFrame:
+    """``keep`` columns with ``lang_pred`` and ``score`` (0..1) of each row's whole text, and ``familiar`` by ``known``."""
     body = F.coalesce(docs[text], F.lit(""))
     if not model.languages:
         return docs.select(
-            *[docs[c] for c in keep], F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score")
+            *[docs[c] for c in keep],
+            F.lit(UNKNOWN).alias("lang_pred"),
+            F.lit(0.0).alias("score"),
+            *([] if known is None else [F.lit(False).alias("familiar")]),
         )
     rows = docs.select(
         *[docs[c] for c in keep], body.alias("scored_text"), body.rlike(r"\p{L}").alias("scored_letters")
     )
     schema = T.StructType([f for f in rows.schema if f.name not in ("scored_text", "scored_letters")])
     schema = schema.add("lang_pred", "string").add("score", "double")
-    return rows.mapInPandas(_predict_batches(model), schema)
+    if known is not None:
+        schema = schema.add("familiar", "boolean")
+    return rows.mapInPandas(_predict_batches(model, known), schema)
 
 
 def training_rows(docs: DataFrame) -> DataFrame:

@@ -55,6 +55,21 @@ def test_pipeline(spark, tmp_path):
     assert {(r.doc_id, r.taken) for r in whole} == {(i, r.taken) for i, r in got.items()}
 
 
+def test_language_stage_rejects_texts_in_no_language(spark):
+    rng = random.Random(4)
+    syllables = {l: ["".join(rng.choice(letters) for _ in range(3)) for _ in range(15)] for l, letters in {"a": "abcdefgh", "b": "ijklmnop", "c": "qrstuvwx", "d": "aeioulmn", "e": "bdgptkre", "f": "szcfhaei"}.items()}
+    written = lambda l, n: " ".join(rng.choice(syllables[l]) + rng.choice(syllables[l]) for _ in range(n))
+    junk = lambda n: " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(n))
+    for languages in ("ab", "abcdef"):
+        clean = [(l, written(l, n)) for l in languages for n in (1, 3, *[40] * 60, 4000)] + [("a", "abc"), ("b", "k")]
+        # A fiftieth of the labelled texts are junk, too: they are no measure for the others.
+        foul = [(l, junk(n)) for l in languages for n in (40, 4000)] + [("a", "すべての人間は、生まれながらにして自由である。" * 3)]
+        rows = [(i, t, l, "s", len(t)) for i, (l, t) in enumerate(clean + foul)]
+        frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+        got = {r.doc_id for r in pipeline.known_language(spark, frame, "").collect()}
+        assert got == set(range(len(clean)))
+
+
 def test_near_duplicates_with_repeated_ids(spark):
     rows = [(1, "a b c d e f g", "en", "s", 0), (1, "a b c d e f g", "en", "s", 0), (1, "other words in this one here", "en", "s", 0), (None, "third text without an id at all", "en", "s", 0)]
     frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
