@@ -118,8 +118,8 @@ def features(text: str, tokens: Tokens) -> tuple[float, ...]:
     capitals, exclaimed, punctuation = (int(row[raw].sum(dtype=np.int64)) / size for row in _TABLE)
     return (
         len(hit) / n,
-        float(min(len(hit), 50)),
-        float(len({words[i].strip(_STRIP).lower() for i in hit[:200]})),
+        float(len(hit)),
+        float(len({w.strip(_STRIP).lower() for w in {words[i] for i in hit}})),
         float(dense),
         near / n,
         int(((codes & _DISGUISED) > 0).sum()) / n,

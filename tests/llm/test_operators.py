@@ -247,6 +247,12 @@ def test_toxicity_held_out(spark):
     assert sum(held) >= 0.97 * len(held)
 
 
+def test_toxicity_counts_lexicon_words_of_the_whole_text():
+    tokens = toxicity.Tokens(frozenset(["idiot", *(f"bad{c}" for c in "abcdefgh")]))
+    found = toxicity.features("idiot ok " * 300 + " ".join(f"bad{c}" for c in "abcdefgh"), tokens)
+    assert found[toxicity.FEATURES.index("hits")] == 308 and found[toxicity.FEATURES.index("variety")] == 9
+
+
 def test_toxicity_features_see_disguise_and_second_person():
     tokens = toxicity.Tokens(frozenset(["idiot"]))
     clean, bad = toxicity.features("hello there", tokens), toxicity.features("YOU 1d10t!", tokens)
