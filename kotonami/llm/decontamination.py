@@ -1,12 +1,15 @@
-"""Benchmark decontamination by size-partitioned MinHash containment search (op6).
+"""Benchmark decontamination by a least-hash prefix filter and exact containment (op6).
 
 A benchmark item is short, a document may be long, so their Jaccard similarity says little; asked is
 the containment |item and document| / |item| of word shingles, 0.8 or more.
 
-* Items are partitioned by the number n of their shingles. An item's sketch holds the
-  ``n - ceil(0.8 n) + 1`` shingles with the least hash values. A document that contains 0.8 of
-  the item misses at most ``n - ceil(0.8 n)`` shingles, so it holds one of the sketch at least: the
-  search loses nothing, and only documents with enough shingles for the partition are candidates.
+* An item of n shingles has a sketch: the ``n - ceil(0.8 n) + 1`` with the least hash values. A
+  document that contains 0.8 of the item misses at most ``n - ceil(0.8 n)`` shingles, so it holds
+  one of the sketch at least: the search loses nothing.
+* This one prefix filter over all items replaces a MinHash search partitioned by size: there are no
+  partitions and no check of a document's size. The sketches together only drop documents; pairs
+  come from joining the shingles left with those of all items. The filter is exact where MinHash
+  estimates, and counting decides every pair, so its sketch excludes none that holds enough.
 * Two bitmaps of ``BITMAP_BITS`` bits, whatever the size of the benchmark, say which shingle hashes
   the items and their sketches have. Documents are read once; a document that holds nothing of a
   sketch is dropped in the scan, of the others the shingles that some item has leave it.
@@ -115,7 +118,7 @@ def item_shingles(items: DataFrame, width: int = WIDTH) -> DataFrame:
 def with_sketches(items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``items`` with ``need`` (shingles that make the threshold) and ``sketch`` (of its sketch or not).
 
-    The length of a sketch depends on the size partition, the number of the item's shingles, alone.
+    The length of a sketch depends on the number of the item's shingles alone.
     """
     need = F.ceil(F.col("n") * threshold - 1e-9).cast("long")
     rank = F.row_number().over(Window.partitionBy("item_id", "item").orderBy("hash", "shingle"))
