@@ -417,7 +417,7 @@ def test_overlaps_widen_where_nothing_aligns(text):
 
 @pytest.mark.parametrize("rows_in_cell", [1_000, 3])
 def test_embedding_join_against_all_pairs(spark, rows_in_cell, monkeypatch):
-    monkeypatch.setattr(embedding_dedup, "CELL_ROWS", rows_in_cell)
+    monkeypatch.setattr(embedding_dedup, "CELL_VALUES", rows_in_cell * 20)
     rng = np.random.default_rng(5)
     rows, number = [], 0
     for _ in range(25):
