@@ -65,6 +65,8 @@ FOR = {
 AGAINST = "version|release|isbn|issn|order|invoice|ticket|section|chapter|sku|serial|build|id"
 LABELERS = ("strict", "loose", "gazetteer", "before", "after")
 ROUNDS = 30
+#: Characters of a piece when a text is cut at its spans.
+PIECE = 4_096
 ACCEPT = 0.5
 
 
@@ -130,8 +132,10 @@ def candidates(docs: DataFrame, row: str, keep: tuple[str, ...] = (), text: str
     )
     rows = rows.withColumn("digits", n).withColumn("strict", F.coalesce(F.col("base") & strict, F.lit(False)))
     # Short numbers are no candidates; neither is what overlaps a base span.
-    ahead = Window.partitionBy(row).orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
-    behind = Window.partitionBy(row).orderBy("start", "end").rowsBetween(1, Window.unboundedFollowing)
+    # Both windows only grow, one from either end: their work is linear in a row's spans.
+    places = ["start", "end", "kind", "base"]
+    ahead = Window.partitionBy(row).orderBy(*places).rowsBetween(Window.unboundedPreceding, -1)
+    behind = Window.partitionBy(row).orderBy(*map(F.desc, places)).rowsBetween(Window.unboundedPreceding, -1)
     reached = F.max(F.when(F.col("strict"), F.col("end"))).over(ahead)
     coming = F.min(F.when(F.col("strict"), F.col("start"))).over(behind)
     likely = F.col("strict") | ~F.col("base") | (F.col("kind").isin("card", "phone") & (F.col("digits") >= 9))
@@ -279,6 +283,18 @@ def _listed(which: Column) -> Column:
     )
 
 
+def _cut(pieces: Column, begin: Column, end: Column) -> Column:
+    """Characters ``begin`` to ``end`` of a text given in pieces of ``PIECE`` characters.
+
+    Only the pieces in the range are touched, so cutting a text into all its parts stays linear.
+    """
+    first, last = F.floor(begin / PIECE).cast("int"), F.floor((end - 1) / PIECE).cast("int")
+    head = F.substr(F.get(pieces, first), (begin % PIECE + 1).cast("int"), F.least(end - begin, F.lit(PIECE)).cast("int"))
+    between = F.array_join(F.slice(pieces, first + 2, F.greatest(last - first - 1, F.lit(0))), "")
+    tail = F.left(F.get(pieces, last), (end - F.lit(PIECE).cast("long") * last).cast("int"))
+    return F.when(end <= begin, "").when(first == last, head).otherwise(F.concat(head, between, tail))
+
+
 def redacted(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with every accepted span of ``text`` replaced by its kind in angle brackets.
 
@@ -286,23 +302,25 @@ def redacted(docs: DataFrame, text: str = "text") -> DataFrame:
     """
     rows = common.staged(docs.withColumn("pii_row", F.monotonically_increasing_id()), "pii-rows")
     found = find(rows, "pii_row", text=text).where("kind IS NOT NULL")
-    spans = found.groupBy("pii_row").agg(F.array_sort(F.collect_list(F.struct("start", "end", "kind"))).alias("pii_spans"))
+    along = Window.partitionBy("pii_row").orderBy("start", "end", "kind").rowsBetween(Window.unboundedPreceding, -1)
+    found = found.select(
+        "pii_row", F.coalesce(F.max("end").over(along), F.lit(0).cast("long")).alias("at"), "start", "end", "kind"
+    ).where(F.col("end") > F.col("at"))
+    spans = found.groupBy("pii_row").agg(
+        F.array_sort(F.collect_list(F.struct("at", "start", "end", "kind"))).alias("pii_spans")
+    )
     joined = rows.join(spans, "pii_row", "left")
 
-    def step(state: Column, span: Column) -> Column:
-        begin = F.greatest(span["start"], state["at"])
-        part = F.substr(F.col(text), (state["at"] + 1).cast("int"), (begin - state["at"]).cast("int"))
-        tag = F.when(span["end"] > begin, F.concat(F.lit("<"), F.upper(span["kind"]), F.lit(">"))).otherwise("")
-        return F.struct(
-            F.greatest(span["end"], state["at"]).alias("at"), F.concat(state["out"], F.array(part, tag)).alias("out")
+    def made(pieces: Column) -> Column:
+        parts = F.transform(
+            "pii_spans",
+            lambda s: F.concat(_cut(pieces, s["at"], F.greatest(s["start"], s["at"])), F.lit("<"), F.upper(s["kind"]), F.lit(">")),
         )
+        rest = _cut(pieces, F.element_at("pii_spans", -1)["end"], F.char_length(text).cast("long"))
+        return F.concat(F.array_join(parts, ""), rest)
 
-    first = F.struct(F.lit(0).cast("long").alias("at"), F.expr("cast(array() as array<string>)").alias("out"))
-    made = F.aggregate(
-        "pii_spans", first, step,
-        lambda s: F.concat(F.array_join(s["out"], ""), F.substr(F.col(text), (s["at"] + 1).cast("int"))),
-    )
-    clean = F.when(F.col("pii_spans").isNull(), F.col(text)).otherwise(made)
+    pieces = F.regexp_extract_all(F.col(text), F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+    clean = F.when(F.col("pii_spans").isNull(), F.col(text)).otherwise(_let(pieces, made))
     return joined.withColumn(text, clean).select(*docs.columns)
 
 

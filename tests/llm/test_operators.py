@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -214,6 +215,32 @@ def test_pii_redaction(spark):
     assert got == {0: "mail <EMAIL> now <PHONE>!", 1: None, 2: "é <IP>", 3: "clean"}
 
 
+def test_pii_redaction_of_long_texts(spark, monkeypatch):
+    monkeypatch.setattr(pii, "PIECE", 7)
+    rng = random.Random(8)
+    atoms = ["a@b.de ", "1.2.3.4 ", "+1 (988) 555-2485", "é\n", "word ", "\U00020bb7", "4111 1111 1111 1111 "]
+    texts = ["".join(rng.choice(atoms) for _ in range(rng.randint(0, 40))) for _ in range(60)]
+    frame = docs_of(spark, texts)
+    got = {r.doc_id: r.text for r in pii.redacted(frame).collect()}
+    found = pii.find(frame.withColumn("row", F.col("doc_id")), "row").where("kind IS NOT NULL").collect()
+    for i, text in enumerate(texts):
+        out, at = "", 0
+        for start, end, kind in sorted((r.start, r.end, r.kind) for r in found if r.row == i):
+            if end > at:
+                out += text[at : max(start, at)] + f"<{kind.upper()}>"
+                at = end
+        assert got[i] == out + text[at:]
+
+
+def test_pii_of_one_document_with_very_many_spans(spark):
+    text = "".join(f"u{k}@mail{k % 9}.com " for k in range(100_000))
+    began = time.time()
+    frame = docs_of(spark, [text])
+    got = pii.redacted(frame).first().text
+    assert got == "<EMAIL> " * 100_000
+    assert time.time() - began < 60
+
+
 def test_pii_main_path_is_native(spark):
     frame = docs_of(spark, ["x@y.com"]).withColumn("row", F.col("doc_id"))
     plan = pii.votes(pii.candidates(frame, "row"))._jdf.queryExecution().executedPlan().toString()
