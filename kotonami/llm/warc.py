@@ -3,17 +3,22 @@
 Writing: every page is a record, packed as a gzip member of its own into archives of about
 ``ARCHIVE_BYTES``. Of pages with equal payloads of ``REVISIT_BYTES`` or more, one (the largest
 page_id) is written as a response, the others as revisits that name it and carry no payload.
+Only ids and digests are shuffled to find it; payloads are written where they are scanned, as long as
+the table of repeated digests is known to be small, else salted by page.
 Archives go to a folder that all machines share, each under a name of its own task attempt; the
 manifest of the attempts that succeeded says which archives count, so a lost executor leaves at
-most files that nobody reads.
+most files that nobody reads. It also says how many records each has: a reader that finds another number fails.
 
 Reading: ``salvage`` walks an archive record by record and checks gzip, version line, header fields,
 length and digest. Where a check fails it searches on for the next gzip member or version line at
-which a valid record starts, goes on from there and logs the bytes between as a quarantined gap.
+which a valid record starts, goes on from there and logs the bytes between as a quarantined gap. A
+member that breaks, is cut short or holds a bad record is searched in the same way inside, as far as
+it could be inflated. Where the next candidate, header end or zero byte lies is remembered, so false starts
+that break early cost no rereading; only sound streams nested in broken ones are read more than once.
 
 Defined results: a null html is an empty payload; a null page_id is written as ``null`` and is the
 smallest; rows repeated under one page_id are records of their own, one of which is the response;
-an empty table gives no archive. Line breaks in urls are percent-encoded.
+an empty table gives no archive. Line breaks in urls are percent-encoded. Records have no size limit but memory.
 """
 
 from __future__ import annotations
@@ -41,8 +46,10 @@ VERSION = b"WARC/1.1"
 _VERSION_LINE = re.compile(rb"WARC/1\.[01]\r\n")
 _FIELD_NAME = re.compile(rb"[A-Za-z0-9-]+")
 _MEMBER = b"\x1f\x8b\x08"
-#: A record's decompressed size beyond this counts as damage.
-MAX_RECORD_BYTES = 1 << 30
+_START = re.compile(rb"\x1f\x8b\x08(?=[\x00-\x1f])|WARC/1\.[01]\r\n")
+#: Repeated digests that are joined where pages are scanned; more of them are joined by shuffling.
+BROADCAST_DIGESTS = 500_000
+SALTS = 32
 _REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -60,128 +67,228 @@ def encode(fields: dict[str, str], block: bytes) -> bytes:
     return VERSION + b"\r\n" + head + b"\r\n" + block + b"\r\n\r\n"
 
 
-def decode(raw: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int] | None:
-    """(fields, block, end) of the record that starts at ``at``, or None if any check fails."""
-    m = _VERSION_LINE.match(raw, at)
-    if not m:
-        return None
-    head_end = raw.find(b"\r\n\r\n", m.end() - 2)
-    if head_end < 0:
-        return None
-    fields: dict[str, str] = {}
-    for line in raw[m.end() : head_end].split(b"\r\n"):
-        name, colon, value = line.partition(b":")
-        if not colon or not _FIELD_NAME.fullmatch(name):
-            return None
-        try:
-            fields[name.decode("ascii").strip().lower()] = value.decode().strip()
-        except UnicodeDecodeError:
-            return None
-    length = fields.get("content-length", "")
-    if not (length.isascii() and length.isdigit()) or not {"warc-type", "warc-record-id"} <= fields.keys():
-        return None
-    begin = head_end + 4
-    block = raw[begin : begin + int(length)]
-    if len(block) < int(length) or raw[begin + len(block) : begin + len(block) + 4] != b"\r\n\r\n":
-        return None
-    digest = fields.get("warc-block-digest")
-    if digest and digest != _b32(hashlib.sha1(block).hexdigest()):
-        return None
-    return fields, block, begin + len(block) + 4
-
-
-def _member(raw: bytes) -> tuple[bytes, int] | None:
-    """(content, end) of the gzip member that ``raw`` begins with; None if it goes on beyond ``raw``.
-
-    Raises ``zlib.error`` where it is broken.
-    """
-    inflate = zlib.decompressobj(31)
-    content = inflate.decompress(raw, MAX_RECORD_BYTES)
-    return (content, len(raw) - len(inflate.unused_data)) if inflate.eof else None
+class Plain:
+    """Records in uncompressed bytes. What has been found out about them is remembered from start to start."""
 
+    def __init__(self, raw: bytes):
+        self.raw = raw
+        self._bad = range(0)  # starts of lines in it lead to a line that is no header field
+        self._failed: tuple[int, str, str | None] | None = None  # block that failed
 
-def _record_at(raw: bytes, at: int) -> tuple[list[tuple[dict[str, str], bytes]], int] | None:
-    """The valid records of the member or plain record that starts at ``at``, and where it ends."""
-    if raw[at : at + 3] == _MEMBER:
-        # Only a window first: members are small against the archive.
-        size = 1 << 16
-        try:
-            while not (got := _member(raw[at : at + size])) and at + size < len(raw):
-                size *= 8
-        except zlib.error:
+    def decode(self, at: int) -> tuple[dict[str, str], bytes, int] | None:
+        """(fields, block, end) of the record that starts at ``at``, or None if any check fails."""
+        raw = self.raw
+        m = _VERSION_LINE.match(raw, at)
+        if not m or m.end() in self._bad:
             return None
-        if not got:
-            return None
-        content, used = got
-        out, place = [], 0
-        while place < len(content):
-            one = decode(content, place)
-            if not one:
+        fields: dict[str, str] = {}
+        place = m.end()
+        while not raw.startswith(b"\r\n", place):
+            end = raw.find(b"\r\n", place)
+            name, colon, value = raw[place : max(end, place)].partition(b":")
+            try:
+                if end < 0 or not colon or not _FIELD_NAME.fullmatch(name):
+                    raise ValueError("no header field")
+                fields[name.decode("ascii").lower()] = value.decode().strip()
+            except ValueError:
+                self._bad = range(m.end(), len(raw) + 1 if end < 0 else place + 1)
                 return None
-            out.append(one[:2])
-            place = one[2]
-        return (out, at + used) if out else None
-    one = decode(raw, at)
-    return ([one[:2]], one[2]) if one else None
+            place = end + 2
+        length = fields.get("content-length", "")
+        if not (length.isascii() and length.isdigit()) or not {"warc-type", "warc-record-id"} <= fields.keys():
+            return None
+        begin, digest = place + 2, fields.get("warc-block-digest")
+        stop = begin + int(length)
+        if raw[stop : stop + 4] != b"\r\n\r\n" or self._failed == (begin, length, digest):
+            return None
+        block = raw[begin:stop]
+        if digest and digest != _b32(hashlib.sha1(block).hexdigest()):
+            self._failed = (begin, length, digest)
+            return None
+        return fields, block, stop + 4
+
+
+def decode(raw: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int] | None:
+    """(fields, block, end) of the record that starts at ``at``, or None if any check fails."""
+    return Plain(raw).decode(at)
 
 
-def salvage(raw: bytes) -> Iterator[tuple[str, int, int, dict[str, str], bytes]]:
-    """(kind, start, end, fields, block) of an archive: ``record`` or quarantined ``gap``."""
-    at = 0
+class Members:
+    """Gzip members in an archive."""
+
+    STEP = 1 << 14
+    NAME = 1 << 12
+
+    def __init__(self, raw: bytes):
+        self.raw, self._zero = raw, -1
+        self.fruitless = -1  # where data begin that gave no record the last time
+
+    def _after_zero(self, at: int) -> int:
+        """The place after the next zero byte, beyond the end if there is none."""
+        if self._zero < at:
+            found = self.raw.find(b"\0", at)
+            self._zero = found if found >= 0 else len(self.raw)
+        return self._zero + 1
+
+    def _body(self, at: int) -> int | None:
+        """Where the deflated data of the member at ``at`` begins; None if its header is unsound.
+
+        So is one whose name or comment is longer than a path can be.
+        """
+        raw, flags = self.raw, self.raw[at + 3] if at + 10 <= len(self.raw) else 255
+        if flags & 0xE0:
+            return None
+        place = at + 10
+        if flags & 4:
+            place += 2 + int.from_bytes(raw[place : place + 2], "little")
+        for bit in (8, 16):
+            if flags & bit:
+                begin, place = place, self._after_zero(place)
+                if place - begin > self.NAME:
+                    return None
+        if flags & 2:
+            if raw[place : place + 2] != (zlib.crc32(raw[at:place]) & 0xFFFF).to_bytes(2, "little"):
+                return None
+            place += 2
+        return place if place < len(raw) and place != self.fruitless else None
+
+    def inflate(self, at: int) -> tuple[bytes, int | None] | None:
+        """(content, end) of the member at ``at``; the end is None if it breaks or is cut short, and the
+        content then what came out before. None if nothing comes out."""
+        begin = place = self._body(at)
+        if place is None:
+            return None
+        self.fruitless = begin  # until the caller finds a record
+        stream, parts = zlib.decompressobj(-15), []
+        size = 64
+        try:
+            while not stream.eof and place < len(self.raw):
+                piece = self.raw[place : place + size]
+                parts.append(stream.decompress(piece))
+                place += len(piece)
+                size = min(4 * size, self.STEP)
+        except zlib.error:
+            content = b"".join(parts)
+            return (content, None) if content else None
+        content = b"".join(parts)
+        if stream.eof:
+            place -= len(stream.unused_data)
+            trailer = zlib.crc32(content).to_bytes(4, "little") + (len(content) & 0xFFFFFFFF).to_bytes(4, "little")
+            if self.raw[place : place + 8] == trailer:
+                return content, place + 8
+        return (content, None) if content else None
+
+
+def _plain_records(content: bytes) -> tuple[list[tuple[dict[str, str], bytes]], bool]:
+    """The valid records of a member's content, searched as an archive of its own, and whether they fill it."""
+    found, sound = [], True
+    for kind, _, _, fields, block in salvage(content, members=False):
+        if kind == "record":
+            found.append((fields, block))
+        else:
+            sound = False
+    return found, sound
+
+
+def salvage(raw: bytes, members: bool = True) -> Iterator[tuple[str, int, int, dict[str, str], bytes]]:
+    """(kind, start, end, fields, block) of an archive: ``record`` or quarantined ``gap``.
+
+    Records share the start and end of their member. What is lost inside a complete member is a gap of that
+    member's place; a member that breaks gives the records before the break, and its bytes up to the next start
+    are a gap.
+    """
+    plain, packed = Plain(raw), Members(raw)
+    at = lost = 0  # next byte to look at, and where the gap under way began
+    starts = _START.finditer(raw)
     while at < len(raw):
-        got = _record_at(raw, at)
-        if got:
-            for fields, block in got[0]:
-                yield "record", at, got[1], fields, block
-            at = got[1]
+        start = at
+        if not _START.match(raw, at):
+            start = next((m.start() for m in starts if m.start() >= at), len(raw))
+        if start == len(raw):
+            break
+        at = start + 1
+        found: list[tuple[dict[str, str], bytes]] = []
+        sound, end = True, None
+        if raw[start] == 0x1F:
+            got = packed.inflate(start) if members else None
+            if got:
+                content, end = got
+                found, sound = _plain_records(content)
+        elif one := plain.decode(start):
+            found, end = [one[:2]], one[2]
+        if not found:
             continue
-        place = at + 1
-        while place < len(raw):
-            member = raw.find(_MEMBER, place)
-            line = _VERSION_LINE.search(raw, place)
-            starts = [p for p in (member, line.start() if line else -1) if p >= 0]
-            if not starts:
-                place = len(raw)
-                break
-            place = min(starts)
-            if _record_at(raw, place):
-                break
-            place += 1
-        yield "gap", at, place, {}, b""
-        at = place
+        packed.fruitless = -1
+        if lost < start:
+            yield "gap", lost, start, {}, b""
+        for fields, block in found:
+            yield "record", start, start if end is None else end, fields, block
+        lost = start
+        if end is not None:
+            if not sound:
+                yield "gap", start, end, {}, b""
+            at = lost = end
+    if lost < len(raw):
+        yield "gap", lost, len(raw), {}, b""
+
+
+def _repeated(pages: DataFrame, least: int) -> DataFrame:
+    """(digest, original, copies): digests that occur more than once, the largest page_id, and its rows."""
+    number = F.coalesce("page_id", F.lit(-(1 << 63)))
+    ids = pages.where(F.octet_length("payload") >= least).select("digest", "page_id")
+    # By digest and page first, so that many copies of one payload are added up before they meet.
+    each = ids.groupBy("digest", "page_id").agg(F.count(F.lit(1)).alias("n"))
+    groups = each.groupBy("digest").agg(
+        F.sum("n").alias("total"), F.max_by("page_id", number).alias("original"), F.max_by("n", number).alias("copies")
+    )
+    return groups.where("total > 1").select("digest", "original", "copies")
 
 
 def prepared(pages: DataFrame, least: int = REVISIT_BYTES) -> DataFrame:
-    """(page_id, url, payload, digest, record_type, refers_to): which pages are written as revisits.
+    """(page_id, url, payload, payload_bytes, digest, record_type, refers_to): which pages are written as revisits.
 
-    Only digests that occur more than once are joined back; their table has one row for each group
-    of equal payloads.
+    Pages meet a table of the repeated digests alone. Where rows repeat under the page_id that is the response, one
+    of them is chosen by its url, and the others, which carry no payload, are counted and spelt out again.
     """
     payload = F.coalesce(pages["html"], F.lit("")).cast("binary")
-    rows = pages.select(
-        pages["page_id"],
-        pages["url"],
-        payload.alias("payload"),
-        F.sha1(payload).alias("digest"),
-        F.monotonically_increasing_id().alias("row"),
-    )
-    order = F.struct(F.coalesce("page_id", F.lit(-(1 << 63))), F.col("row"))
-    groups = (
-        rows.where(F.octet_length("payload") >= least)
-        .groupBy("digest")
-        .agg(F.count(F.lit(1)).alias("n"), F.max(order).alias("last"), F.max_by("page_id", order).alias("original"))
-        .where("n > 1")
-        .select("digest", F.col("last.row").alias("original_row"), "original")
+    rows = pages.select(pages["page_id"], pages["url"], payload.alias("payload"), F.unhex(F.sha1(payload)).alias("digest"))
+    groups = common.staged(_repeated(rows, least), "warc-digests")
+    if groups.count() <= BROADCAST_DIGESTS:
+        joined = rows.join(F.broadcast(groups), "digest", "left")
+    else:
+        salt = F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS))
+        spread = groups.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+        joined = rows.withColumn("salt", salt).join(spread, ["digest", "salt"], "left")
+    chosen = F.col("copies").isNotNull() & F.col("page_id").eqNullSafe(F.col("original"))
+    revisit = F.col("copies").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("original"))
+
+    def records(joined: DataFrame, revisit, size=F.octet_length("payload").cast("long")) -> DataFrame:
+        return joined.select(
+            "page_id",
+            "url",
+            F.when(revisit, F.lit(b"")).otherwise(F.col("payload")).alias("payload"),
+            size.alias("payload_bytes"),
+            F.lower(F.hex("digest")).alias("digest"),
+            F.when(revisit, "revisit").otherwise("response").alias("record_type"),
+            F.when(revisit, F.col("original")).alias("refers_to"),
+        )
+
+    if not groups.where("copies > 1").take(1):
+        return records(joined, revisit)
+    tied = chosen & (F.col("copies") > 1)
+    of = ["digest", "page_id", "url", "original"]
+    counted = joined.where(tied).groupBy(*of).agg(
+        F.count(F.lit(1)).alias("n"), F.first("payload").alias("payload"), F.first(F.octet_length("payload").cast("long")).alias("size")
     )
-    revisit = F.col("original_row").isNotNull() & (F.col("original_row") != F.col("row"))
-    return rows.join(groups, "digest", "left").select(
-        "page_id",
-        "url",
-        F.when(revisit, F.lit(b"")).otherwise(F.col("payload")).alias("payload"),
-        F.octet_length("payload").cast("long").alias("payload_bytes"),
-        "digest",
-        F.when(revisit, "revisit").otherwise("response").alias("record_type"),
-        F.when(revisit, F.col("original")).alias("refers_to"),
+    counted = common.staged(counted, "warc-ties")
+    first = counted.groupBy("digest").agg(F.min(F.struct(F.col("url").isNotNull(), "url")).getField("url").alias("chosen"))
+    counted = counted.join(first, "digest").withColumn("response", F.col("url").eqNullSafe(F.col("chosen")))
+    others = F.col("n") - F.col("response").cast("long")
+    copies = counted.where(others > 0).select(*of, "size", F.explode(F.sequence(F.lit(1).cast("long"), others)))
+    return (
+        records(joined.where(~tied), revisit)
+        .unionByName(records(counted.where("response"), F.lit(False)))
+        .unionByName(records(copies.withColumn("payload", F.lit(b"")), F.lit(True), F.col("size")))
     )
 
 
@@ -254,12 +361,13 @@ def _number(urn: str | None) -> int | None:
 
 def _read_batches(batches) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        for path, content in zip(pdf["path"], pdf["content"], strict=True):
-            name, rows = os.path.basename(path), []
+        for path, content, expected in zip(pdf["path"], pdf["content"], pdf["records"], strict=True):
+            name, rows, records = os.path.basename(path), [], 0
             for kind, start, end, fields, block in salvage(bytes(content)):
                 if kind == "gap":
                     rows.append((name, kind, start, end, None, None, None, None, None, None, None))
                     continue
+                records += 1
                 digest = base64.b32decode(fields.get("warc-payload-digest", "").removeprefix("sha1:")).hex()
                 response = fields["warc-type"] == "response"
                 rows.append(
@@ -274,6 +382,8 @@ def _read_batches(batches) -> Iterator[pd.DataFrame]:
                 if len(rows) >= 2_000:
                     yield _frame(rows)
                     rows = []
+            if expected == expected and expected is not None and records != expected:
+                raise ValueError(f"{name}: {records} records could be read of {int(expected)} written")
             yield _frame(rows)
 
 
@@ -288,15 +398,18 @@ def read_archives(spark: SparkSession, folder: str, manifest: DataFrame | None =
     """All records and gaps of the archives in ``folder`` (of the manifest's archives, if given).
 
     ``kind`` is ``record`` or ``gap``; ``start`` and ``end`` are byte positions in the archive. Payloads
-    of revisits are empty. An archive is read by one task and has about ``ARCHIVE_BYTES``.
+    of revisits are empty. An archive is read by one task and has about ``ARCHIVE_BYTES``. With a manifest, an
+    archive that does not give all of its records ends the job.
     """
     files = spark.read.format("binaryFile").schema(
         "path string, modificationTime timestamp, length long, content binary"
-    ).option("pathGlobFilter", "*.warc.gz").load(folder)
+    ).option("pathGlobFilter", "*.{warc,warc.gz}").load(folder)
     files = files.select("path", "content")
-    if manifest is not None:
+    if manifest is None:
+        files = files.withColumn("records", F.lit(None).cast("long"))
+    else:
         name = F.regexp_extract("path", r"[^/]+$", 0)
-        files = files.join(manifest.select("archive"), name == F.col("archive"), "left_semi")
+        files = files.join(manifest.select("archive", "records"), name == F.col("archive")).select("path", "content", "records")
     return files.mapInPandas(_read_batches, _READ_SCHEMA)
 
 

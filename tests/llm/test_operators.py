@@ -154,6 +154,58 @@ def test_salvage_of_junk_and_nothing():
     assert [(k, a, b) for k, a, b, _, _ in warc.salvage(b"WARC/1.1\r\nbroken" * 3)] == [("gap", 0, 48)]
 
 
+def test_salvage_searches_inside_a_member():
+    import gzip
+
+    parts = [record(n, False) for n in range(4)]
+    parts[1] = parts[1].replace(b"B" * 5000, b"B" * 4999 + b"x")
+    whole = gzip.compress(b"".join(parts), mtime=0)
+    cut = gzip.compress(b"".join(bytes(random.Random(n).randbytes(3000)).hex().encode() + record(n, False) for n in range(4)), mtime=0)[:-2000]
+    got = list(warc.salvage(whole + cut + record(5)))
+    ids = [f["warc-record-id"] for k, _, _, f, _ in got if k == "record"]
+    assert ids[:3] == [f"<urn:page:{n}>" for n in (0, 2, 3)] and ids[-1] == "<urn:page:5>" and "<urn:page:0>" in ids[3:-1]
+    gaps = [(a, b) for k, a, b, _, _ in got if k == "gap"]
+    assert gaps == [(0, len(whole)), (len(whole), len(whole) + len(cut))]
+
+
+@pytest.mark.parametrize(
+    "false_start", [b"\x1f\x8b\x08", b"WARC/1.1\r\n", b"WARC/1.1\r\na: b\r\n", b"\x1f\x8b\x08\0abcdef\0", b"x: WARC/1.1\r\n", b"\x1f\x8b\x08\0\0\0\0\0\0\3"]
+)
+def test_salvage_passes_false_starts_in_linear_time(false_start):
+    raw = false_start * ((8 << 20) // len(false_start)) + record(3)
+    began = time.time()
+    got = [(k, a, f.get("warc-record-id")) for k, a, _, f, _ in warc.salvage(raw)]
+    assert got == [("gap", 0, None), ("record", len(raw) - len(record(3)), "<urn:page:3>")]
+    assert time.time() - began < 30
+
+
+def test_plain_archives_are_read_and_losses_raise(spark, tmp_path):
+    (tmp_path / "a.warc").write_bytes(record(1, False) + b"junk" + record(2, False))
+    folder = f"file://{tmp_path}"
+    assert sorted(r.kind for r in warc.read_archives(spark, folder).collect()) == ["gap", "record", "record"]
+    manifest = spark.createDataFrame([("a.warc", 3)], "archive string, records long")
+    with pytest.raises(Exception, match="2 records could be read of 3"):
+        warc.read_archives(spark, folder, manifest).collect()
+
+
+@pytest.mark.parametrize("few", [0, 1_000])
+def test_revisits_by_either_join(spark, few, monkeypatch):
+    monkeypatch.setattr(warc, "BROADCAST_DIGESTS", few)
+    long = "x" * 2_000_000
+    rows = [(k, "u", "ab" * 600) for k in range(40)] + [(39, "u", "ab" * 600), (39, None, "ab" * 600), (None, "v", "q" * 1000), (None, "v", "q" * 1000), (50, "u", long), (51, "u", long)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = [(r.page_id, r.record_type, r.refers_to, r.payload_bytes, len(r.payload)) for r in warc.prepared(frame).collect()]
+    assert len(got) == len(rows) and sum(r[1] == "response" for r in got) == 3
+    assert sorted(r for r in got if r[0] == 39) == [(39, "response", None, 1200, 1200)] + [(39, "revisit", 39, 1200, 0)] * 2
+    assert sum(r[:3] == (None, "revisit", None) for r in got) == 1
+    assert (50, "revisit", 51, 2_000_000, 0) in got and (51, "response", None, 2_000_000, 2_000_000) in got
+
+
+def test_no_pages_give_no_records(spark, tmp_path):
+    spark.createDataFrame([], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    assert warc.query(spark, str(tmp_path)).count() == 0
+
+
 # op3
 
 BASE = {
