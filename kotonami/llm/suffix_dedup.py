@@ -3,23 +3,26 @@
 Every byte covered by a string of ``LENGTH`` bytes that also starts earlier in the corpus is removed.
 
 * Anchors. In each string of ``LENGTH`` bytes the ``GRAM``-byte substrings of least hash are its anchors; they
-  depend on its content alone. A string can only repeat if its anchors do, so anchors that occur once are
-  dropped at the scan (through a bitmap of bounded size; what it lets through wrongly costs time, not exactness).
-* Samples. A kept anchor has a context, the bytes of all strings that can hold it. Anchors with equal contexts are
-  pre-aggregated by a digest of it to one suffix tuple with its first place, and only first places whose
-  anchor has different contexts send their bytes to the sort. Spark's external sort orders the
-  tuples of each anchor by the suffix that starts there.
-* Induction. From the sorted suffixes at the anchors the order of the suffixes one byte earlier follows by
-  appending each tuple to the queue of its preceding byte, in order; the common prefix of neighbours in a queue is
-  one more than the least common prefix between them before. Repeating this for every byte before the anchor, a
-  string's copies are the runs whose common prefix reaches ``LENGTH``; all but the first are marked.
-  Tuples that fit ``MEMORY_ROWS`` are induced in memory; a larger group goes through disk-backed
-  queues, one for each byte, and recursion on each queue; of a group far larger than memory only the order of
-  its places (24 bytes a tuple) is held, never bytes or prefixes.
-* Other occurrences of a context are covered as a whole: its first place has all its strings earlier.
-
-The samples make the recursion one level deep: their order comes from comparing at most ``LENGTH``
-bytes, which all later steps need. Suffixes that cannot reach ``LENGTH`` any more leave early.
+  depend on its content alone. An anchor's context is the bytes of all strings that can hold it. One pass over the texts
+  gives every anchor with its place and a digest of its context; what repeats within a batch leaves at once.
+* Classes. Sorted by anchor, digest and place, equal contexts stand together: the first place has all their strings
+  earlier, so every other one is covered as a whole. Anchors that occur once end here. Equality is that of
+  the anchor's hash (64 bits) and of two digests of the context (89 bits), not of bytes.
+* Samples. Where an anchor stands in different contexts, their first places send suffix tuples to the sort. A string
+  has at most ``HALF`` bytes before the anchor or at most ``HALF`` before the place ``HALF`` bytes earlier, so
+  each context gives two tuples, one for either place: the suffix there and the ``HALF`` bytes before it. Strings that
+  hold the place share ``SHARED`` bytes from it on: tuples meet by the hash of these, which
+  splits a common phrase by what follows it. Spark's external sort orders the tuples by suffix.
+* Induction. The sorted tuples, with the common prefix of each and the one before, enter a queue. From it the order of
+  the suffixes one byte earlier follows: tuples are taken in order and put into a priority queue by their preceding
+  byte, equal bytes in order of arrival; the common prefix of neighbours there is one more than the least one between
+  them before. Each byte's tuples, in turn, are induced in the same way: the recursion ends
+  ``HALF`` bytes before the place. At each depth a string's copies are the runs whose common prefix reaches ``LENGTH``;
+  all but the first are marked. Queues hold ``MEMORY_ROWS`` tuples in memory and the rest on disk, and tuples
+  carry their place, so a group far larger than memory is never held as a whole.
+
+Only ``LENGTH`` bytes are ever compared, so the samples are in order after one sort. Tuples whose common prefix cannot
+reach ``LENGTH`` any more leave early.
 
 Defined results: a null text is empty; texts under ``LENGTH`` bytes stay whole; rows under one id are put in
 order by their text and count as documents of their own, a null id comes first; an empty table gives no rows.
@@ -42,13 +45,19 @@ from . import common, shingles
 LENGTH = 100
 GRAM = 32
 BEFORE = LENGTH - GRAM
-#: Bitmaps have 16 bits for each entry, but no more than these; beyond it they let more through.
-MAX_BITMAP_BITS = 1 << 28
-MEMORY_ROWS = 100_000
+HALF = BEFORE // 2
+SHARED = LENGTH - HALF
+#: Tuples that the queues of a task hold in memory.
+MEMORY_ROWS = 50_000
+#: ``at`` holds a second digest, the position and the number of bytes from it on, up to ``LENGTH``.
+POSITION_BITS, AFTER_BITS = 31, 7
 PIECE_BYTES = 1 << 19
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _UP = shingles._powers(_BASE, PIECE_BYTES + 4 * LENGTH)
 _DOWN = shingles._powers(np.uint64(pow(int(_BASE), -1, 1 << 64)), PIECE_BYTES + 4 * LENGTH)
+_OTHER = np.uint64(0xC2B2AE3D27D4EB4F)
+_OTHER_UP = shingles._powers(_OTHER, PIECE_BYTES + 4 * LENGTH)
+_OTHER_DOWN = shingles._powers(np.uint64(pow(int(_OTHER), -1, 1 << 64)), PIECE_BYTES + 4 * LENGTH)
 
 
 def _sliding(values: np.ndarray, width: int, best) -> np.ndarray:
@@ -99,21 +108,6 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]
             yield seq, raw[a:b]
 
 
-def _anchor_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held, n = [], 0
-    for _, raw in _texts(batches):
-        if len(raw) < LENGTH:
-            continue
-        for _, hashes in text_anchors(raw):
-            held.append(hashes)
-            n += len(hashes)
-        if n >= 100_000:
-            yield pa.record_batch([pa.array(np.concatenate(held).view(np.int64))], names=["h"])
-            held, n = [], 0
-    if held:
-        yield pa.record_batch([pa.array(np.concatenate(held).view(np.int64))], names=["h"])
-
-
 def _slices(raw: np.ndarray, begin: np.ndarray, end: np.ndarray) -> pa.Array:
     """Byte ranges of ``raw`` as a binary array, in one copy."""
     sizes = end - begin
@@ -123,125 +117,164 @@ def _slices(raw: np.ndarray, begin: np.ndarray, end: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(raw[index])])
 
 
-def _in(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    cell = hashes & np.uint64(len(bitmap) * 64 - 1)
-    return (bitmap[(cell >> np.uint64(6)).astype(np.int64)] >> (cell & np.uint64(63))) & np.uint64(1) > 0
-
-
-def _words(column: str, size: int):
-    """Hashes (or places, as seq and pos) -> words of the bitmap with their bits."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            own = batch.column(0).to_numpy().view(np.uint64)
-            if column == "place":
-                own = _place_hash(own, batch.column(1).to_numpy())
-            cell = own & np.uint64(size - 1)
-            bits = np.uint64(1) << (cell & np.uint64(63))
-            word = (cell >> np.uint64(6)).astype(np.int64)
-            yield pa.record_batch([pa.array(word), pa.array(bits.view(np.int64))], names=["word", "bits"])
-
-    return run
+def _range_hashes(raw: np.ndarray, low: np.ndarray, high: np.ndarray, up: np.ndarray, down: np.ndarray) -> np.ndarray:
+    """A hash of the bytes of each range; ranges are in order and lie within a piece."""
+    base = int(low.min())
+    with np.errstate(over="ignore"):
+        own = raw[base : int(high.max())].astype(np.uint64) + np.uint64(1)
+        sums = np.zeros(len(own) + 1, dtype=np.uint64)
+        np.cumsum(own * up[: len(own)], out=sums[1:])
+        return (sums[high - base] - sums[low - base]) * down[low - base]
 
 
-def _bitmap(rows: DataFrame, column: str) -> np.ndarray:
-    """The bitmap of all ``rows`` (a written table); MAX_BITMAP_BITS / 64 words at most reach the driver."""
-    size = min(MAX_BITMAP_BITS, max(1 << 16, 1 << (16 * rows.count()).bit_length()))
-    words = rows.mapInArrow(_words(column, size), "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits"))
-    found = words.toArrow()
-    out = np.zeros(size // 64, dtype=np.uint64)
-    out[found.column("word").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
-    return out
+def _pieces_of(at: np.ndarray) -> Iterator[np.ndarray]:
+    """Sorted positions in parts that lie within ``PIECE_BYTES``."""
+    begin = 0
+    while begin < len(at):
+        end = int(np.searchsorted(at, at[begin] + PIECE_BYTES))
+        yield at[begin:end]
+        begin = end
 
 
-def _place_hash(seq: np.ndarray, pos: np.ndarray) -> np.ndarray:
+def _context_digests(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two digests of the bytes around each anchor of a piece and of where in them it stands."""
+    low, high = np.maximum(at - BEFORE, 0), np.minimum(at + LENGTH, len(raw))
     with np.errstate(over="ignore"):
-        return shingles.mix(seq.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + pos.astype(np.uint64) * _BASE)
-
-
-def _context_digests(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """A digest of the bytes around each anchor and of where in them it stands."""
-    out = np.empty(len(at), dtype=np.uint64)
-    for k in range(0, len(at), 20_000):
-        p = at[k : k + 20_000]
-        base = max(0, int(p[0]) - BEFORE)
+        shape = shingles.mix(((at - low) * 256 + (high - at)).astype(np.uint64))
+        return (
+            shingles.mix(_range_hashes(raw, low, high, _UP, _DOWN) ^ shape),
+            shingles.mix(_range_hashes(raw, low, high, _OTHER_UP, _OTHER_DOWN) ^ shape),
+        )
+
+
+def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(seq, text) -> (known, h, digest, seq, at) of every anchor.
+
+    ``known`` are those whose context stands earlier in the same batch; they only need a task to go to, so that a context that
+    repeats very often is no hot key.
+    """
+    held: list[tuple[np.ndarray, ...]] = []
+    n = 0
+
+    def out() -> pa.RecordBatch:
+        h, digest, seq, at = (np.concatenate(c) for c in zip(*held, strict=True))
+        check = at >> (POSITION_BITS + AFTER_BITS)
+        order = np.lexsort((at, seq, check, digest, h))
+        h, digest, seq, at, check = h[order], digest[order], seq[order], at[order], check[order]
+        known = np.zeros(len(h), dtype=bool)
+        known[1:] = (h[1:] == h[:-1]) & (digest[1:] == digest[:-1]) & (check[1:] == check[:-1])
         with np.errstate(over="ignore"):
-            own = raw[base : int(p[-1]) + LENGTH].astype(np.uint64) + np.uint64(1)
-            low, high = np.maximum(p - BEFORE, 0), np.minimum(p + LENGTH, len(raw))
-            sums = np.zeros(len(own) + 1, dtype=np.uint64)
-            np.cumsum(own * _UP[: len(own)], out=sums[1:])
-            value = (sums[high - base] - sums[low - base]) * _DOWN[low - base]
-            shape = ((p - low) * 256 + (high - p)).astype(np.uint64)
-            out[k : k + 20_000] = shingles.mix(value ^ shingles.mix(shape))
-    return out
-
-
-def _kept_anchors(batches: Iterator[pa.RecordBatch], bitmap: np.ndarray):
-    """(seq, bytes, positions, hashes) of the anchors whose hash is in the bitmap."""
-    for seq, raw in _texts(batches):
-        if len(raw) >= LENGTH:
-            for at, hashes in text_anchors(raw):
-                let = _in(bitmap, hashes)
-                if let.any():
-                    yield seq, raw, at[let].astype(np.int64), hashes[let]
+            h = np.where(known, shingles.mix(at.view(np.uint64) + seq.view(np.uint64) * _BASE).view(np.int64), h)
+        return pa.record_batch([pa.array(c) for c in (known, h, digest, seq, at)], names=["known", "h", "digest", "seq", "at"])
 
-
-def _places(bitmap: np.ndarray):
-    """(seq, text) -> (h, digest, seq, at) of anchors in the bitmap; ``at`` is 128 * position + bytes after it."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        n = 0
-        for seq, raw, at, hashes in _kept_anchors(batches, bitmap):
-            after = np.minimum(len(raw) - at, LENGTH)
-            digest = _context_digests(raw, at).view(np.int64)
-            held.append((hashes.view(np.int64), digest, np.full(len(at), seq, dtype=np.int64), at * 128 + after))
+    for seq, raw in _texts(batches):
+        if len(raw) < LENGTH:
+            continue
+        for at, hashes in text_anchors(raw):
+            if not len(at):
+                continue
+            digest, check = _context_digests(raw, at)
+            packed = check.astype(np.int64) << (POSITION_BITS + AFTER_BITS)
+            packed |= (at.astype(np.int64) << AFTER_BITS) | np.minimum(len(raw) - at, LENGTH)
+            held.append((hashes.view(np.int64), digest.view(np.int64), np.full(len(at), seq, dtype=np.int64), packed))
             n += len(at)
             if n >= 50_000:
-                yield pa.record_batch([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], names=["h", "digest", "seq", "at"])
+                yield out()
                 held, n = [], 0
-        if held:
-            yield pa.record_batch([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], names=["h", "digest", "seq", "at"])
-
-    return run
-
+    if held:
+        yield out()
 
-def _contexts(bitmap: np.ndarray, places: np.ndarray):
-    """(seq, text) -> (h, seq, pos, before, after) of anchors in the one bitmap at places in the other."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for seq, raw, at, hashes in _kept_anchors(batches, bitmap):
-            let = _in(places, _place_hash(np.full(len(at), seq, dtype=np.int64).view(np.uint64), at))
-            at, hashes = at[let], hashes[let]
-            for k in range(0, len(at), 20_000):
-                p = at[k : k + 20_000]
-                columns = [
-                    pa.array(hashes[k : k + 20_000].view(np.int64)),
-                    pa.array(np.full(len(p), seq, dtype=np.int64)),
-                    pa.array(p),
-                    _slices(raw, np.maximum(p - BEFORE, 0), p),
-                    _slices(raw, p, np.minimum(p + LENGTH, len(raw))),
-                ]
-                yield pa.record_batch(columns, names=["h", "seq", "pos", "before", "after"])
+def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted anchors -> (asked, seq, low, high).
 
-    return run
+    The ranges of contexts that stand earlier, and, ``asked``, the places (``low``) whose anchor has different contexts.
+    """
+    last: tuple[int, int, int] | None = None  # anchor and digests of the row before
+    waiting: tuple[int, int] | None = None  # place of the only context so far of that anchor
+    for batch in batches:
+        known = batch.column("known").to_numpy(zero_copy_only=False)
+        h, digest, seq, at = (batch.column(c).to_numpy() for c in ("h", "digest", "seq", "at"))
+        check = at >> (POSITION_BITS + AFTER_BITS)
+        pos = (at >> AFTER_BITS) & ((1 << POSITION_BITS) - 1)
+        first = np.ones(len(h), dtype=bool)
+        first[1:] = (h[1:] != h[:-1]) | (digest[1:] != digest[:-1]) | (check[1:] != check[:-1])
+        if len(h) and last is not None:
+            first[0] = last != (int(h[0]), int(digest[0]), int(check[0]))
+        first &= ~known
+        other = ~first
+        low, high = np.maximum(pos - BEFORE, 0), pos + (at & ((1 << AFTER_BITS) - 1))
+        other &= high - low >= LENGTH
+        begin = np.flatnonzero(first)
+        asked_seq, asked_pos = [], []
+        if len(begin):
+            own = h[begin]
+            same = np.zeros(len(begin) + 1, dtype=bool)  # as the anchor of the class before
+            same[1:-1] = own[1:] == own[:-1]
+            same[0] = last is not None and last[0] == int(own[0])
+            if same[0] and waiting is not None:
+                asked_seq.append([waiting[0]])
+                asked_pos.append([waiting[1]])
+            asked = same[:-1] | same[1:]
+            asked_seq.append(seq[begin[asked]])
+            asked_pos.append(pos[begin[asked]])
+            end = begin[-1]
+            waiting = None if asked[-1] else (int(seq[end]), int(pos[end]))
+        if (~known).any():
+            end = int(np.flatnonzero(~known)[-1])
+            last = (int(h[end]), int(digest[end]), int(check[end]))
+        points = np.concatenate(asked_pos).astype(np.int64) if asked_pos else np.zeros(0, np.int64)
+        of = np.concatenate(asked_seq).astype(np.int64) if asked_seq else np.zeros(0, np.int64)
+        columns = [
+            pa.array(np.arange(len(of) + other.sum()) < len(of)),
+            pa.array(np.concatenate([of, seq[other]])),
+            pa.array(np.concatenate([points, low[other]])),
+            pa.array(np.concatenate([points, high[other]])),
+        ]
+        yield pa.record_batch(columns, names=["asked", "seq", "low", "high"])
+
+
+def _tuples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(seq, doc_id, text, asked positions) -> (key, seq, pos, before, after): the suffix tuples of each context."""
+    for batch in batches:
+        raw_all, at_all = shingles.buffers(batch.column("text"))
+        for n, seq in enumerate(batch.column("seq").to_pylist()):
+            raw = raw_all[at_all[n] : at_all[n + 1]]
+            asked = batch.column("asked")[n].values.to_numpy()
+            points = np.unique(np.concatenate([asked, asked - HALF]))
+            points = points[(points >= 0) & (points + SHARED <= len(raw))]
+            for part in _pieces_of(points):
+                for k in range(0, len(part), 20_000):
+                    p = part[k : k + 20_000]
+                    columns = [
+                        pa.array(shingles.mix(_range_hashes(raw, p, p + SHARED, _UP, _DOWN)).view(np.int64)),
+                        pa.array(np.full(len(p), seq, dtype=np.int64)),
+                        pa.array(p),
+                        _slices(raw, np.maximum(p - HALF, 0), p),
+                        _slices(raw, p, np.minimum(p + LENGTH, len(raw))),
+                    ]
+                    yield pa.record_batch(columns, names=["key", "seq", "pos", "before", "after"])
 
 
 @dataclass
 class Tuples:
     """Suffix tuples in sorted order, with the common prefix of each with the one before."""
 
-    rank: np.ndarray  # of the first place; less is earlier
-    before: np.ndarray  # (n, BEFORE) bytes before the anchor, nearest first
+    seq: np.ndarray  # document and
+    pos: np.ndarray  # place in it
+    before: np.ndarray  # (n, HALF) bytes before the place, nearest first
     length: np.ndarray  # how many of them there are
     lcp: np.ndarray  # uint8
-    row: np.ndarray  # where the result goes
 
-    def take(self, index: np.ndarray, lcp: np.ndarray) -> Tuples:
-        return Tuples(self.rank[index], self.before[index], self.length[index], lcp, self.row[index])
+    def take(self, index, lcp: np.ndarray | None = None) -> Tuples:
+        return Tuples(self.seq[index], self.pos[index], self.before[index], self.length[index], self.lcp[index] if lcp is None else lcp)
 
     def __len__(self) -> int:
-        return len(self.rank)
+        return len(self.seq)
+
+
+def joined(parts: list[Tuples]) -> Tuples:
+    return Tuples(*(np.concatenate([getattr(p, f) for p in parts]) for f in ("seq", "pos", "before", "length", "lcp")))
 
 
 class RangeMin:
@@ -275,148 +308,200 @@ def _step(byte: np.ndarray, lcp: np.ndarray, usable: np.ndarray) -> tuple[np.nda
     return place, out
 
 
-def _usable(t: Tuples, depth: int) -> np.ndarray:
-    """Tuples with a byte further before, whose common prefix with a neighbour can still reach LENGTH."""
-    after = np.append(t.lcp[1:], np.uint8(0))
-    return (t.length > depth) & (np.maximum(t.lcp, after).astype(np.int32) + (BEFORE - depth) >= LENGTH)
+def _usable(t: Tuples, depth: int, beyond: int = 0) -> np.ndarray:
+    """Tuples with a byte further before, whose common prefix with a neighbour can still reach LENGTH.
 
+    ``beyond`` stands for the common prefix of the last one and what follows it.
+    """
+    after = np.append(t.lcp[1:], np.uint8(beyond))
+    return (t.length > depth) & (np.maximum(t.lcp, after).astype(np.int32) + (HALF - depth) >= LENGTH)
 
-def _marked(t: Tuples) -> np.ndarray:
-    """Which tuples start a string at this depth that an earlier place has, too."""
-    starts = np.flatnonzero(t.lcp < LENGTH)
-    if len(starts) == len(t):
-        return np.zeros(len(t), dtype=bool)
-    first = np.minimum.reduceat(t.rank, starts)
-    return t.rank > np.repeat(first, np.diff(np.append(starts, len(t))))
 
+Place = tuple[int, int]
 
-def induce(t: Tuples, depth: int, low: np.ndarray, high: np.ndarray) -> None:
-    """Induce in memory from ``depth`` bytes before the anchor on; least and greatest marked depth by row."""
-    while len(t):
-        rows = t.row[_marked(t)]
-        low[rows] = np.minimum(low[rows], depth)
-        high[rows] = np.maximum(high[rows], depth)
-        if depth == BEFORE:
-            return
-        usable = _usable(t, depth)
-        byte = t.before[:, depth]
-        t = t.take(*_step(byte, t.lcp, usable))
-        depth += 1
+
+def _firsts(t: Tuples, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first place (document, position) of each run."""
+    seq = np.minimum.reduceat(t.seq, runs)
+    size = np.diff(np.append(runs, len(t)))
+    pos = np.minimum.reduceat(np.where(t.seq == np.repeat(seq, size), t.pos, np.iinfo(np.int64).max), runs)
+    return seq, pos
+
+
+def _marked(t: Tuples, head: Place | None = None, tail: Place | None = None) -> np.ndarray:
+    """Which tuples start a string at this depth that an earlier place has, too.
+
+    ``head`` and ``tail`` are the first places of the runs that go on beyond either end.
+    """
+    runs = np.flatnonzero(t.lcp < LENGTH)
+    if len(runs) == len(t) and tail is None:
+        return np.zeros(len(t), dtype=bool)
+    open_head = not len(runs) or runs[0] != 0
+    if open_head:
+        runs = np.concatenate(([0], runs))
+    seq, pos = _firsts(t, runs)
+    if tail is not None:
+        seq[-1], pos[-1] = tail
+    if open_head and head is not None:
+        seq[0], pos[0] = head
+    size = np.diff(np.append(runs, len(t)))
+    seq, pos = np.repeat(seq, size), np.repeat(pos, size)
+    return (t.seq > seq) | ((t.seq == seq) & (t.pos > pos))
 
 
 class Queue:
-    """A disk-backed queue of tuples: appended in order, read back in chunks, as often as needed."""
+    """A queue of tuples: appended in order, read in order as often as needed; on disk once spilled."""
+
+    WIDE = ((np.int64, 1), (np.int64, 1), (np.uint8, HALF), (np.uint8, 1), (np.uint8, 1))
 
     def __init__(self, folder: str):
-        self.file, self.sizes = tempfile.TemporaryFile(dir=folder), []
+        self.folder, self.file = folder, None
+        self.sizes: list[int] = []
+        self.parts: list[Tuples] = []
 
     def append(self, t: Tuples) -> None:
-        self.file.seek(0, 2)
-        for part in (t.rank, t.before, t.length, t.lcp, t.row):
-            self.file.write(np.ascontiguousarray(part).tobytes())
-        self.sizes.append(len(t))
+        self.parts.append(t)
+
+    def spill(self) -> None:
+        if self.parts and self.file is None:
+            self.file = tempfile.TemporaryFile(dir=self.folder)
+        for t in self.parts:
+            self.file.seek(0, 2)
+            for part in (t.seq, t.pos, t.before, t.length, t.lcp):
+                self.file.write(np.ascontiguousarray(part).tobytes())
+            self.sizes.append(len(t))
+        self.parts = []
 
     def __iter__(self) -> Iterator[Tuples]:
         place = 0
         for n in self.sizes:
-            parts = []
-            for kind, wide in ((np.int64, 1), (np.uint8, BEFORE), (np.uint8, 1), (np.uint8, 1), (np.int64, 1)):
+            columns = []
+            for kind, wide in self.WIDE:
                 self.file.seek(place)
                 size = n * wide * np.dtype(kind).itemsize
                 own = np.frombuffer(self.file.read(size), dtype=kind)
-                parts.append(own.reshape(n, BEFORE) if wide > 1 else own)
+                columns.append(own.reshape(n, HALF) if wide > 1 else own)
                 place += size
-            yield Tuples(*parts)
+            yield Tuples(*columns)
+        yield from self.parts
 
     def __len__(self) -> int:
-        return sum(self.sizes)
-
-    def whole(self) -> Tuples:
-        parts = list(self)
-        return Tuples(*(np.concatenate([getattr(p, f) for p in parts]) for f in ("rank", "before", "length", "lcp", "row")))
+        return sum(self.sizes) + sum(map(len, self.parts))
 
     def close(self) -> None:
-        self.file.close()
-
-
-def _edge_firsts(queue: Queue) -> list[tuple[int, int]]:
+        self.parts, self.sizes = [], []
+        if self.file is not None:
+            self.file.close()
+
+
+class PriorityQueue:
+    """Tuples by priority, their preceding byte; those of equal priority in order of arrival. Disk-backed:
+    beyond ``memory`` tuples all that is held goes to disk."""
+
+    def __init__(self, folder: str, memory: int):
+        self.folder, self.memory, self.held = folder, memory, 0
+        self.by: dict[int, Queue] = {}
+        # Of each priority: the last tuple's common prefix with what has come since, None before the first.
+        self.carried = np.zeros(256, dtype=np.uint8)
+        self.met = np.zeros(256, dtype=bool)
+
+    def insert(self, t: Tuples, depth: int, more: bool) -> None:
+        """All usable tuples of the next chunk in order, with their common prefixes one byte earlier."""
+        place, lcp = _step(t.before[:, depth], t.lcp, _usable(t, depth, 255 if more else 0))
+        own = t.before[place, depth]
+        edges = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1]))) if len(own) else np.zeros(0, np.int64)
+        ends = np.append(edges[1:], len(own))
+        upto = np.minimum.accumulate(t.lcp)
+        for a, b in zip(edges.tolist(), ends.tolist(), strict=True):
+            c = int(own[a])
+            lcp[a] = min(int(self.carried[c]), int(upto[place[a]])) + 1 if self.met[c] else 0
+            self.by.setdefault(c, Queue(self.folder)).append(t.take(place[a:b], lcp[a:b]))
+        behind = np.minimum.accumulate(t.lcp[::-1])[::-1]
+        self.carried = np.minimum(self.carried, upto[-1])
+        for a, b in zip(edges.tolist(), ends.tolist(), strict=True):
+            last = int(place[b - 1])
+            self.met[own[a]] = True
+            self.carried[own[a]] = behind[last + 1] if last + 1 < len(t) else 255
+        self.held += len(place)
+        if self.held > self.memory:
+            for queue in self.by.values():
+                queue.spill()
+            self.held = 0
+
+    def __iter__(self) -> Iterator[Queue]:
+        """The queue of each priority, least first."""
+        for c in sorted(self.by):
+            yield self.by.pop(c)
+
+
+def _edges(queue: Queue) -> list[tuple[Place | None, Place | None]]:
     """By chunk: first place of the run that it begins in, and of the run that it ends in, over all chunks."""
-    ends: list[list[int]] = []
-    joined: list[bool] = []
+    ends: list[tuple[Place | None, Place | None]] = []
     for t in queue:
-        starts = np.flatnonzero(t.lcp < LENGTH)
-        first = t.rank[: starts[0]].min() if len(starts) and starts[0] > 0 else None
-        whole = not len(starts)
-        ends.append([int(t.rank.min()) if whole else first, int(t.rank[starts[-1] :].min()) if len(starts) else None])
-        joined.append(whole)
-    out: list[list[int]] = [[0, 0] for _ in ends]
+        runs = np.flatnonzero(t.lcp < LENGTH)
+        least = lambda part: min(zip(part.seq.tolist(), part.pos.tolist(), strict=True))
+        head = None if len(runs) and runs[0] == 0 else least(t.take(slice(0, runs[0] if len(runs) else None)))
+        ends.append((head, least(t.take(slice(int(runs[-1]), None))) if len(runs) else None))
+    out: list[list[Place | None]] = [[None, None] for _ in ends]
     group: list[tuple[int, int]] = []  # (chunk, side) of one run over several chunks
-    least = None
-
-    def settle() -> None:
-        for k, side in group:
-            out[k][side] = least
-
+    first: Place | None = None
     for k, (head, tail) in enumerate(ends):
         if head is not None:
             group.append((k, 0))
-            least = head if least is None else min(least, head)
+            first = head if first is None else min(first, head)
+            if tail is None:  # the whole chunk is of this run
+                group.append((k, 1))
         if tail is not None:
-            settle()
-            group, least = [(k, 1)], tail
-    settle()
-    return [tuple(x) for x in out]
+            for i, side in group:
+                out[i][side] = first
+            group, first = [(k, 1)], tail
+    for i, side in group:
+        out[i][side] = first
+    return [(a, b) for a, b in out]
+
+
+def induce_in_memory(t: Tuples, depth: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(document, first, last byte) of the marked strings, from ``depth`` bytes before the places on.
+
+    The marked depths of a tuple are put together: they lie less than a string's length apart.
+    """
+    seq, pos, row = t.seq, t.pos, np.arange(len(t))
+    low, high = np.full(len(t), 255), np.full(len(t), -1)
+    while len(t):
+        rows = row[_marked(t)]
+        low[rows] = np.minimum(low[rows], depth)
+        high[rows] = np.maximum(high[rows], depth)
+        if depth == HALF:
+            break
+        place, lcp = _step(t.before[:, depth], t.lcp, _usable(t, depth))
+        t, row = t.take(place, lcp), row[place]
+        depth += 1
+    hit = high >= 0
+    if hit.any():
+        yield seq[hit], pos[hit] - high[hit], pos[hit] - low[hit] + LENGTH
 
 
-def induce_external(queue: Queue, depth: int, folder: str, memory: int) -> Iterator[tuple[np.ndarray, int]]:
-    """(marked rows, depth) of a queue of any length; queues are closed when done."""
+def induce(queue: Queue, depth: int, folder: str, memory: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The same of a queue of any length, which is closed when done."""
     if len(queue) <= memory:
-        t = queue.whole()
-        rows, t.row = t.row, np.arange(len(t))
+        parts = list(queue)
         queue.close()
-        low, high = np.full(len(t), 255), np.full(len(t), -1)
-        induce(t, depth, low, high)
-        for d in range(depth, BEFORE + 1):
-            own = rows[(low <= d) & (high >= d)]
-            if len(own):
-                yield own, d
+        if parts:
+            yield from induce_in_memory(joined(parts), depth)
         return
-    for t, (head, tail) in zip(queue, _edge_firsts(queue), strict=True):
-        starts = np.flatnonzero(t.lcp < LENGTH)
-        runs = starts if len(starts) and starts[0] == 0 else np.concatenate(([0], starts))
-        first = np.minimum.reduceat(t.rank, runs)
-        if len(starts):
-            first[-1] = tail
-        if not len(starts) or starts[0] > 0:
-            first[0] = head
-        rows = t.row[t.rank > np.repeat(first, np.diff(np.append(runs, len(t))))]
-        if len(rows):
-            yield rows, depth
-    if depth == BEFORE:
+    for t, (head, tail) in zip(queue, _edges(queue), strict=True):
+        hit = _marked(t, head, tail)
+        if hit.any():
+            yield t.seq[hit], t.pos[hit] - depth, t.pos[hit] - depth + LENGTH
+    if depth < HALF:
+        earlier, left = PriorityQueue(folder, memory), len(queue)
+        for t in queue:
+            left -= len(t)
+            earlier.insert(t, depth, left > 0)
         queue.close()
-        return
-    queues: dict[int, Queue] = {}
-    carried = np.zeros(256, dtype=np.uint8)  # least common prefix since the last tuple of each byte
-    met = np.zeros(256, dtype=bool)
-    for t in queue:
-        byte, usable = t.before[:, depth], t.length > depth
-        place, lcp = _step(byte, t.lcp, usable)
-        own = byte[place]
-        upto = np.minimum.accumulate(t.lcp)
-        edges = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1]))) if len(own) else []
-        for a, b in zip(edges, [*edges[1:], len(own)], strict=True):
-            c = int(own[a])
-            lcp[a] = min(carried[c], upto[place[a]]) + 1 if met[c] else 0
-            queues.setdefault(c, Queue(folder)).append(t.take(place[a:b], lcp[a:b]))
-        behind = np.minimum.accumulate(t.lcp[::-1])[::-1]
-        carried = np.minimum(carried, upto[-1])
-        for a, b in zip(edges, [*edges[1:], len(own)], strict=True):
-            c, last = int(own[a]), int(place[b - 1])
-            met[c] = True
-            carried[c] = behind[last + 1] if last + 1 < len(t) else 255
+        for own in earlier:
+            yield from induce(own, depth + 1, folder, memory)
     queue.close()
-    for c in sorted(queues):
-        yield from induce_external(queues[c], depth + 1, folder, memory)
 
 
 def _matrix(column: pa.Array, width: int, backwards: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -431,127 +516,61 @@ def _matrix(column: pa.Array, width: int, backwards: bool) -> tuple[np.ndarray,
 
 
 def _sorted_tuples(batch: pa.RecordBatch, last: tuple[int, np.ndarray, int] | None):
-    """(h, tuples of a sorted batch, state of its last row); ``last`` is the state of the batch before."""
-    h = batch.column("h").to_numpy()
-    before, length = _matrix(batch.column("before"), BEFORE, True)
+    """(key, tuples of a sorted batch, state of its last row); ``last`` is the state of the batch before."""
+    key = batch.column("key").to_numpy()
+    before, length = _matrix(batch.column("before"), HALF, True)
     after, size = _matrix(batch.column("after"), LENGTH, False)
-    lcp = np.zeros(len(h), dtype=np.uint8)
+    lcp = np.zeros(len(key), dtype=np.uint8)
     unlike = after[1:] != after[:-1]
     first = np.where(unlike.any(axis=1), unlike.argmax(axis=1), LENGTH)
-    lcp[1:] = np.where(h[1:] == h[:-1], np.minimum(first, np.minimum(size[1:], size[:-1])), 0)
-    if last is not None and last[0] == h[0]:
+    lcp[1:] = np.where(key[1:] == key[:-1], np.minimum(first, np.minimum(size[1:], size[:-1])), 0)
+    if last is not None and last[0] == key[0]:
         unlike = after[0] != last[1]
         lcp[0] = min(int(unlike.argmax()) if unlike.any() else LENGTH, int(size[0]), last[2])
-    return h, before, length.astype(np.uint8), lcp, (int(h[-1]), after[-1], int(size[-1]))
-
-
-def _ranges(seq: np.ndarray, pos: np.ndarray, low: np.ndarray, high: np.ndarray) -> pa.RecordBatch:
-    return pa.record_batch(
-        [pa.array(seq), pa.array(pos - high), pa.array(pos - low + LENGTH)], names=["seq", "low", "high"]
-    )
+    t = Tuples(batch.column("seq").to_numpy(), batch.column("pos").to_numpy(), before, length.astype(np.uint8), lcp)
+    return key, t, (int(key[-1]), after[-1], int(size[-1]))
 
 
 def _induced(memory: int):
-    """Batches sorted by anchor and suffix -> (seq, low, high) of the repeated bytes of each first place."""
+    """Batches sorted by key and suffix -> (asked, seq, low, high) of the strings that stand earlier."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []  # parts of whole anchors and of the one under way
-        rows, state = 0, None
-
-        def joined(parts: list[tuple]) -> tuple:
-            return tuple(np.concatenate([p[k] for p in parts]) for k in range(6))
-
-        def in_memory(parts: list[tuple]) -> Iterator[pa.RecordBatch]:
-            h, before, length, lcp, seq, pos = joined(parts)
-            # Anchors with one context only have nothing to compare.
-            alone = np.concatenate(([True], h[1:] != h[:-1])) & np.concatenate((h[1:] != h[:-1], [True]))
-            keep = ~alone
-            if not keep.any():
-                return
-            before, length, lcp, seq, pos = before[keep], length[keep], lcp[keep], seq[keep], pos[keep]
-            rank = np.empty(len(seq), dtype=np.int64)
-            rank[np.lexsort((pos, seq))] = np.arange(len(seq))
-            low, high = np.full(len(seq), 255), np.full(len(seq), -1)
-            induce(Tuples(rank, before, length, lcp, np.arange(len(seq))), 0, low, high)
-            hit = high >= 0
-            if hit.any():
-                yield _ranges(seq[hit], pos[hit], low[hit], high[hit])
-
-        def external(parts: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
-            with tempfile.TemporaryDirectory() as folder:
-                queue, places, n = Queue(folder), tempfile.TemporaryFile(dir=folder), 0
-                for _, before, length, lcp, seq, pos in parts:
-                    places.write(np.stack([seq, pos], axis=1).tobytes())
-                    # Ranks only need to compare: document first, then place within it.
-                    queue.append(Tuples(np.arange(n, n + len(seq)), before, length, lcp, np.arange(n, n + len(seq))))
-                    n += len(seq)
-                places.flush()
-                at = np.memmap(places, dtype=np.int64, mode="r").reshape(n, 2)
-                rank = np.memmap(tempfile.TemporaryFile(dir=folder), dtype=np.int64, mode="w+", shape=n)
-                rank[np.lexsort((at[:, 1], at[:, 0]))] = np.arange(n)
-                ranked = Queue(folder)
-                for t in queue:
-                    ranked.append(Tuples(np.asarray(rank[t.row]), t.before, t.length, t.lcp, t.row))
-                queue.close()
-                for own, depth in induce_external(ranked, 0, folder, memory):
-                    place = np.asarray(at[own])
-                    yield _ranges(place[:, 0], place[:, 1], np.full(len(own), depth), np.full(len(own), depth))
-
-        def pieces() -> Iterator[tuple]:
-            nonlocal state
+        with tempfile.TemporaryDirectory() as folder:
+
+            def induced(queue: Queue) -> Iterator[pa.RecordBatch]:
+                for seq, low, high in induce(queue, 0, folder, memory):
+                    columns = [pa.array(np.zeros(len(seq), dtype=bool)), pa.array(seq), pa.array(low), pa.array(high)]
+                    yield pa.record_batch(columns, names=["asked", "seq", "low", "high"])
+
+            queue, state, held = Queue(folder), None, 0
             for batch in batches:
                 for k in range(0, len(batch), 20_000):
-                    part = batch.slice(k, 20_000)
-                    h, before, length, lcp, state = _sorted_tuples(part, state)
-                    yield h, before, length, lcp, part.column("seq").to_numpy(), part.column("pos").to_numpy()
-
-        waiting: tuple | None = None
-        source = pieces()
-        while True:
-            piece = waiting if waiting is not None else next(source, None)
-            waiting = None
-            if piece is None:
-                break
-            held.append(piece)
-            rows += len(piece[0])
-            if rows < memory:
-                continue
-            last = piece[0][-1]
-            whole = joined(held)
-            cut = int(np.flatnonzero(whole[0] == last)[0])
-            if cut:
-                yield from in_memory([tuple(x[:cut] for x in whole)])
-                held, rows = [tuple(x[cut:] for x in whole)], len(whole[0]) - cut
-                continue
-
-            def group(first=whole) -> Iterator[tuple]:
-                """The rest of the anchor that fills the memory."""
-                nonlocal waiting
-                yield first
-                for more in source:
-                    n = int(np.argmax(more[0] != last)) if (more[0] != last).any() else len(more[0])
-                    if n:
-                        yield tuple(x[:n] for x in more)
-                    if n < len(more[0]):
-                        waiting = tuple(x[n:] for x in more)
-                        return
-
-            yield from external(group())
-            held, rows = [], 0
-        if held:
-            yield from in_memory(held)
+                    key, t, state = _sorted_tuples(batch.slice(k, 20_000), state)
+                    # What fills the memory is worked off where a key begins.
+                    new = np.flatnonzero(np.concatenate(([t.lcp[0] == 0], key[1:] != key[:-1])))
+                    cut = int(new[-1]) if len(new) and len(queue) + new[-1] >= memory else 0
+                    if cut or (len(new) and new[0] == 0 and len(queue) >= memory):
+                        queue.append(t.take(slice(0, cut)))
+                        yield from induced(queue)
+                        queue, held, t = Queue(folder), 0, t.take(slice(cut, None))
+                    queue.append(t)
+                    held += len(t)
+                    if held > memory:
+                        queue.spill()
+                        held = 0
+            yield from induced(queue)
 
     return run
 
 
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text, ranges) -> counts and digest of what stays."""
+    """(seq, doc_id, text, ranges) -> counts and digest of what stays."""
     for batch in batches:
         out = []
-        raw, at = shingles.buffers(batch.column(1))
-        for k, doc_id in enumerate(batch.column(0).to_pylist()):
+        raw, at = shingles.buffers(batch.column("text"))
+        for k, doc_id in enumerate(batch.column("doc_id").to_pylist()):
             own = raw[at[k] : at[k + 1]]
-            ranges = batch.column(2)[k].values
+            ranges = batch.column("ranges")[k].values
             if ranges is None or not len(ranges):
                 out.append((doc_id, len(own), 0, 0, hashlib.sha256(own).hexdigest()))
                 continue
@@ -575,46 +594,30 @@ def numbered(docs: DataFrame) -> DataFrame:
     return docs.withColumn("seq", F.col("doc_id"))
 
 
-def repeated_ranges(rows: DataFrame, memory: int = MEMORY_ROWS) -> DataFrame:
-    """(seq, low, high): byte ranges of ``rows`` (seq, text) covered by strings that start earlier."""
-    texts = rows.select("seq", "text")
-    hashes = texts.mapInArrow(_anchor_hashes, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    bitmap = _bitmap(common.staged(hashes.select("h"), "suffix-anchors"), "hash")
-    places = texts.mapInArrow(_places(bitmap), "h long, digest long, seq long, at long")
-    # Document and place in one number, so that the first place is a plain minimum.
-    unit = F.lit(1 << 56).cast("decimal(18,0)")
-    place = F.col("seq").cast("decimal(19,0)") * unit + F.col("at").cast("decimal(18,0)")
-    classes = places.groupBy("h", "digest").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("place"))
-    seq = F.floor(F.col("place") / unit).cast("long")
-    classes = classes.withColumn("first_seq", seq).withColumn(
-        "first_at", (F.col("place") - F.col("first_seq").cast("decimal(19,0)") * unit).cast("long")
-    )
-    classes = common.staged(classes.select("h", "digest", "n", "first_seq", "first_at"), "suffix-tuples")
-    # Bytes are only compared where an anchor stands in different contexts.
-    various = classes.groupBy("h").agg(F.count(F.lit(1)).alias("contexts")).where("contexts > 1").select("h")
-    asked = classes.join(various, "h", "left_semi").select("first_seq", F.shiftright("first_at", 7).alias("pos"))
-    asked = _bitmap(common.staged(asked, "suffix-asked"), "place")
-    first = (
-        texts.mapInArrow(_contexts(bitmap, asked), "h long, seq long, pos long, before binary, after binary")
-        .repartition("h")
-        .sortWithinPartitions("h", "after", "before")
-        .mapInArrow(_induced(memory), "seq long, low long, high long")
+_RANGES = "asked boolean, seq long, low long, high long"
+
+
+def repeated_ranges(texts: DataFrame, memory: int = MEMORY_ROWS) -> DataFrame:
+    """(seq, low, high): byte ranges of ``texts`` (seq, doc_id, text) covered by strings that start earlier."""
+    check = F.shiftright("at", POSITION_BITS + AFTER_BITS)
+    anchors_of = texts.select("seq", "text").mapInArrow(_anchor_rows, "known boolean, h long, digest long, seq long, at long")
+    classes = anchors_of.repartition("h").sortWithinPartitions("known", "h", "digest", check, "seq", "at").mapInArrow(_classes, _RANGES)
+    classes = common.staged(classes, "suffix-classes")
+    asked = classes.where("asked").groupBy("seq").agg(F.collect_list("low").alias("asked"))
+    tuples = texts.join(asked, "seq").select("seq", "doc_id", "text", "asked").mapInArrow(
+        _tuples, "key long, seq long, pos long, before binary, after binary"
     )
-    several = classes.where("n > 1").select("h", "digest", "first_seq", "first_at")
-    others = places.join(several, ["h", "digest"]).where("seq != first_seq OR at != first_at")
-    pos, after = F.shiftright("at", 7), F.col("at").bitwiseAND(F.lit(127))
-    others = others.select(
-        "seq", F.greatest(pos - BEFORE, F.lit(0)).alias("low"), (pos + after).alias("high")
-    ).where(f"high - low >= {LENGTH}")
-    return first.unionByName(others)
+    induced = tuples.repartition("key").sortWithinPartitions("key", "after").mapInArrow(_induced(memory), _RANGES)
+    return classes.where("NOT asked").unionByName(induced).select("seq", "low", "high")
 
 
 def remove_repeats(docs: DataFrame, memory: int = MEMORY_ROWS) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every row of ``docs`` (doc_id, text)."""
-    rows = numbered(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
+    rows = numbered(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))).select("seq", "doc_id", "text")
     ranges = repeated_ranges(rows, memory).groupBy("seq").agg(F.collect_list(F.struct("low", "high")).alias("ranges"))
-    joined = rows.join(ranges, "seq", "left").select("doc_id", "text", "ranges")
-    return joined.mapInArrow(_removed, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    # Joined by seq as in ``repeated_ranges``, so that the texts are shuffled once for both.
+    joined_rows = rows.join(ranges, "seq", "left").select("seq", "doc_id", "text", "ranges")
+    return joined_rows.mapInArrow(_removed, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

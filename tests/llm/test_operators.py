@@ -561,6 +561,34 @@ def test_suffix_removal_against_every_string(spark, memory):
     assert got == repeats(sorted((k, (t or "").encode()) for k, t in rows))
 
 
+def test_suffix_removal_in_a_very_long_text(spark):
+    rng = random.Random(12)
+    make = lambda n: "".join(rng.choice("abcdefgh é") for _ in range(n))
+    parts = [make(30_000) for _ in range(12)]
+    long = "".join(parts) + parts[3] + "z" * 9_000 + parts[7][200:] + make(100_000) + parts[0][:99]
+    assert len(long.encode()) > suffix_dedup.PIECE_BYTES
+    rows = [(1, parts[5][100:700]), (2, long), (3, parts[11][:1_000] + make(200)), (4, "z" * 300)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: tuple(r)[1:] for r in suffix_dedup.remove_repeats(frame, 1_000).collect()}
+    assert got == repeats([(k, t.encode()) for k, t in rows])
+
+
+def test_priority_queue_of_preceding_bytes(tmp_path):
+    rng = np.random.default_rng(4)
+    n = 3_000
+    t = suffix_dedup.Tuples(np.arange(n), np.zeros(n, np.int64), rng.integers(97, 101, (n, suffix_dedup.HALF)).astype(np.uint8), np.full(n, 34, np.uint8), rng.integers(70, 101, n).astype(np.uint8))
+    t.lcp[0] = 0
+    queue = suffix_dedup.PriorityQueue(str(tmp_path), 500)
+    for k in range(0, n, 250):
+        queue.insert(t.take(slice(k, k + 250)), 0, k + 250 < n)
+    got = [suffix_dedup.joined(list(own)) for own in queue]
+    for byte, own in zip(range(97, 101), got, strict=True):
+        rows = np.flatnonzero((t.before[:, 0] == byte) & suffix_dedup._usable(t, 0))
+        assert set(rows) <= set(own.seq) and (np.diff(own.seq) > 0).all()
+        for before, here, lcp in zip(own.seq, own.seq[1:], own.lcp[1:]):
+            assert lcp == t.lcp[before + 1 : here + 1].min() + 1
+
+
 def test_suffix_removal_with_repeated_rows(spark):
     frame = spark.createDataFrame([(1, "x" * 10 + "abc" * 50), (1, "x" * 10 + "abc" * 50), (None, "y" * 120)], "doc_id long, text string").withColumn("seq", F.lit("clash"))
     got = suffix_dedup.remove_repeats(frame).collect()
