@@ -6,9 +6,10 @@ regression, one language against the rest, is trained on Nyström features: with
 phi(x) = k(x, L) K(L, L)^(-1/2). All of it after the presence vectors is linear, so the trained
 model is one matrix (cells by languages) and a batch of texts is scored by one matrix product.
 
-Training takes a bounded sample: the ``MAX_TRAINING`` rows with a language and a letter that come
-first in an order by a hash of their ids, ``LANDMARKS`` of them in turn by language as landmarks. The
-executors turn the sample's whole texts into presence vectors; the driver gets 2 KB for each.
+Training takes a bounded sample: ``MAX_TRAINING`` rows with a language and a letter, shared evenly among the
+languages (what a rare one cannot fill goes to the others), of each those that come first in an order by a hash of id
+and text; ``LANDMARKS`` of them in turn by language as landmarks. With more languages than rows in the bound the most
+frequent ones are learnt. The executors turn the sample's whole texts into presence vectors; the driver gets 2 KB for each.
 Scoring reads every whole text.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0; without training
@@ -184,19 +185,46 @@ def _usable(labelled: DataFrame) -> DataFrame:
     return labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("doc_id", "text", "lang")
 
 
-def _sample(usable: DataFrame, max_training: int) -> tuple[np.ndarray, list[str], int]:
-    """Packed presence vectors and languages of the sample, and the greatest hash of its ids."""
-    place = F.xxhash64("doc_id")
-    rows = (
-        usable.where(place <= _share(usable, max_training))
-        .mapInPandas(_packed, "doc_id long, lang string, cells binary")
-        .orderBy(place, "doc_id", "cells", "lang")
-        .limit(max_training)
-        .withColumn("place", place)
+def quotas(counts: dict[str, int], bound: int) -> dict[str, int]:
+    """Rows of each language: even parts of ``bound``; what a rare language leaves over is shared again."""
+    out: dict[str, int] = {}
+    left = sorted(counts, key=lambda name: (counts[name], name))
+    while left:
+        part = max(1, (bound - sum(out.values())) // len(left))
+        name = left.pop(0)
+        out[name] = min(counts[name], part)
+    return out
+
+
+def _sample(usable: DataFrame, max_training: int) -> tuple[np.ndarray, list[str], DataFrame]:
+    """Packed presence vectors and languages of the sample, and (lang, last): the greatest hash in it of each language."""
+    spark = usable.sparkSession
+    place = F.xxhash64("doc_id", "text")
+    counted = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(max_training)
+    counts = {r["lang"]: r["n"] for r in counted.collect()}
+    wanted = quotas(counts, max_training)
+    # The hash below which about twice the rows wanted of a language lie.
+    below = [(name, _share(counts[name], n)) for name, n in wanted.items()]
+    limits = spark.createDataFrame(below, "lang string, below long")
+    found = (
+        usable.withColumn("place", place)
+        .join(F.broadcast(limits), "lang")
+        .where("place <= below")
+        .select("doc_id", "lang", "place", "text")
+        .mapInPandas(_packed, "doc_id long, lang string, place long, cells binary")
+        .orderBy("place", "doc_id", "cells", "lang")
+        .limit(4 * max_training)  # only rows that repeat very often can pass it
         .collect()
     )
+    taken = dict.fromkeys(wanted, 0)
+    rows, last = [], {}
+    for r in found:
+        if taken[r["lang"]] < wanted[r["lang"]]:
+            taken[r["lang"]] += 1
+            rows.append(r)
+            last[r["lang"]] = r["place"]
     bits = np.frombuffer(b"".join(r["cells"] for r in rows), dtype=np.uint8).reshape(len(rows), DIMENSIONS // 8)
-    return bits, [r["lang"] for r in rows], max((r["place"] for r in rows), default=-(1 << 63))
+    return bits, [r["lang"] for r in rows], spark.createDataFrame(list(last.items()), "lang string, last long")
 
 
 def fit(labelled: DataFrame, max_training: int = MAX_TRAINING) -> Model:
@@ -229,15 +257,15 @@ def fit_both(labelled: DataFrame, max_training: int = MAX_TRAINING) -> tuple[Mod
                     own = part.iloc[k : k + BATCH]
                     yield own[["lang"]].assign(value=familiarity(own["text"].tolist(), without[name])[0])
 
-    sample = usable.where((F.xxhash64("doc_id") <= last) & F.col("lang").isin(list(without)))
+    sample = usable.join(F.broadcast(last), "lang").where(F.xxhash64("doc_id", "text") <= F.col("last"))
+    sample = sample.where(F.col("lang").isin(list(without))).select("doc_id", "text", "lang")
     middle = sample.mapInPandas(measured, "lang string, value double").groupBy("lang").agg(F.percentile("value", F.lit(0.5)).alias("m"))
     least = {r["lang"]: LEAST_PART * r["m"] for r in middle.collect()} if without else {}
     return model, Familiarity(share.max(axis=0, initial=0.0).astype(np.float32), least)
 
 
-def _share(usable: DataFrame, wanted: int) -> int:
-    """The hash below which about twice the wanted number of rows lies."""
-    total = usable.count()
+def _share(total: int, wanted: int) -> int:
+    """The hash below which about twice the wanted number of ``total`` rows lies."""
     part = min(1.0, 2 * wanted / max(total, 1))
     return int(-(1 << 63) + part * ((1 << 64) - 1)) if part < 1 else (1 << 63) - 1
 

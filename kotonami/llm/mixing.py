@@ -103,6 +103,14 @@ def in_order(placed: DataFrame) -> DataFrame:
     return placed.repartitionByRange(parts, first, F.col("doc_id")).sortWithinPartitions(first, "doc_id")
 
 
+def by_pass(placed: DataFrame) -> DataFrame:
+    """A row for each pass of each document of ``placed``, with ``pass`` and ``position``, in training order."""
+    each = placed.select("*", F.posexplode("positions").alias("pass", "position")).drop("positions")
+    parts = int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = ("position", "doc_id", "pass")
+    return each.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+
+
 def mix(docs: DataFrame, **options) -> DataFrame:
     """``place`` with its rows in training order."""
     return in_order(place(docs, **options))
@@ -182,9 +190,17 @@ def place(
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words taken of every document when sources weigh 5, 2, 1 in turn and repeat at most 3 times."""
+    """Words taken of every document when sources weigh 5, 2, 1 in turn and repeat at most 3 times.
+
+    With the number of its passes and the training positions of the first and the last one, in their order.
+    """
     docs = common.only(common.read(spark, sf_dir, "documents"), "doc_id", "text", "source")
-    return mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+    return mix(docs).select(
+        "doc_id", "size", "source_size", "target", "taken",
+        F.size("positions").cast("long").alias("passes"),
+        F.get("positions", F.lit(0)).alias("first_position"),
+        F.get("positions", F.size("positions") - 1).alias("last_position"),
+    )
 
 
 SQL = r"""
@@ -195,6 +211,7 @@ WITH d AS (
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 w AS (
   SELECT *, [5.0, 2.0, 1.0][((row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1)::INT]::DOUBLE AS weight,
+         [7.5, 2.0, 0.5][((row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1)::INT]::DOUBLE AS w0,
          source_size * 3 AS cap, sum(source_size) OVER ()::BIGINT AS total
   FROM s),
 l AS (
@@ -206,17 +223,26 @@ c AS (SELECT *, room * weight / weights >= cap AS capped FROM l),
 f AS (SELECT room AS f_room, weights AS f_weights FROM c WHERE NOT capped
       ORDER BY cap / weight, source IS NULL, source LIMIT 1),
 t AS (
-  SELECT source, source_size,
+  SELECT source, source_size, weight, w0,
          CASE WHEN capped THEN cap::DOUBLE ELSE f_room * weight / f_weights END AS target
   FROM c LEFT JOIN f ON true),
 r AS (
-  SELECT d.doc_id, d.size, t.source_size, t.target,
+  SELECT d.doc_id, d.size, t.source_size, t.target, t.weight, t.w0, 2 * (t.weight - t.w0) AS slope,
          coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.digest, d.doc_id, d.size
                   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start,
          round(t.target)::BIGINT AS goal
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+p AS (
+  SELECT *, CASE WHEN size = 0 THEN 0 ELSE (start < goal)::BIGINT + (start + source_size < goal)::BIGINT
+            + (start + 2 * source_size < goal)::BIGINT END AS passes,
+         start / target * weight AS first_area, (start + (passes - 1) * source_size) / target * weight AS last_area
+  FROM r)
+-- A schedule is w0 + slope * t: the time at which an area has passed solves a quadratic equation.
 SELECT doc_id, size, source_size, target,
        (greatest(0, least(size, goal - start)) + greatest(0, least(size, goal - start - source_size))
-        + greatest(0, least(size, goal - start - 2 * source_size)))::BIGINT AS taken
-FROM r
+        + greatest(0, least(size, goal - start - 2 * source_size)))::BIGINT AS taken,
+       passes,
+       CASE WHEN passes > 0 THEN round(least(1.0, 2 * first_area / (w0 + sqrt(w0 * w0 + 2 * slope * first_area))), 9) END AS first_position,
+       CASE WHEN passes > 0 THEN round(least(1.0, 2 * last_area / (w0 + sqrt(w0 * w0 + 2 * slope * last_area))), 9) END AS last_position
+FROM p
 """

@@ -6,14 +6,15 @@ disguise (digits and signs for letters), capitals, shouted tokens, exclamation a
 punctuation, tokens that mix letters with digits or signs, and length.
 
 The lexicon is learnt: words and word beginnings (4 and 5 letters) that occur in a fiftieth of the
-toxic and hardly any other document of the training sample, at most ``MAX_LEXICON`` of them. Gradient-boosted trees
-then fit most of the sample; isotonic regression on the rest turns their margin into a probability.
+toxic and hardly any other document, all of them: a text of n such units has a part in no more than 50 n entries.
+Lexicon and gradient-boosted trees come from two thirds of the sample; isotonic regression on the rest, which neither has
+seen, turns the trees' margin into a probability.
 
 The sample is bounded: the ``MAX_TRAINING`` labelled ids that come first by a hash. Everything
 else runs over all rows. Scores never see labels, language, source or id.
 
 Defined results: a null or empty text has the features of no tokens and is scored like any other;
-rows without a label are scored, not learnt from; repeated rows get equal scores; an empty table
+rows without a label are scored, not learnt from; an id with labels of both kinds counts as toxic; repeated rows get equal scores; an empty table
 gives no rows. Without both classes in the sample the score is the sample's share of toxic rows (0
 without labels).
 """
@@ -39,7 +40,6 @@ from pyspark.sql import types as T
 from . import common
 
 MAX_TRAINING = 6_000
-MAX_LEXICON = 400
 LEAST_DOCS = 4
 LEAST_SHARE = 0.02
 LEAST_ODDS = 20.0
@@ -152,7 +152,7 @@ def _units_of(batches) -> Iterator[pd.DataFrame]:
 
 
 def learn_lexicon(sample: DataFrame) -> list[str]:
-    """Units frequent in toxic and rare in other texts of ``sample`` (text, toxic); a bounded list."""
+    """Units frequent in toxic and rare in other texts of ``sample`` (text, toxic)."""
     sizes = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     counts = (
         sample.select("text", "toxic")
@@ -164,7 +164,6 @@ def learn_lexicon(sample: DataFrame) -> list[str]:
     rows = (
         counts.where((F.col("toxic") >= max(LEAST_DOCS, LEAST_SHARE * sizes.get(1, 1))) & (odds >= LEAST_ODDS))
         .orderBy(F.desc("toxic"), "unit")
-        .limit(MAX_LEXICON)
         .collect()
     )
     return [r["unit"] for r in rows]
@@ -231,11 +230,12 @@ def train(sample: DataFrame) -> Scorer:
     shares = sample.agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("toxic")).first()
     if not shares["n"] or not 0 < shares["toxic"] < shares["n"]:
         return Scorer([], None, None, float(bool(shares["toxic"])))
-    lexicon = learn_lexicon(sample)
-    rows = common.staged(
-        with_features(sample, lexicon).withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(3))),
-        "toxicity-features",
-    )
+    sample = sample.withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(3)))
+    learnt_from = sample.where("fold > 0")
+    if learnt_from.select("toxic").distinct().count() < 2:
+        learnt_from = sample
+    lexicon = learn_lexicon(learnt_from)
+    rows = common.staged(with_features(sample, lexicon), "toxicity-features")
     assembler = VectorAssembler(inputCols=[f"f_{n}" for n in FEATURES], outputCol="features")
     vectors = assembler.transform(rows).select("fold", "features", F.col("toxic").cast("double").alias("label"))
     fitted = vectors.where("fold > 0")

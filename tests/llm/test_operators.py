@@ -3,7 +3,9 @@
 import hashlib
 import random
 import re
+import string
 import time
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -85,6 +87,23 @@ def test_schedule_inverse_gives_back_the_area(spark):
         assert abs(weight[grid <= t].mean() * t - share * mixing.area(schedule)) < 1e-3 if t else share == 0
 
 
+def test_passes_follow_the_schedules(spark):
+    rows = [(i, "w " * (1 + i % 5), "abc"[i % 3]) for i in range(600)] + [(900, None, "a"), (901, "x " * 500_000, "c")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    placed = mixing.place(frame, schedules=mixing.SCHEDULES)
+    whole = placed.collect()
+    got = mixing.by_pass(placed).collect()
+    assert len(got) == sum(len(r.positions) for r in whole) and all(r["pass"] in (0, 1, 2) for r in got)
+    assert [r.position for r in got] == sorted(r.position for r in got)
+    # By half of the time the heavy source has had 5/8 of its words, the light one 3/8 of them.
+    for source, schedule in zip("ab", mixing.SCHEDULES, strict=False):
+        own = [r for r in got if r.source == source]
+        target = own[0].target
+        before = sum(r.size for r in own if r.position < 0.5)
+        half = (schedule[0][1] + (schedule[0][1] + schedule[1][1]) / 2) / 4 / mixing.area(schedule)
+        assert abs(before / target - half) < 0.02
+
+
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], DOCS)
     assert mixing.mix(empty).count() == 0
@@ -340,9 +359,154 @@ def test_toxicity_features_see_disguise_and_second_person():
     assert clean[names.index("hits")] == 0 and toxicity.features("", tokens)[names.index("length")] == 0
 
 
+def slow_features(text, lexicon):
+    """The features word by word, as the docstring has them."""
+    words = text.split()
+    strip = toxicity._STRIP
+    known = lambda w: w in lexicon or any(len(w) >= n and w[:n] + "-" in lexicon for n in (4, 5))
+    kinds = []
+    for token in words:
+        word, kind = token.strip(strip).lower(), set()
+        if word.isalpha():
+            kind |= {"hit"} if known(word) else set()
+            kind |= {"you"} if word in toxicity.SECOND_PERSON else set()
+            kind |= {"loud"} if len(word) > 2 and token.strip(strip) == token.strip(strip).upper() else set()
+        elif any(c.isalpha() for c in word):
+            kind.add("mixed")
+            for worn in (word, token.lower()):
+                plain = "".join(c for c in worn.translate(toxicity.DISGUISE) if c.isalnum())
+                kind |= {"hit", "worn"} if plain and known(plain) else set()
+        kinds.append(kind)
+    hits = [k for k, kind in enumerate(kinds) if "hit" in kind]
+    yous = [k for k, kind in enumerate(kinds) if "you" in kind]
+    n, raw = max(1, len(words)), text.encode()
+    share = lambda what: sum(what in kind for kind in kinds) / n
+    ascii_share = lambda chars: sum(chr(b) in chars for b in raw if b < 128) / max(1, len(raw))
+    return (
+        len(hits) / n, float(len(hits)), float(len({words[k].strip(strip).lower() for k in hits})),
+        float(max((sum(k <= j < k + toxicity.STRETCH for j in hits) for k in hits), default=0)),
+        sum(any(abs(k - j) <= toxicity.NEAR for j in yous) for k in hits) / n, share("worn"),
+        ascii_share(string.ascii_uppercase), share("loud"), ascii_share("!?"), ascii_share(string.punctuation), share("mixed"), np.log1p(len(words)),
+    )
+
+
+def test_toxicity_features_against_word_by_word():
+    rng = random.Random(6)
+    lexicon = frozenset(["idiot", "vile-", "scuml-", "bad"])
+    atoms = ["you", "YOU!", "idiot", "1d10t", "vilest", "VILE?", "scumlords,", "b@d", "bad.", "tu", "Café", "abc1", "...", "hello", "DU", "x", "é", "¡idiot!"]
+    for _ in range(200):
+        text = " ".join(rng.choice(atoms) for _ in range(rng.randint(0, 160)))
+        assert np.allclose(toxicity.features(text, toxicity.Tokens(lexicon)), slow_features(text, lexicon)), text
+    long = "you idiot " * 200_000
+    assert np.allclose(toxicity.features(long, toxicity.Tokens(lexicon))[:3], (0.5, 200_000, 1))
+
+
+def test_lexicon_against_counting(spark):
+    rows = [(i, text, toxic) for i, text, toxic in toxic_corpus(random.Random(5), 300)]
+    got = toxicity.learn_lexicon(spark.createDataFrame(rows, "doc_id long, text string, toxic int"))
+    seen = {}
+    for _, text, toxic in rows:
+        for u in {u for w in text.split() if w.isalpha() for u in toxicity.units(w)}:
+            seen.setdefault(u, [0, 0])[toxic] += 1
+    n = [sum(1 - r[2] for r in rows), sum(r[2] for r in rows)]
+    want = {u for u, c in seen.items() if c[1] >= max(4, 0.02 * n[1]) and (c[1] + 0.1) / n[1] >= 20 * (c[0] + 0.1) / n[0]}
+    assert want and set(got) == want
+
+
+def test_calibration_against_pooled_violators(spark):
+    rows = toxic_corpus(random.Random(7), 400)
+    rows = [(i, t if rng % 9 else "plain words", y) for rng, (i, t, y) in enumerate(rows)]
+    scorer = toxicity.train(spark.createDataFrame(rows, "doc_id long, text string, toxic int"))
+    frame = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    folded = frame.withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(3)))
+    margins = toxicity._margin(scorer.trees.transform(toxicity.with_features(folded, scorer.lexicon))).select("doc_id", "fold", "margin", "toxic").collect()
+    held = {}
+    for r in margins:
+        if r.fold == 0:
+            held.setdefault(r.margin, []).append(r.toxic)
+    pools = []  # [sum, count, least margin, greatest margin]
+    for m in sorted(held):
+        pools.append([sum(held[m]), len(held[m]), m, m])
+        while len(pools) > 1 and pools[-2][0] / pools[-2][1] >= pools[-1][0] / pools[-1][1]:
+            a, b = pools[-2:]
+            pools[-2:] = [[a[0] + b[0], a[1] + b[1], a[2], b[3]]]
+    at = [m for p in pools for m in p[2:]]
+    value = [p[0] / p[1] for p in pools for _ in range(2)]
+    scores = {r.doc_id: r.score for r in scorer.score(frame.select("doc_id", "text")).collect()}
+    for r in margins:
+        assert abs(scores[r.doc_id] - np.interp(r.margin, at, value)) < 1e-9
+
+
+def test_toxicity_query_holds_out(spark, tmp_path):
+    rows = toxic_corpus(random.Random(8), 300)
+    docs = rows + [(2000, None, 0), (2001, "", 0), (2002, "you vilest " * 100_000, 0), (3, rows[3][1], 1)]
+    spark.createDataFrame([(i, t, "x") for i, t, _ in docs], "doc_id long, text string, score string").write.parquet(str(tmp_path / "documents.parquet"))
+    out = lambda i: zlib.crc32(str(i).encode()) % 3 == 1
+    # Held-out labels are wrong on purpose: they must not be seen. One id has both labels.
+    labels = [(i, 1 - y if out(i) else y) for i, _, y in rows] + [(4, 0), (4, 1)]
+    spark.createDataFrame(labels, "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    got = toxicity.query(spark, str(tmp_path)).collect()
+    assert len(got) == len(docs) and all(r.held_out == out(r.doc_id) and r.predicted == int(r.score >= 0.7) for r in got)
+    truth = {i: y for i, _, y in rows}
+    right = [r.predicted == truth[r.doc_id] for r in got if r.doc_id in truth and r.held_out]
+    assert sum(right) >= 0.95 * len(right)
+    assert len({r.score for r in got if r.doc_id == 3}) == 1
+
+
 # op5
 
 
+def test_kernel_ridge_against_explicit_kernel():
+    rng = random.Random(5)
+    alphabets = {"a": "abcde ", "b": "defgh ", "c": "ghijé "}
+    make = lambda lang: "".join(rng.choice(alphabets[lang]) for _ in range(rng.randint(3, 60)))
+    languages = [rng.choice("aaabc") for _ in range(60)]
+    texts = [make(lang) for lang in languages]
+    names = sorted(set(languages))
+    model = language_id.train(np.packbits(language_id.presence(texts), axis=1), languages)
+    cells = lambda t: {(n, t.lower()[i : i + n]) for n in (1, 2, 3) for i in range(len(t) - n + 1)}
+    kernel = lambda x, y: len(x & y) / np.sqrt(len(x) * len(y))
+    own = [cells(t) for t in texts]
+    k = np.array([[kernel(x, y) for y in own] for x in own])
+    y = np.array([[float(lang == name) for name in names] for lang in languages])
+    w = np.array([1 / (len(names) * languages.count(lang)) for lang in languages])
+    n = len(texts)
+    system = np.block([[w[:, None] * k + language_id.RIDGE * np.eye(n), w[:, None]], [(w @ k)[None, :], np.array([[w.sum()]])]])
+    solved = np.linalg.solve(system, np.vstack([w[:, None] * y, (w @ y)[None, :]]))
+    fresh = [make(lang) for lang in "abcabc"] + ["a", texts[0]]
+    want = np.array([[kernel(cells(t), x) for x in own] for t in fresh]) @ solved[:-1] + solved[-1]
+    # Hashed cells collide now and then.
+    assert np.abs(language_id.scores(model, fresh) - want).max() < 0.02
+
+
+def test_rare_languages_are_in_the_sample(spark):
+    assert language_id.quotas({"a": 10_000, "b": 3, "c": 500}, 300) == {"b": 3, "c": 148, "a": 149}
+    rows = [(i, f"common text {i}", "a") for i in range(3_000)] + [(5_000 + i, f"öäü ßßß {i}", "b") for i in range(3)]
+    frame = spark.createDataFrame(rows + rows[:5], "doc_id long, text string, lang string")
+    bits, languages, last = language_id._sample(language_id._usable(frame), 100)
+    assert languages.count("b") == 3 and languages.count("a") == 97 and len(bits) == 100 and last.count() == 2
+    model = language_id.fit(frame, 100)
+    assert language_id.predict(docs_of(spark, ["ßäß öü"]), model).first().lang_pred == "b"
+
+
+def test_language_query_holds_out(spark, tmp_path):
+    out = lambda i: zlib.crc32(str(i).encode()) % 4 == 2
+    sounds = {"xx": "abc", "yy": "cde"}
+    rng = random.Random(1)
+    rows = []
+    for i in range(200):
+        lang = rng.choice(list(sounds))
+        rows.append((i, "".join(rng.choice(sounds[lang] + " ") for _ in range(40)), lang))
+    # Languages of held-out rows must not be seen.
+    written = [(i, t, "zz" if out(i) else lang, "s") for i, t, lang in rows] + [(900, None, "xx", None), (901, "!", None, "s"), (902, "ab" * 400_000, "xx", "s"), (0, rows[0][1], None, "s")]
+    spark.createDataFrame(written, "doc_id long, text string, lang string, lang_pred string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = language_id.query(spark, str(tmp_path)).collect()
+    assert len(got) == len(written) and all(r.held_out == out(r.doc_id) for r in got)
+    by = {r.doc_id: r for r in got}
+    assert by[900].lang_pred == by[901].lang_pred == "und" and by[902].lang_pred == "xx"
+    assert all(by[i].lang_pred == lang for i, _, lang in rows)
+
+
 def test_language_id_held_out(spark):
     rng = random.Random(3)
     sounds = {"aa": ["ba", "na", "ka", "la"], "ee": ["be", "ne", "ke", "le"], "oo": ["bo", "nö", "kö", "lo"]}
