@@ -7,6 +7,7 @@ written so that both agree (``\\A...\\z``, ``\\p{Nd}``, ``(?U)\\s`` with the fou
 from __future__ import annotations
 
 import string
+import unicodedata
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -98,9 +99,19 @@ def clean_gloss(text: Column) -> Column:
     return strip(F.replace(text, F.lit("▶"), F.lit("")))
 
 
+#: Decimal digits of every script that has ten in a row, and what each stands for.
+_DIGITS = "".join(c for c in map(chr, range(0x80, 0x20000)) if unicodedata.category(c) == "Nd")
+_VALUES = "".join(str(unicodedata.decimal(c)) for c in _DIGITS)
+
+
 def int_or_zero(text: Column) -> Column:
-    """The number in ``text``; 0 if there is none at all. Null means: there is text, but no number."""
-    return F.when(text.isNull(), 0).otherwise(strip(text).try_cast("int"))
+    """The number in ``text``, with digits of any script, a sign, and single underscores between digits; 0 if there is no text.
+
+    Null means: there is text, but no number, or one beyond 64 bits.
+    """
+    own = F.translate(strip(text), _DIGITS, _VALUES)
+    number = F.when(own.rlike(r"\A[+-]?[0-9]+(?:_[0-9]+)*\z"), F.replace(own, F.lit("_"), F.lit("")).try_cast("bigint"))
+    return F.when(text.isNull(), F.lit(0).cast("long")).otherwise(number)
 
 
 def accent_shape(accents: Column) -> Column:

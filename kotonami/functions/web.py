@@ -27,8 +27,8 @@ def query_param(url: Column, name: str) -> Column:
 
 
 def links(html: Column) -> Column:
-    """Addresses of all anchors with a double-quoted href, in order."""
-    return F.regexp_extract_all(html, F.lit(r'<a href="([^"]*)"'), F.lit(1))
+    """Addresses of all anchors, in order, whatever attributes come first; a pattern, for pages whose values stand in double quotes."""
+    return F.regexp_extract_all(html, F.lit(r'(?i)<a\s(?:[^>"]*"[^"]*")*?[^>"]*?\bhref\s*=\s*"([^"]*)"'), F.lit(1))
 
 
 def comments(html: Column) -> Column:

@@ -1,8 +1,8 @@
 """Ordered alignment of a sentence's tokens with the morae of its accented reading.
 
 One fold over the tokens carries the position among the morae; all else follows from that position
-in closed form, so the whole operator is one column expression. Per token it looks along the
-morae once, so the work is tokens times morae of a request.
+in closed form, so the whole operator is one column expression. Per token it looks along the next
+morae, and along all that follow only if its reading begins nowhere near.
 """
 
 from __future__ import annotations
@@ -35,9 +35,17 @@ def _lengths(texts: Column) -> Column:
     )
 
 
+#: Morae in which a search looks first.
+NEAR = 48
+
+
 def _first(n: Column, begin: Column, hit) -> Column:
-    """The first k of begin..n-1 for which ``hit(k)`` holds, else n."""
-    return F.get(F.filter(F.sequence(F.lit(0), n), lambda k: (k >= begin) & ((k == n) | hit(k))), F.lit(0))
+    """The first k of begin..n-1 for which ``hit(k)`` holds, else n. All is only looked at if nothing near ``begin`` fits."""
+
+    def among(end: Column) -> Column:
+        return F.get(F.filter(F.sequence(begin, end), lambda k: (k == n) | hit(k)), F.lit(0))
+
+    return let(among(F.least(n, begin + NEAR)), lambda near: F.coalesce(near, among(n)))
 
 
 def _joined(texts: Column, begin: Column, end: Column) -> Column:

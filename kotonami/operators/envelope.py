@@ -57,13 +57,31 @@ def sentence_status(failed: Column, pairs: Column) -> Column:
     )
 
 
-def first_failure(payloads: DataFrame, order: list[str]) -> DataFrame:
-    """(site, headword_id, status): the status of the first endpoint in ``order`` that failed, else 200."""
+#: What a request counts as whose payload was not captured.
+UNANSWERED = "unanswered"
+
+
+def answered(requests: DataFrame, payloads: DataFrame, *keys: str) -> DataFrame:
+    """All ``requests`` with their payloads; one without a payload gets the transport error ``UNANSWERED``."""
+    seen = payloads.withColumn("captured", F.lit(True))
+    failed = F.when(F.col("captured").isNull(), UNANSWERED).otherwise(F.col("transport_error"))
+    return requests.join(seen, list(keys), "left").withColumn("transport_error", failed).drop("captured")
+
+
+def first_failure(headwords: DataFrame, payloads: DataFrame, order: list[str], of_site: Column, whole: list[str]) -> DataFrame:
+    """(site, headword_id, status): the status of the first endpoint in ``order`` that failed, else 200.
+
+    ``of_site`` gives the endpoints that a headword's site has; payloads of others are not looked at. One that was not
+    captured failed, and so did a document that is no object, unless it is one of ``whole``, which are taken as they are.
+    """
     place = F.array_position(F.array(*[F.lit(e) for e in order]), F.col("endpoint"))
-    readable = F.try_parse_json("body").isNotNull()
-    own = _chain(*fetch_failed(504), (~readable, 500))
+    asked = headwords.select("site", "headword_id").distinct().select("*", F.explode(of_site).alias("endpoint"))
+    rows = answered(asked, payloads, "site", "headword_id", "endpoint")
+    document = F.try_parse_json("body")
+    shapeless = ~F.col("endpoint").isin(whole) & ~F.schema_of_variant(document).startswith("OBJECT")
+    own = _chain(*fetch_failed(504), (document.isNull() | shapeless, 500))
     failed = F.min(F.when(own != 200, F.struct(place.alias("place"), own.alias("status"))))
-    return payloads.groupBy("site", "headword_id").agg(F.coalesce(failed["status"], F.lit(200)).alias("status"))
+    return rows.groupBy("site", "headword_id").agg(F.coalesce(failed["status"], F.lit(200)).alias("status"))
 
 
 def enveloped(rows: DataFrame, status: Column, result: Column, plain_error: bool = False) -> DataFrame:

@@ -14,11 +14,11 @@ _WORD = f"array<struct<surface:string,furigana:string,subword:{_SUB}>>"
 #: Endpoint -> (field of the record, target key, fetched for every site).
 DETAILS = {
     "basicinfob": ("base", "", True),
-    "basicinfosc": ("subcorpus", "", False),
-    "basicinfosj": ("shojikei", "", True),
+    "basicinfosc": ("subcorpus", "subcorpus", False),
+    "basicinfosj": ("shojikei", "shojikei", True),
     "basicinfoss": ("subcorpus_shojikei", "subcorpus", False),
-    "basicinfoky": ("katuyokei", "", False),
-    "basicinfojs": ("setuzoku", "", True),
+    "basicinfoky": ("katuyokei", "katuyokei", False),
+    "basicinfojs": ("setuzoku", "setuzoku", True),
     "patternfreqorder": ("patternfreqorder", "rows", True),
 }
 
@@ -76,6 +76,12 @@ def sentences(blocks: Column, entry_id: Column) -> Column:
     return F.transform(F.flatten(F.transform(blocks, lambda b: b["lines"])), pair)
 
 
+def is_list_of_objects(field: Column) -> Column:
+    """Whether JSON text is a list of objects and nothing else."""
+    items = F.try_variant_get(F.try_parse_json(field), "$", "array<variant>")
+    return F.coalesce(F.forall(items, lambda x: F.schema_of_variant(x).startswith("OBJECT")), F.lit(False))
+
+
 def details(payloads: DataFrame) -> DataFrame:
     """(site, headword_id, and a JSON column for each field) from payloads (…, endpoint, body).
 
@@ -94,6 +100,8 @@ def details(payloads: DataFrame) -> DataFrame:
 def entries(requests: DataFrame, search_pages: DataFrame, entry_pages: DataFrame) -> DataFrame:
     """(request_id, pos, entry_id, entry, missing): dictionary entries of each request in order.
 
+    An entry page that was not captured, or not got, is missing, as one that cannot be read.
+
     A search that was redirected names its entry in the address; others list theirs on the page.
     """
     found = requests.join(search_pages, "request_id").select(
@@ -106,5 +114,6 @@ def entries(requests: DataFrame, search_pages: DataFrame, entry_pages: DataFrame
         .alias("ids"),
     )
     listed = found.select("request_id", F.posexplode("ids").alias("pos", "entry_id"))
-    pages = entry_pages.select("entry_id", html.entry(F.col("html")).alias("entry"), F.lit(True).alias("read"))
+    got = F.when(F.col("transport_error").isNull(), F.col("html"))
+    pages = entry_pages.select("entry_id", html.entry(got).alias("entry"), F.lit(True).alias("read"))
     return listed.join(pages, "entry_id", "left").withColumn("missing", F.col("read").isNull() | F.col("entry").isNull()).drop("read")

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import text, web
 
 EQ, EW = "eq", "ew"
+#: Parts that the rows of one key are spread over.
+SALTS = 8
 #: Class of a term -> (field, operation) rules, any of which suffices.
 RULES = {
     text.YOMI: (("yomi1", EQ), ("yomi2", EW), ("yomi3", EW)),
@@ -84,10 +86,15 @@ def search(terms: DataFrame, lexicon: DataFrame) -> DataFrame:
     """Terms (request_id, word) with every lexicon row they match, each row once.
 
     The disjunction of equality and suffix tests becomes one equi-join on (class, key); ``lexicon``
-    needs a unique column ``row``.
+    needs a unique column ``row``. Short suffixes belong to very many rows: keys are salted by the row, and terms are
+    repeated for each salt.
     """
-    asked = terms.select("request_id", "word", text.text_type(F.col("word")).alias("kind"), search_key(F.col("word")).alias("key"))
-    hits = asked.join(suffix_keys(lexicon), ["kind", "key"]).select("request_id", "word", "row")
+    asked = terms.select(
+        "request_id", "word", text.text_type(F.col("word")).alias("kind"), search_key(F.col("word")).alias("key"),
+        F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"),
+    )
+    keys = suffix_keys(lexicon).withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int"))
+    hits = asked.join(keys, ["kind", "key", "salt"]).select("request_id", "word", "row")
     return hits.join(lexicon, "row")
 
 

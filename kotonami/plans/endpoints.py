@@ -1,4 +1,7 @@
-"""The seven services as plans over request and payload tables; each gives (request_id, envelope)."""
+"""The seven services as plans over request and payload tables; each gives (request_id, envelope).
+
+Every request gets an answer: without a captured payload it counts as one whose transport failed (status 500).
+"""
 
 from __future__ import annotations
 
@@ -8,17 +11,18 @@ from pyspark.sql import functions as F
 from ..functions import text, web
 from ..operators import align, envelope, records, search
 from ..sources import html
+from ..sources import requests as sources
 
 
 def mark_furigana(requests: DataFrame, payload: DataFrame) -> DataFrame:
-    rows = requests.join(payload, "request_id").withColumn("words", records.furigana_words(F.col("body")))
+    rows = envelope.answered(requests, payload, "request_id").withColumn("words", records.furigana_words(F.col("body")))
     status = envelope.furigana_status(F.col("words"), F.try_parse_json("body").isNotNull())
     return envelope.enveloped(rows, status, F.col("words"))
 
 
 def mark_accent(requests: DataFrame, payload: DataFrame, pages: DataFrame) -> DataFrame:
     """Requests are normalised before they are sent, so ``payload`` belongs to ``text.normalise(text)``."""
-    rows = requests.join(payload, "request_id").withColumn("words", records.furigana_words(F.col("body")))
+    rows = envelope.answered(requests, payload, "request_id").withColumn("words", records.furigana_words(F.col("body")))
     rows = rows.withColumn("furigana_status", envelope.furigana_status(F.col("words"), F.try_parse_json("body").isNotNull()))
     page = pages.select(
         "request_id",
@@ -57,13 +61,13 @@ def headword_links(requests: DataFrame, lexicon: DataFrame) -> DataFrame:
 def headword_details(requests: DataFrame, payloads: DataFrame) -> DataFrame:
     """Seven payloads per headword as one record; the first that failed decides the status."""
     keys = ["site", "headword_id"]
-    status = envelope.first_failure(payloads, list(records.DETAILS))
-    rows = requests.join(status, keys).join(records.details(payloads), keys)
+    whole = [e for e, (_, target, _) in records.DETAILS.items() if not target]
+    status = envelope.first_failure(requests, payloads, list(records.DETAILS), sources.detail_endpoints(), whole)
+    rows = requests.join(status, keys).join(records.details(payloads), keys, "left")
     fields = [f for f, _, _ in records.DETAILS.values()]
-    lists = [F.coalesce(F.col(f).startswith("["), F.lit(False)) for f in fields[1:]]
     shaped = F.coalesce(F.col("base").startswith("{"), F.lit(False))
-    for own in lists:
-        shaped = shaped & own
+    for field in fields[1:]:
+        shaped = shaped & records.is_list_of_objects(F.col(field))
     final = F.when((F.col("status") == 200) & ~shaped, 500).otherwise(F.col("status"))
     return envelope.enveloped(rows, final, F.struct(*fields))
 
@@ -76,13 +80,14 @@ def dictionary(requests: DataFrame, search_pages: DataFrame, entry_pages: DataFr
         F.transform(F.array_sort(F.collect_list(F.struct("pos", "entry"))), lambda x: x["entry"]).alias("result"),
     )
     failed = search_pages.select("request_id", F.col("transport_error").isNotNull().alias("failed"))
-    rows = requests.join(failed, "request_id").join(per, "request_id", "left")
+    rows = requests.join(failed, "request_id", "left").join(per, "request_id", "left")
+    rows = rows.withColumn("failed", F.coalesce("failed", F.lit(True)))
     return envelope.enveloped(rows, envelope.dictionary_status(F.col("failed"), F.col("n"), F.col("broken")), F.col("result"))
 
 
 def example_sentences(requests: DataFrame, pages: DataFrame) -> DataFrame:
     """Errors of this service are plain strings."""
-    rows = requests.join(pages, "request_id").withColumn("blocks", html.example_blocks(F.col("html")))
+    rows = envelope.answered(requests, pages, "request_id").withColumn("blocks", html.example_blocks(F.col("html")))
     rows = rows.withColumn("pairs", records.sentences(F.col("blocks"), F.col("id")))
     unread = F.col("transport_error").isNotNull() | F.col("blocks").isNull()
     status = envelope.sentence_status(unread, F.col("pairs"))

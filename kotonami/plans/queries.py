@@ -88,13 +88,46 @@ _of_words("numeric_tokens", ["12", "-3.5", "１２３", "12\n", "12\r", "1.", ".
 _of_words("ordinal_strip", ["(1) 先生です", "(12)\t　x", "1) x", "(a) x", "", None, "((1)) x", "(3)x"], text.strip_ordinal, rf"regexp_replace({{0}}, '\A\([0-9]+\){_WS}*', '')")
 _of_words("unicode_strip", ["  a ", "　先生　", "\x1ca\x1f", "a b", "", None, " x ", "\n\t"], text.strip, _STRIP)
 _of_words("gloss_clean", ["▶ to run", "run ▶ fast", "▶", "", None, " 　▶x▶ "], text.clean_gloss, at(_STRIP, "replace({0}, '▶', '')"))
-_of_words("int_or_zero", ["12", " 7 ", None, "x", "", "1387990", "99999999999"], text.int_or_zero, f"CASE WHEN {{0}} IS NULL THEN 0 ELSE try_cast({_STRIP} AS INTEGER) END")
-_of_words("script_class_chars", list("あアー・ヽ゠漢々ｱａA1、𠮷ゝヿ㐀鿿") + ["", None, "ああ"], text.is_kana_or_kanji, f"length({{0}}) = 1 AND NOT regexp_matches({{0}}, '{_NOT_KK}')")
-_of_words("punct_membership", ["。", "——", "", None, "a", "!", "～", "、、、", "ー", "$", "....", "‵"], text.is_punctuation, "list_contains([" + ", ".join(map(quoted, dict.fromkeys(text.PUNCTUATION))) + "], {0})")
 _of_words(
-    "normalise_literals", ["Ａｂｃ１２３", "ｶﾞｷﾞﾊﾟ", "らーーめん", "a‐b", "～x~", "　空　", "ﾊﾞﾅﾅ", None, ""], text.normalise,
-    "CASE {0} " + " ".join(f"WHEN {quoted(a)} THEN {quoted(b)}" for a, b in [("Ａｂｃ１２３", "Abc123"), ("ｶﾞｷﾞﾊﾟ", "ガギパ"), ("らーーめん", "らーめん"), ("a‐b", "a-b"), ("～x~", "～x～"), ("　空　", "空"), ("ﾊﾞﾅﾅ", "バナナ")]) + " ELSE {0} END",
+    "int_or_zero", ["12", " 7 ", None, "x", "", "1387990", "99999999999", "１２", "٣٤", "1_000", "1__0", "+5", "-0", "1.0", "9223372036854775808", "9223372036854775807"], text.int_or_zero,
+    f"CASE WHEN {{0}} IS NULL THEN 0 WHEN regexp_full_match(translate({_STRIP}, '０１２３４５６７８９٠١٢٣٤٥٦٧٨٩', '01234567890123456789'), '[+-]?[0-9]+(_[0-9]+)*') THEN try_cast(replace(translate({_STRIP}, '０１２３４５６７８９٠١٢٣٤٥٦٧٨٩', '01234567890123456789'), '_', '') AS BIGINT) END",
 )
+_of_words("script_class_chars", list("あアー・ヽ゠漢々ｱａA1、𠮷ゝヿ㐀鿿") + ["", None, "ああ"], text.is_kana_or_kanji, f"length({{0}}) = 1 AND NOT regexp_matches({{0}}, '{_NOT_KK}')")
+_of_words("punct_membership", ["。", "——", "", None, "a", "!", "～", "、、、", "ー", "$", "....", "‵"], text.is_punctuation, "list_contains([" + ", ".join(map(quoted, dict.fromkeys(text.PUNCTUATION))) + "], {0})")
+
+
+def _normalise_sql(value: str) -> str:
+    """The normalisation as replacements one after the other."""
+    out = f"translate(translate({value}, {quoted(text._WIDE.replace('～', ''))}, {quoted(text._NARROW.replace('~', ''))}), {quoted(text._HALF_KANA)}, {quoted(text._FULL_KANA)})"
+    for marks, (plain, marked) in (("ﾞ゛", text._VOICED), ("ﾟ゜", text._HALF_VOICED)):
+        for a, b in zip(plain, marked, strict=True):
+            for mark in marks:
+                out = f"replace({out}, {quoted(a + mark)}, {quoted(b)})"
+    for these, one in (("˗֊‐‑‒–⁃⁻₋−", "-"), ("﹣－ｰ—―─━ー", "ー"), ("~∼∾〜〰～", "～")):
+        first, *others = these
+        out = f"regexp_replace(translate({out}, {quoted(''.join(others))}, {quoted(first * len(others))}), '{first}+', {quoted(one)}, 'g')"
+    return at(_STRIP, out)
+
+
+_of_words("normalise_literals", ["Ａｂｃ１２３", "ｶﾞｷﾞﾊﾟ", "らーーめん", "a‐b", "a-–b--", "～x~", "　空　", "ﾊﾞﾅﾅ", "ｳﾞｧ", "ｰ-ー", None, ""], text.normalise, _normalise_sql("{0}"))
+#: Latin letters and digits spelt in what the normaliser folds.
+_FOLDED = "ｶﾞｷﾟﾊﾎーｰ―‐−-～~〜Ａｚ１！　ヲﾜﾝ゛゜うウハヴ─–⁃"
+_FOLD = f"'{LATIN[: len(_FOLDED)]}', '{_FOLDED}'"
+
+
+@register("normalise_parts", f"SELECT p_partkey, {_normalise_sql(f'translate(lower(p_name), {_FOLD})')} AS normalised FROM part")
+def normalise_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spelt = F.translate(F.lower("p_name"), LATIN[: len(_FOLDED)], _FOLDED)
+    return read(spark, sf_dir, "part").select("p_partkey", text.normalise(spelt).alias("normalised"))
+
+
+_BODIES = [(1, "先生".encode(), None), (2, "先生".encode("euc_jp"), "euc-jp"), (3, "先生".encode("shift_jis"), "Shift_JIS"), (4, "é".encode("latin-1"), "iso-8859-1"), (5, b"a\xffb", None), (6, None, "utf-8"), (7, b"x", "no-such-charset"), (8, b"", "")]
+_DECODED = [(1, "先生"), (2, "先生"), (3, "先生"), (4, "é"), (5, "a\ufffdb"), (6, None), (7, "x"), (8, "")]
+
+
+@register("payload_charsets", f"SELECT id, html FROM {values(_DECODED, 'id', 'html')}")
+def payload_charsets(spark: SparkSession, _: str) -> DataFrame:
+    return payloads.from_bytes(literal(spark, _BODIES, "id int, body binary, charset string")).select("id", "html")
 
 
 @register("text_type_tokens", f"SELECT type, count(*) AS n FROM (SELECT {at(_TYPE, 'w')} AS type FROM (SELECT unnest(string_split(text, ' ')) AS w FROM documents)) GROUP BY type")
@@ -110,10 +143,10 @@ def kana_fold_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelt.select("p_partkey", kata.alias("kata"), text.to_hiragana(kata).alias("hira"))
 
 
-@register("numeric_words", rf"SELECT conv_id, turn, count(*) AS n FROM (SELECT conv_id, turn, unnest(string_split(text, ' ')) AS w FROM conversations) WHERE regexp_full_match(w, '{_NUMBER}') GROUP BY ALL")
+@register("numeric_words", rf"SELECT doc_id, count(*) AS n FROM (SELECT doc_id, unnest(string_split(text, ' ')) AS w FROM documents) WHERE regexp_full_match(w, '{_NUMBER}') GROUP BY ALL")
 def numeric_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = read(spark, sf_dir, "conversations").select("conv_id", "turn", F.explode(F.split("text", " ")).alias("w"))
-    return words.where(text.is_numeric(F.col("w"))).groupBy("conv_id", "turn").agg(F.count(F.lit(1)).alias("n"))
+    words = read(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", " ")).alias("w"))
+    return words.where(text.is_numeric(F.col("w"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 @register("latin_strip", "SELECT conv_id, turn, regexp_replace(text, '[A-Za-z]', '', 'g') AS stripped FROM conversations")
@@ -262,17 +295,35 @@ def detail_assembly(spark: SparkSession, _: str) -> DataFrame:
     return records.details(payloads.table(spark, "detail_payload", fixtures.DETAIL_PAYLOAD))
 
 
-@register("furigana_tokens", f"""SELECT request_id::BIGINT AS request_id, (w.pos - 1)::INT AS pos, w.word->>'surface' AS surface,
-    CASE WHEN json_type(w.word, '$.subword') IS NULL THEN coalesce(w.word->>'furigana', w.word->>'surface') ELSE w.word->>'furigana' END AS furigana,
-    coalesce(json_array_length(w.word, '$.subword'), 0)::INT AS n_subwords
-    FROM (SELECT request_id, unnest(words) AS word, generate_subscripts(words, 1) AS pos
-      FROM (SELECT request_id, (body->'$.result.word')::JSON[] AS words FROM {values([(r[0], r[3]) for r in fixtures.FURIGANA_PAYLOAD if r[0] in (1, 2)], 'request_id', 'body')})) w""")
+#: The words of a furigana answer that can be read, null if it cannot.
+_SUBWORDS = "list_transform(CASE WHEN json_type(w, '$.subword') = 'ARRAY' THEN (w->'subword')::JSON[] ELSE [] END, lambda s: {'furigana': s->>'furigana', 'surface': s->>'surface'})"
+_READING = "CASE WHEN json_type(w, '$.subword') IS NULL THEN coalesce(w->>'furigana', w->>'surface') ELSE w->>'furigana' END"
+_FURIGANA = f"""(SELECT *, CASE WHEN len(list_filter(words, lambda w: w->>'surface' IS NULL OR {_READING} IS NULL)) = 0 THEN list_transform(words, lambda w:
+    {{'surface': w->>'surface', 'furigana': {_READING}, 'subword': {_SUBWORDS}}}) END AS read
+  FROM (SELECT *, CASE WHEN json_valid(body) AND json_type(body, '$.result.word') = 'ARRAY' THEN (body->'$.result.word')::JSON[] END AS words
+    FROM {values(fixtures.FURIGANA_PAYLOAD, 'request_id', 'transport_error', 'http_status', 'body')}))"""
+
+
+@register("furigana_tokens", f"""SELECT request_id::BIGINT AS request_id, (pos - 1)::INT AS pos, w.surface AS surface, w.furigana AS furigana, len(w.subword)::INT AS n_subwords
+    FROM (SELECT request_id, unnest(read) AS w, generate_subscripts(read, 1) AS pos FROM {_FURIGANA})""")
 def furigana_tokens(spark: SparkSession, _: str) -> DataFrame:
-    rows = payloads.table(spark, "furigana_payload", fixtures.FURIGANA_PAYLOAD).where("request_id IN (1, 2)")
+    rows = payloads.table(spark, "furigana_payload", fixtures.FURIGANA_PAYLOAD)
     words = rows.select("request_id", F.posexplode(records.furigana_words(F.col("body"))).alias("pos", "w"))
     return words.select("request_id", "pos", "w.surface", "w.furigana", F.size("w.subword").alias("n_subwords"))
 
 
+_SPANS = r'<span class="([^"]*)"><span class=inner>([^<]*)</span></span>'
+
+
+@register("accent_morae", f"""SELECT request_id::BIGINT AS request_id, (k - 1)::INT AS pos, t[k] AS text, CASE split_part(c[k], ' ', 1) WHEN 'accent_plain' THEN 1 WHEN 'accent_top' THEN 2 ELSE 0 END AS accent
+    FROM (SELECT request_id, c, t, unnest(range(1, len(c) + 1)) AS k FROM (SELECT request_id, regexp_extract_all(html, {quoted(_SPANS)}, 1) AS c, regexp_extract_all(html, {quoted(_SPANS)}, 2) AS t
+      FROM {values(fixtures.ACCENT_PAYLOAD, 'request_id', 'transport_error', 'http_status', 'html')} WHERE html NOT LIKE '%<span><span class=inner>%'))""")
+def accent_morae(spark: SparkSession, _: str) -> DataFrame:
+    pages = payloads.table(spark, "accent_payload", fixtures.ACCENT_PAYLOAD)
+    each = pages.select("request_id", F.posexplode(records.morae(F.col("html"))).alias("pos", "m"))
+    return each.select("request_id", "pos", "m.text", "m.accent")
+
+
 # Alignment at scale: the words of a part's name and its size are tokens, their kana the morae.
 _PARTS = f"""(SELECT p_partkey AS id, string_split(lower(p_name), ' ') || [(p_size)::VARCHAR] || CASE WHEN p_partkey % 5 = 0 THEN ['cafe-ー'] ELSE [] END AS words,
     string_split(CASE WHEN p_partkey % 7 = 0 THEN substr(kana, 2) WHEN p_partkey % 11 = 0 THEN 'う' || kana WHEN p_partkey % 13 = 0 THEN kana || '、ん' ELSE kana END, '') AS morae
@@ -428,7 +479,7 @@ def url_param_first(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("html_links", """SELECT page_id, (k - 1)::INT AS pos, l[k] AS link FROM (SELECT page_id, l, unnest(range(1, len(l) + 1)) AS k
-    FROM (SELECT page_id, regexp_extract_all(html, '<a href="([^"]*)"', 1) AS l FROM pages))""")
+    FROM (SELECT page_id, regexp_extract_all(html, '(?i)<a\\s(?:[^>"]*"[^"]*")*?[^>"]*?\\bhref\\s*=\\s*"([^"]*)"', 1) AS l FROM pages))""")
 def html_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "pages").select("page_id", F.posexplode(web.links(F.col("html"))).alias("pos", "link"))
 
@@ -468,37 +519,43 @@ def dict_sentence_chain(spark: SparkSession, _: str) -> DataFrame:
         payloads.table(spark, "dict_search_page", fixtures.SEARCH_PAGES),
         payloads.table(spark, "dict_entry_page", fixtures.ENTRY_PAGES),
     )
-    pages = payloads.table(spark, "sentence_page", fixtures.SENTENCE_PAGES).where("request_id = 1")
-    pages = pages.select(html.example_blocks(F.col("html")).alias("blocks"))
+    # An entry's id is asked for by a request for sentences, whose page has the sentences of more entries.
+    asked = payloads.table(spark, "requests_word", fixtures.SENTENCE_REQUESTS).select(F.col("request_id").alias("asked"), "id")
+    pages = payloads.table(spark, "sentence_page", fixtures.SENTENCE_PAGES).select(
+        F.col("request_id").alias("asked"), html.example_blocks(F.col("html")).alias("blocks")
+    )
     entries = found.where("NOT missing").select("request_id", F.col("entry.id").alias("ent_seq")).distinct()
-    pairs = entries.join(F.broadcast(pages)).select(
+    pairs = entries.join(asked, F.col("ent_seq") == F.col("id")).join(pages, "asked").select(
         "request_id", "ent_seq", F.posexplode(records.sentences(F.col("blocks"), F.col("ent_seq"))).alias("pos", "s")
     )
     return pairs.select("request_id", "ent_seq", "pos", "s.jp", "s.en")
 
 
-def _status(rows: DataFrame) -> DataFrame:
+def _answers(rows: DataFrame, result: Column | None = None) -> DataFrame:
+    """Status, code of the error, and the whole result as text."""
     code = F.col("envelope.error.code") if "struct" in dict(rows.select("envelope.error").dtypes)["error"] else F.when(F.col("envelope.status") != 200, F.col("envelope.status"))
+    text_of = F.to_json("envelope.result", {"ignoreNullFields": "false"}) if result is None else result
     return rows.select(
-        "request_id", F.col("envelope.status").alias("status"), code.alias("code"), F.col("envelope.result").isNotNull().alias("has_result")
+        "request_id", F.col("envelope.status").alias("status"), code.alias("code"), F.when(F.col("envelope.result").isNotNull(), text_of).alias("result")
     )
 
 
-def _envelope(name: str, expected: list[tuple[int, int, bool]]):
-    rows = [(i, s, str(r).lower()) for i, s, r in expected]
-    sql = f"SELECT request_id::BIGINT AS request_id, status, CASE WHEN status <> 200 THEN status END AS code, has_result = 'true' AS has_result FROM {values(rows, 'request_id', 'status', 'has_result')}"
-    return register(name, sql)
+def _expected(name: str, rows: list[tuple[int, int, str | None]]):
+    """Answers as they are written in the fixtures."""
+    return register(name, f"SELECT request_id::BIGINT AS request_id, status, CASE WHEN status <> 200 THEN status END AS code, result FROM {values(rows, 'request_id', 'status', 'result')}")
 
 
-@_envelope("envelope_furigana", fixtures.FURIGANA_STATUS)
+@register("envelope_furigana", f"""SELECT request_id::BIGINT AS request_id, status, CASE WHEN status <> 200 THEN status END AS code, CASE WHEN status = 200 THEN to_json(read)::VARCHAR END AS result
+    FROM (SELECT r.request_id, read, CASE WHEN p.request_id IS NULL THEN 500 WHEN transport_error = 'timeout' THEN 408 WHEN transport_error IS NOT NULL THEN 500 WHEN http_status <> 200 THEN http_status
+      WHEN read IS NULL THEN 500 ELSE 200 END AS status FROM {values(fixtures.TEXT_REQUESTS, 'request_id', 'text').replace('AS v(', 'AS r(')} LEFT JOIN {_FURIGANA} p ON p.request_id = r.request_id)""")
 def envelope_furigana(spark: SparkSession, _: str) -> DataFrame:
     requests = payloads.table(spark, "requests_text", fixtures.TEXT_REQUESTS)
-    return _status(endpoints.mark_furigana(requests, payloads.table(spark, "furigana_payload", fixtures.FURIGANA_PAYLOAD)))
+    return _answers(endpoints.mark_furigana(requests, payloads.table(spark, "furigana_payload", fixtures.FURIGANA_PAYLOAD)))
 
 
-@_envelope("envelope_accent", fixtures.ACCENT_STATUS)
+@_expected("envelope_accent", [(i, s, fixtures.ACCENT_ANSWERS.get(i) if r else None) for i, s, r in fixtures.ACCENT_STATUS])
 def envelope_accent(spark: SparkSession, _: str) -> DataFrame:
-    return _status(
+    return _answers(
         endpoints.mark_accent(
             endpoints.normalised_requests(payloads.table(spark, "requests_text", fixtures.TEXT_REQUESTS)),
             payloads.table(spark, "furigana_payload", fixtures.FURIGANA_PAYLOAD),
@@ -507,22 +564,35 @@ def envelope_accent(spark: SparkSession, _: str) -> DataFrame:
     )
 
 
-@register("envelope_usage", f"""SELECT request_id, CASE WHEN coalesce(word, '') = '' THEN 500 WHEN n = 0 THEN 404 ELSE 200 END AS status,
-    CASE WHEN coalesce(word, '') = '' THEN 500 WHEN n = 0 THEN 404 END AS code, coalesce(word, '') <> '' AND n > 0 AS has_result
-    FROM (SELECT t.request_id, t.word, count(h.id) AS n FROM {values(TERMS, 'request_id', 'word').replace('AS v(', 'AS t(')} LEFT JOIN {_HITS} h ON h.request_id = t.request_id GROUP BY ALL)""")
+_USAGE = f"""(SELECT t.request_id, CASE WHEN coalesce(t.word, '') = '' THEN 500 WHEN count(h.id) = 0 THEN 404 ELSE 200 END AS status,
+    coalesce(list({{'row': h.id, 'id': h.id, 'headword_id': h.headword_id, 'headword': h.headword, 'yomi_display': h.yomi_display, 'romaji_display': h.romaji_display, 'freq': h.freq}} ORDER BY h.id)
+      FILTER (h.id IS NOT NULL AND {_VALID.replace('id <>', 'h.id <>', 1)}), []) AS hits
+    FROM {values(TERMS, 'request_id', 'word').replace('AS v(', 'AS t(')} LEFT JOIN {_HITS} h ON h.request_id = t.request_id GROUP BY t.request_id, t.word)"""
+
+
+@register("envelope_usage", f"SELECT request_id, status, CASE WHEN status <> 200 THEN status END AS code, CASE WHEN status = 200 THEN to_json(hits)::VARCHAR END AS result FROM {_USAGE}")
 def envelope_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _status(endpoints.headwords(_terms(spark), lexicon(spark, sf_dir)))
+    return _answers(endpoints.headwords(_terms(spark), lexicon(spark, sf_dir)))
+
+
+@register("envelope_links", f"""SELECT request_id, status, CASE WHEN status <> 200 THEN status END AS code,
+    CASE WHEN status = 200 THEN to_json(list_transform(hits, lambda h: {{'word': h.headword, 'url': CASE WHEN request_id % 2 = 0 THEN 'https://nlb.ninjal.ac.jp' ELSE 'https://tsukubawebcorpus.jp' END || '/headword/' || h.headword_id || '/'}}))::VARCHAR END AS result FROM {_USAGE}""")
+def envelope_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = _terms(spark).withColumn("site", F.when(F.col("request_id") % 2 == 0, "NLB").otherwise("NLT"))
+    return _answers(endpoints.headword_links(asked, lexicon(spark, sf_dir)))
 
 
-@_envelope("envelope_details", fixtures.DETAIL_STATUS)
+@register("envelope_details", fixtures.DETAIL_ENVELOPE_SQL)
 def envelope_details(spark: SparkSession, _: str) -> DataFrame:
     requests = literal(spark, fixtures.DETAIL_REQUESTS, "request_id bigint, site string, headword_id string")
-    return _status(endpoints.headword_details(requests, payloads.table(spark, "detail_payload", fixtures.DETAIL_PAYLOAD)))
+    rows = endpoints.headword_details(requests, payloads.table(spark, "detail_payload", fixtures.DETAIL_PAYLOAD))
+    fields = [f"envelope.result.{f}" for f, _, _ in records.DETAILS.values()]
+    return _answers(rows, F.concat_ws("|", *fields))
 
 
-@_envelope("envelope_dict", fixtures.DICT_STATUS)
+@_expected("envelope_dict", fixtures.DICT_STATUS)
 def envelope_dict(spark: SparkSession, _: str) -> DataFrame:
-    return _status(
+    return _answers(
         endpoints.dictionary(
             payloads.table(spark, "requests_word", fixtures.DICT_REQUESTS),
             payloads.table(spark, "dict_search_page", fixtures.SEARCH_PAGES),
@@ -531,7 +601,7 @@ def envelope_dict(spark: SparkSession, _: str) -> DataFrame:
     )
 
 
-@_envelope("envelope_sentence", fixtures.SENTENCE_STATUS)
+@_expected("envelope_sentence", fixtures.SENTENCE_STATUS)
 def envelope_sentence(spark: SparkSession, _: str) -> DataFrame:
     requests = payloads.table(spark, "requests_word", fixtures.SENTENCE_REQUESTS)
-    return _status(endpoints.example_sentences(requests, payloads.table(spark, "sentence_page", fixtures.SENTENCE_PAGES)))
+    return _answers(endpoints.example_sentences(requests, payloads.table(spark, "sentence_page", fixtures.SENTENCE_PAGES)))

@@ -1,7 +1,7 @@
 """Records from captured web pages, through a small tree over the standard library's parser.
 
-The pages are not well-formed (unclosed tags), so XPath cannot read them. Each extraction is an
-Arrow-batched function of one page; a page that breaks gives null, which callers report as an error.
+The pages are not well-formed (unclosed tags), so XPath cannot read them. Each extraction is a
+function of an Arrow batch of pages; a page that breaks, in whatever way, gives null, which callers report as an error.
 """
 
 from __future__ import annotations
@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,11 +19,13 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 class Node:
     """An element, a text (tag ``#text``) or a comment (``#comment``)."""
 
-    __slots__ = ("tag", "attrs", "children", "parent", "data")
+    __slots__ = ("tag", "attrs", "children", "parent", "data", "place", "following")
 
     def __init__(self, tag: str, parent: Node | None = None, attrs: dict[str, str] | None = None, data: str = ""):
         self.tag, self.parent, self.attrs, self.data = tag, parent, attrs or {}, data
         self.children: list[Node] = []
+        self.place = len(parent.children) if parent is not None else 0
+        self.following: dict[str, list[Node | None]] = {}
         if parent is not None:
             parent.children.append(self)
 
@@ -47,8 +50,14 @@ class Node:
         return [c for c in self.children if c.tag == tag]
 
     def next_sibling(self, tag: str) -> Node | None:
-        own = self.parent.children
-        return next((c for c in own[own.index(self) + 1 :] if c.tag == tag), None)
+        """The next element ``tag`` under the same parent, which remembers them for all of its children."""
+        if tag not in self.parent.following:
+            after, last = [], None
+            for child in reversed(self.parent.children):
+                after.append(last)
+                last = child if child.tag == tag else last
+            self.parent.following[tag] = after[::-1]
+        return self.parent.following[tag][self.place]
 
     def comments(self) -> list[str]:
         return [n.data for n in self.walk() if n.tag == "#comment"]
@@ -92,17 +101,35 @@ def parse(page: str) -> Node:
     return builder.top
 
 
-def _extract(read: Callable[[Node], object], kind: str) -> Callable[[Column], Column]:
+def _extract(read: Callable[[Node], object], kind: pa.DataType, ddl: str) -> Callable[[Column], Column]:
     def one(page: str | None):
         if page is None:
             return None
         try:
             return read(parse(page))
-        except (ValueError, IndexError, KeyError):
+        except Exception:  # whatever a foreign page makes the parser or the reader raise
             return None
 
+    def batch(pages: pa.Array) -> pa.Array:
+        return pa.array([one(page) for page in pages.to_pylist()], kind)
+
     # Made at the call: parsing the type needs a session, importing this module does not.
-    return lambda page: F.udf(one, kind, useArrow=True)(page)
+    def extract(page: Column) -> Column:
+        return F.arrow_udf(batch, ddl)(page)
+
+    return extract
+
+
+def _text_list() -> pa.DataType:
+    return pa.list_(pa.string())
+
+
+def _number(text: str) -> int:
+    """The number in ``text``; a number beyond 64 bits counts as unreadable."""
+    value = int(text)
+    if not -(1 << 63) <= value < 1 << 63:
+        raise ValueError("number out of range")
+    return value
 
 
 def _entry_ids(page: Node) -> list[str]:
@@ -134,7 +161,7 @@ def _entry(page: Node) -> dict:
         "kanji": [n.text() for n in page.find("span", "kanj")],
         "furigana": [n.text() for n in page.find("span", "rdng")],
         "definitions": senses,
-        "id": int(link.text()) if link is not None else 0,
+        "id": _number(link.text()) if link is not None else 0,
     }
 
 
@@ -158,15 +185,22 @@ def _phrases(page: Node) -> list[dict]:
     return out
 
 
-ENTRY = "struct<kanji:array<string>,furigana:array<string>,definitions:array<struct<pos:array<string>,meanings:array<string>>>,id:int>"
+ENTRY = "struct<kanji:array<string>,furigana:array<string>,definitions:array<struct<pos:array<string>,meanings:array<string>>>,id:bigint>"
+_SENSE = pa.struct([("pos", _text_list()), ("meanings", _text_list())])
+_ENTRY = pa.struct([("kanji", _text_list()), ("furigana", _text_list()), ("definitions", pa.list_(_SENSE)), ("id", pa.int64())])
+_BLOCK = pa.struct([("comments", _text_list()), ("lines", _text_list())])
+_MORA = pa.struct([("text", pa.string()), ("classes", _text_list())])
+_PHRASE = pa.struct([("surface", pa.string()), ("morae", pa.list_(_MORA))])
 
 #: Values of the entry fields of a search page's result rows.
-entry_ids = _extract(_entry_ids, "array<string>")
+entry_ids = _extract(_entry_ids, _text_list(), "array<string>")
 #: A dictionary entry page as a record.
-entry = _extract(_entry, ENTRY)
+entry = _extract(_entry, _ENTRY, ENTRY)
 #: Blocks of example sentences: their comments, and the lines that follow line breaks.
-example_blocks = _extract(_example_blocks, "array<struct<comments:array<string>,lines:array<string>>>")
+example_blocks = _extract(_example_blocks, pa.list_(_BLOCK), "array<struct<comments:array<string>,lines:array<string>>>")
 #: Phrases of an accent page, texts and subscripts paired up to the shorter list; null if a mora has no class.
-phrases = _extract(_phrases, "array<struct<surface:string,morae:array<struct<text:string,classes:array<string>>>>>")
+phrases = _extract(
+    _phrases, pa.list_(_PHRASE), "array<struct<surface:string,morae:array<struct<text:string,classes:array<string>>>>>"
+)
 #: Texts of all elements ``div.ad``.
-ad_texts = _extract(lambda page: [n.text(" ") for n in page.find("div", "ad")], "array<string>")
+ad_texts = _extract(lambda page: [n.text(" ") for n in page.find("div", "ad")], _text_list(), "array<string>")

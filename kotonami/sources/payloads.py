@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import codecs
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SCHEMAS = {
@@ -33,6 +36,31 @@ def table(spark: SparkSession, name: str, rows: list[tuple]) -> DataFrame:
     return spark.createDataFrame(rows, SCHEMAS[name])
 
 
+def _decoded(bodies: pa.Array, charsets: pa.Array) -> pa.Array:
+    out = []
+    for body, charset in zip(bodies.to_pylist(), charsets.to_pylist(), strict=True):
+        try:
+            codec = codecs.lookup(charset or "utf-8")
+        except LookupError:
+            codec = codecs.lookup("utf-8")
+        out.append(None if body is None else codec.decode(body, "replace")[0])
+    return pa.array(out, pa.string())
+
+
+def decoded(body: Column, charset: Column) -> Column:
+    """The text of a captured body (bytes) by the charset of its header; UTF-8 where none, or none known, is named.
+
+    Bytes that do not fit become the replacement character. Spark's own decoder takes one charset for a
+    whole column and few of them, so this is a function of an Arrow batch.
+    """
+    return F.arrow_udf(_decoded, "string")(body, charset)
+
+
+def from_bytes(captured: DataFrame, text: str = "html", body: str = "body", charset: str = "charset") -> DataFrame:
+    """A payload table from one with bodies as they came: ``text`` instead of ``body`` and ``charset``."""
+    return captured.withColumn("decoded_text", decoded(F.col(body), F.col(charset))).drop(body, charset).withColumnRenamed("decoded_text", text)
+
+
 def write_answers(answers: DataFrame, path: str) -> None:
     """Envelopes as JSON lines, one request a line."""
     answers.select("request_id", F.to_json("envelope", {"ignoreNullFields": "false"}).alias("answer")).write.json(path)

@@ -77,11 +77,15 @@ def sentence_body(word: Column) -> Column:
     return form({"dsrchkey": word, "dicsel": F.lit("1")})
 
 
+def detail_endpoints() -> Column:
+    """The endpoints that a row's ``site`` has."""
+    everywhere = [e for e, (_, _, all_sites) in records.DETAILS.items() if all_sites]
+    return F.when(F.col("site") == "NLT", F.array(*map(F.lit, everywhere))).otherwise(F.array(*map(F.lit, records.DETAILS)))
+
+
 def detail_requests(headwords: DataFrame) -> DataFrame:
     """(site, headword_id, endpoint, method, url) of every detail that a site has, from (site, headword_id)."""
-    everywhere = [e for e, (_, _, all_sites) in records.DETAILS.items() if all_sites]
-    endpoints = F.when(F.col("site") == "NLT", F.array(*map(F.lit, everywhere))).otherwise(F.array(*map(F.lit, records.DETAILS)))
-    each = headwords.select("site", "headword_id", F.explode(endpoints).alias("endpoint"))
+    each = headwords.select("site", "headword_id", F.explode(detail_endpoints()).alias("endpoint"))
     return each.select(
         "*",
         F.when(F.col("endpoint").isin(*POSTED), "POST").otherwise("GET").alias("method"),

@@ -6,6 +6,7 @@ from pathlib import Path
 
 from pyspark.sql import functions as F
 
+from kotonami.functions import web
 from kotonami.operators import search
 from kotonami.plans import endpoints, fixtures
 from kotonami.plans import queries as plans
@@ -52,6 +53,20 @@ def test_selectors_on_broken_markup():
     assert [n.text() for n in page.direct("span")] == ["z"]
 
 
+def test_pages_that_break_give_null(spark):
+    pages = ["<![foo[ x ]]>", '<a href="srchres.py">99999999999999999999</a>', None, "", '<a href="srchres.py">1_0</a>', "<br>" * 20_000 + "<font>x</font>"]
+    frame = spark.createDataFrame([(i, p) for i, p in enumerate(pages)], "i int, page string")
+    got = {r.i: r for r in frame.select("i", html.entry("page").alias("e"), html.example_blocks("page").alias("b")).collect()}
+    assert got[0].e is None and got[0].b is None and got[1].e is None and got[2].e is None
+    assert got[3].e.id == 0 and got[4].e.id == 10 and got[5].b == []
+
+
+def test_links_with_other_attributes_first(spark):
+    page = '<a class="x" href="one">1</a><A\nHREF = "two"><abbr href="no"><a title="href=" id="q" href="three"><a name="n">'
+    frame = spark.createDataFrame([(page,)], "page string")
+    assert frame.select(web.links(F.col("page"))).first()[0] == ["one", "two", "three"]
+
+
 def test_no_requests_give_no_answers(spark):
     none = payloads.table(spark, "requests_word", [])
     assert endpoints.headwords(none, plans.lexicon(spark, SF)).count() == 0
@@ -70,7 +85,7 @@ def test_answers_are_written_as_json(spark, tmp_path):
     answers = endpoints.example_sentences(requests, payloads.table(spark, "sentence_page", fixtures.SENTENCE_PAGES))
     payloads.write_answers(answers, str(tmp_path / "answers"))
     lines = spark.read.json(str(tmp_path / "answers"))
-    assert lines.count() == 6
+    assert lines.count() == len(fixtures.SENTENCE_REQUESTS)
     assert lines.where(F.contains("answer", F.lit('"status":404'))).count() == 2
 
 

@@ -49,7 +49,7 @@ def test_shapes_of_the_documentation(spark):
 
 
 def test_int_or_zero(spark):
-    assert values(spark, [None, " 7 ", "x", "99999999999"], text.int_or_zero) == [0, 7, None, None]
+    assert values(spark, [None, " 7 ", "x", "99999999999", "٤２"], text.int_or_zero) == [0, 7, None, 99999999999, 42]
 
 
 def test_normalise_subset(spark):
