@@ -147,11 +147,29 @@ def _context_digests(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.nd
         )
 
 
+def _context(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last byte of the context of each packed place."""
+    pos = (at >> AFTER_BITS) & ((1 << POSITION_BITS) - 1)
+    return np.maximum(pos - BEFORE, 0), pos + (at & ((1 << AFTER_BITS) - 1))
+
+
+def _merged(seq: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Contexts that hold a string at all, those that overlap or touch put together."""
+    long = high - low >= LENGTH
+    order = np.lexsort((high[long], low[long], seq[long]))
+    seq, low, high = seq[long][order], low[long][order], high[long][order]
+    # In a text the last bytes are in the order of the first.
+    begin = np.ones(len(seq), dtype=bool)
+    begin[1:] = (seq[1:] != seq[:-1]) | (low[1:] > high[:-1])
+    first = np.flatnonzero(begin)
+    return seq[first], low[first], high[np.append(first[1:], len(seq)) - 1] if len(first) else high[:0]
+
+
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(seq, text) -> (known, h, digest, seq, at) of every anchor.
 
-    ``known`` are those whose context stands earlier in the same batch; they only need a task to go to, so that a context that
-    repeats very often is no hot key.
+    Where an anchor's context stands earlier in the same batch, its range is ``known``: these ranges are put together to
+    rows that hold their ends (``digest``, ``at``) and may go to any task, so that a context that repeats very often is no hot key.
     """
     held: list[tuple[np.ndarray, ...]] = []
     n = 0
@@ -163,9 +181,13 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h, digest, seq, at, check = h[order], digest[order], seq[order], at[order], check[order]
         known = np.zeros(len(h), dtype=bool)
         known[1:] = (h[1:] == h[:-1]) & (digest[1:] == digest[:-1]) & (check[1:] == check[:-1])
+        own, low, high = _merged(seq[known], *_context(at[known]))
         with np.errstate(over="ignore"):
-            h = np.where(known, shingles.mix(at.view(np.uint64) + seq.view(np.uint64) * _BASE).view(np.int64), h)
-        return pa.record_batch([pa.array(c) for c in (known, h, digest, seq, at)], names=["known", "h", "digest", "seq", "at"])
+            any_task = shingles.mix(low.view(np.uint64) + own.view(np.uint64) * _BASE).view(np.int64)
+        new = ~known
+        columns = [np.arange(len(own) + new.sum()) < len(own)]
+        columns += [np.concatenate(c) for c in ((any_task, h[new]), (low, digest[new]), (own, seq[new]), (high, at[new]))]
+        return pa.record_batch([pa.array(c) for c in columns], names=["known", "h", "digest", "seq", "at"])
 
     for seq, raw in _texts(batches):
         if len(raw) < LENGTH:
@@ -197,13 +219,14 @@ def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h, digest, seq, at = (batch.column(c).to_numpy() for c in ("h", "digest", "seq", "at"))
         check = at >> (POSITION_BITS + AFTER_BITS)
         pos = (at >> AFTER_BITS) & ((1 << POSITION_BITS) - 1)
+        low, high = _context(at)
+        low, high = np.where(known, digest, low), np.where(known, at, high)
         first = np.ones(len(h), dtype=bool)
         first[1:] = (h[1:] != h[:-1]) | (digest[1:] != digest[:-1]) | (check[1:] != check[:-1])
         if len(h) and last is not None:
             first[0] = last != (int(h[0]), int(digest[0]), int(check[0]))
         first &= ~known
         other = ~first
-        low, high = np.maximum(pos - BEFORE, 0), pos + (at & ((1 << AFTER_BITS) - 1))
         other &= high - low >= LENGTH
         begin = np.flatnonzero(first)
         asked_seq, asked_pos = [], []
@@ -591,7 +614,7 @@ def numbered(docs: DataFrame) -> DataFrame:
     if docs.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").take(1):
         ordered = docs.orderBy("doc_id", F.sha2("text", 256)).withColumn("seq", F.monotonically_increasing_id())
         return common.staged(ordered, "suffix-rows")
-    return docs.withColumn("seq", F.col("doc_id"))
+    return docs.withColumn("seq", F.col("doc_id").cast("long"))
 
 
 _RANGES = "asked boolean, seq long, low long, high long"
@@ -614,6 +637,7 @@ def repeated_ranges(texts: DataFrame, memory: int = MEMORY_ROWS) -> DataFrame:
 def remove_repeats(docs: DataFrame, memory: int = MEMORY_ROWS) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every row of ``docs`` (doc_id, text)."""
     rows = numbered(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))).select("seq", "doc_id", "text")
+    rows = rows.where("seq IS NOT NULL")  # drops nothing; both joins below then see the same texts
     ranges = repeated_ranges(rows, memory).groupBy("seq").agg(F.collect_list(F.struct("low", "high")).alias("ranges"))
     # Joined by seq as in ``repeated_ranges``, so that the texts are shuffled once for both.
     joined_rows = rows.join(ranges, "seq", "left").select("seq", "doc_id", "text", "ranges")
