@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Folder of the local fallback, made once for each driver process.
 _FALLBACK: list[str] = []
+#: Folders that this driver process has staged and not deleted.
+_STAGED: list[str] = []
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -20,11 +23,13 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests on one machine) a temporary folder is made.
+    Only where the session names none and runs on one machine (tests) a temporary folder is made.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
     if not _FALLBACK:
         _FALLBACK.append("file://" + tempfile.mkdtemp(prefix="spark-shared-"))
     return _FALLBACK[0]
@@ -35,18 +40,43 @@ def new_folder(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def _files(spark: SparkSession, path: str):
+    """The file system and the name of ``path`` there."""
+    name = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return name.getFileSystem(spark._jsc.hadoopConfiguration()), name
+
+
+def passing_folder(spark: SparkSession, path: str) -> str:
+    """``path``, made and to be deleted when the driver ends."""
+    files, name = _files(spark, path)
+    files.mkdirs(name)
+    files.deleteOnExit(name)
+    _STAGED.append(path)
+    return path
+
+
 def staged(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     Cuts the lineage, so a lost executor costs the rereading of files and no recomputation,
-    and lets several consumers use one computation.
+    and lets several consumers use one computation. The folder is deleted when the driver ends.
     """
     spark = df.sparkSession
-    path = new_folder(spark, label)
-    df.write.parquet(path)
+    path = passing_folder(spark, new_folder(spark, label))
+    df.write.mode("append").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def finished(spark: SparkSession, make: Callable[[], DataFrame], label: str) -> DataFrame:
+    """``make()``, staged; all that was staged before and on the way is deleted."""
+    out = staged(make(), label)
+    for path in _STAGED[:-1]:
+        files, name = _files(spark, path)
+        files.delete(name, True)
+    del _STAGED[:-1]
+    return out
+
+
 def only(df: DataFrame, *names: str) -> DataFrame:
     """The named columns; extra columns, whatever they are called, go no further."""
     return df.select(*[df[name] for name in names])

@@ -170,14 +170,15 @@ WITH d AS (
 b AS (
   SELECT DISTINCT item_id, string_split(trim(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}]+', ' ', 'g')), ' ') AS w
   FROM benchmark),
+k AS (SELECT DISTINCT least(5, len(w)) AS k FROM b WHERE w <> ['']),
 ds AS (
-  SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 4), ' ') AS s
-  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) >= 5)),
+  SELECT DISTINCT doc_id, k, array_to_string(list_slice(w, i, i + k - 1), ' ') AS s
+  FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d JOIN k ON len(w) >= k WHERE w <> [''])),
 bs AS (
-  SELECT DISTINCT item_id, w, array_to_string(list_slice(w, i, i + 4), ' ') AS s
-  FROM (SELECT item_id, w, unnest(range(1, len(w) - 3)) AS i FROM b WHERE len(w) >= 5)),
+  SELECT DISTINCT item_id, w, k, array_to_string(list_slice(w, i, i + k - 1), ' ') AS s
+  FROM (SELECT item_id, w, least(5, len(w)) AS k, unnest(range(1, len(w) - least(5, len(w)) + 2)) AS i FROM b WHERE w <> [''])),
 n AS (SELECT item_id, w, count(*) AS n FROM bs GROUP BY item_id, w),
-h AS (SELECT ds.doc_id, bs.item_id, bs.w, count(*) AS held FROM ds JOIN bs ON ds.s = bs.s GROUP BY ALL)
+h AS (SELECT ds.doc_id, bs.item_id, bs.w, count(*) AS held FROM ds JOIN bs ON ds.s = bs.s AND ds.k = bs.k GROUP BY ALL)
 SELECT h.doc_id, h.item_id, round(max(held / n), 6) AS containment
 FROM h JOIN n ON h.item_id = n.item_id AND h.w = n.w
 WHERE held >= ceil(n * 0.8 - 1e-9)

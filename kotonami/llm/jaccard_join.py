@@ -6,13 +6,13 @@ Documents are linked when the Jaccard similarity of their sets of five-word shin
 * Each class has ``BANDS * ROWS`` MinHash values. Classes that agree in one band of ``ROWS`` values at least are
   candidates: at similarity 0.8 all but one pair in ten million are.
 * Candidates are compared in groups. A class's leader is the least class it shares a bucket with; leader groups
-  of more than ``GROUP_ROWS`` classes are cut into chunks, and each pair of chunks that share a bucket is a task's work of
-  its own. So no bucket is gathered whole, pairs are never written out, and none is lost.
+  of more than ``GROUP_ROWS`` classes or ``GROUP_SHINGLES`` shingles are cut into chunks, and each pair of chunks that share a bucket
+  is a task's work of its own. So no bucket is gathered whole, pairs are never written out, and none is lost.
 * Within a group, candidates compare their MinHash values ``STEP`` at a time. With a uniform prior, m
   equal values of n give the posterior Beta(m + 1, n - m + 1); a pair whose probability of
   reaching the threshold is below ``TOLERANCE`` is dropped.
-* The rest is verified exactly: the texts of the classes that still have partners are read again and
-  their shingle sets (64-bit hashes) intersected, grouped as before. The links are counted, and
+* The rest is verified on whole shingle sets: the texts of the classes that still have partners are read again and
+  their sets intersected, grouped as before. Shingles are compared by hashes of 64 bits. The links are counted, and
   each group's links are reduced to a forest for the components.
 
 Defined results: a null text, or one without a letter or digit, has no shingles and links with
@@ -39,6 +39,7 @@ BANDS, ROWS = 30, 4
 STEP = 20
 TOLERANCE = 1e-5
 GROUP_ROWS = 300
+GROUP_SHINGLES = 1 << 19
 SEED = 11
 
 _rng = np.random.default_rng(SEED)
@@ -48,32 +49,31 @@ _NO_ID = -(1 << 63)
 
 
 def signatures(norm: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(MinHash values as uint16, whether there is any shingle), a row per text."""
+    """(MinHash values as uint16, number of shingles, repeated ones included), a row per text."""
     least = np.full((len(norm), BANDS * ROWS), np.iinfo(np.uint64).max, dtype=np.uint64)
-    has = np.zeros(len(norm), dtype=bool)
+    number = np.zeros(len(norm), dtype=np.int64)
     with np.errstate(over="ignore"):
         for of, own, _, _ in shingles.hashed_shingles(norm, WIDTH):
             if not len(of):
                 continue
             edges = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
             docs = of[edges]
-            has[docs] = True
+            number[docs] += np.diff(np.append(edges, len(of)))
             part = np.empty((len(edges), BANDS * ROWS), dtype=np.uint64)
             for p in range(BANDS * ROWS):
                 part[:, p] = np.minimum.reduceat(own * _MULTIPLIERS[p] + _ADDENDS[p], edges)
             least[docs] = np.minimum(least[docs], part)
-        return (shingles.mix(least) >> np.uint64(48)).astype(np.uint16), has
+        return (shingles.mix(least) >> np.uint64(48)).astype(np.uint16), number
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for k in range(0, len(batch), 2_000):
             part = batch.slice(k, 2_000)
-            values, has = signatures(part.column(2).cast(pa.large_string()))
-            packed = [row.tobytes() if own else None for row, own in zip(values, has, strict=True)]
-            yield pa.record_batch(
-                [part.column(0), part.column(1), pa.array(packed, pa.binary())], names=["doc_id", "digest", "sig"]
-            )
+            values, number = signatures(part.column(2).cast(pa.large_string()))
+            packed = [row.tobytes() if n else None for row, n in zip(values, number, strict=True)]
+            columns = [part.column(0), part.column(1), pa.array(packed, pa.binary()), pa.array(number)]
+            yield pa.record_batch(columns, names=["doc_id", "digest", "sig", "shingles"])
 
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
@@ -246,11 +246,11 @@ def jaccard_links(
     norm = common.normalised(docs[text])
     rows = docs.select(docs[doc_id].cast("long").alias("doc_id"), norm.alias("norm"))
     signed = rows.select("doc_id", F.md5("norm").alias("digest"), "norm").mapInArrow(
-        _sign, "doc_id long, digest string, sig binary"
+        _sign, "doc_id long, digest string, sig binary, shingles long"
     )
     signed = common.staged(signed, "jaccard-signatures")
     classes = signed.where("sig IS NOT NULL").groupBy("digest").agg(
-        F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("size"), F.first("sig").alias("sig")
+        F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("size"), F.first("sig").alias("sig"), F.first("shingles").alias("shingles")
     )
     classes = common.staged(classes.withColumn("key", F.monotonically_increasing_id()), "jaccard-classes")
 
@@ -260,7 +260,9 @@ def jaccard_links(
     )
     members = common.staged(banded.join(shared.select("bucket", "leader"), "bucket"), "jaccard-buckets")
     led = members.groupBy("key").agg(F.min("leader").alias("leader"))
-    chunks = led.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / GROUP_ROWS).alias("chunks"))
+    chunks = led.join(classes.select("key", "shingles"), "key").groupBy("leader").agg(
+        F.ceil(F.greatest(F.count(F.lit(1)) / GROUP_ROWS, F.sum("shingles") / GROUP_SHINGLES)).alias("chunks")
+    )
     groups = led.join(chunks, "leader").select(
         "key", F.xxhash64("leader", F.pmod(F.xxhash64("key"), F.col("chunks"))).alias("gid")
     )

@@ -416,7 +416,7 @@ def read_archives(spark: SparkSession, folder: str, manifest: DataFrame | None =
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write all pages to archives, read them back, and describe each page's record."""
     pages = common.only(common.read(spark, sf_dir, "pages"), "page_id", "url", "html")
-    folder = common.new_folder(spark, "warc")
+    folder = common.passing_folder(spark, common.new_folder(spark, "warc"))
     manifest = write_archives(prepared(pages), folder)
     if not manifest.where("records > 0").take(1):
         return spark.createDataFrame(

@@ -7,12 +7,14 @@ import string
 import time
 import zlib
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from kotonami.llm import (
+    common,
     components,
     decontamination,
     embedding_dedup,
@@ -773,3 +775,71 @@ def test_anchor_pieces_give_the_anchors_of_the_whole():
     starts = np.arange(len(raw) - 99)
     nearest = whole[np.minimum(np.searchsorted(whole, starts), len(whole) - 1)]
     assert (nearest - starts <= suffix_dedup.BEFORE).all()
+
+
+# The registered queries and edge rows
+
+
+def test_decontamination_sql_and_query_on_short_items_and_long_texts(spark, tmp_path):
+    rng = random.Random(10)
+    items = [(1, "one"), (2, "two words"), (3, words(rng, 30)), (4, "a b c d"), (5, None), (6, " "), (7, words(rng, 6))]
+    long = words(rng, 3_000)
+    docs = [(1, "ONE more"), (2, "two, words"), (None, "one"), (3, long + " " + items[2][1] + " " + long), (4, "c d a b c d"), (4, "a b c d"), (5, items[6][1]), (6, None), (7, "")]
+    spark.createDataFrame(docs, "doc_id long, text string").withColumn("hash", F.lit(0)).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(items, "item_id long, text string").withColumn("width", F.lit(9)).write.parquet(str(tmp_path / "benchmark.parquet"))
+    con = duckdb.connect()
+    for table in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{tmp_path}/{table}.parquet/*.parquet'")
+    want = con.execute(decontamination.SQL).fetchall()
+    got = [tuple(r) for r in decontamination.query(spark, str(tmp_path)).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr) and {r[1] for r in got} == {1, 2, 3, 4, 7}
+    long = words(rng, 150_000)
+    frame = docs_of(spark, [long + " " + items[2][1] + " " + long, long])
+    found = decontamination.contained_items(frame, spark.createDataFrame(items[2:3], "item_id long, text string")).collect()
+    assert [tuple(r) for r in found] == [(0, 3, 1.0)]
+
+
+def test_jaccard_join_of_long_texts_and_repeated_ids(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "GROUP_SHINGLES", 1_000)
+    rng = random.Random(11)
+    long = words(rng, 120_000)
+    short = words(rng, 50)
+    rows = [(1, long), (2, long + " tail"), (5, short), (5, short + " x"), (None, short), (None, None), (8, ""), (8, "")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").withColumn("sig", F.lit("clash"))
+    got = sorted(((r.doc_id, r.n_links, r.component_id) for r in jaccard_join.jaccard_links(frame).collect()), key=repr)
+    assert got == sorted([(1, 1, 1), (2, 1, 1), (5, 2, 5), (5, 2, 5), (None, 2, 5), (None, 0, None), (8, 0, 8), (8, 0, 8)], key=repr)
+
+
+def test_embeddings_with_repeated_and_missing_ids(spark):
+    near, far = [1.0, 0.0, 0.01], [0.0, 1.0, 0.0]
+    rows = [(3, near, 1), (3, [1.0, 0.0, 0.0], 1), (None, near, 1), (None, far, 1), (7, far, 2), (9, near, 1)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    got = sorted(((r.vec_id, r.n_links, r.component_id) for r in embedding_dedup.near_duplicates(frame).collect()), key=repr)
+    assert got == sorted([(3, 3, 3), (3, 3, 3), (None, 3, 3), (None, 0, None), (7, 0, 7), (9, 3, 3)], key=repr)
+
+
+def test_queries_of_token_counts_and_repeats(spark, tmp_path):
+    rng = random.Random(13)
+    block = words(rng, 60)
+    docs = [(1, block), (2, block + " tail"), (3, "word " * 512), (4, "word " * 513 + "."), (5, None), (6, ""), (7, "word " * 100_000)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").withColumn("n_tokens", F.lit("clash")).withColumn("seq", F.lit("clash"))
+    frame.write.parquet(str(tmp_path / "documents.parquet"))
+    tok = token_counts.tokenizer(token_counts.VOCABULARY)
+    got = {r.doc_id: r for r in token_counts.query(spark, str(tmp_path)).collect()}
+    for i, text in docs:
+        n = len(tok.encode(text or "", add_special_tokens=False))
+        assert (got[i].n_tokens, got[i].over_limit, got[i].n_bytes) == (n, n > 512, len((text or "").encode()))
+    assert {got[i].over_limit for i in (3, 4)} == {True, False} or got[3].n_tokens != 512
+    left = {r.doc_id: tuple(r)[1:] for r in suffix_dedup.query(spark, str(tmp_path)).collect()}
+    assert left == repeats([(i, (t or "").encode()) for i, t in docs])
+
+
+def test_staged_folders_go(spark):
+    import os
+
+    first = common.staged(spark.range(3), "test")
+    kept = common.finished(spark, lambda: common.staged(spark.range(5), "test").where("id > 1"), "test")
+    folder = lambda df: df.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+    assert kept.count() == 3 and os.path.isdir(folder(kept))
+    with pytest.raises(Exception):
+        first.count()

@@ -4,6 +4,7 @@ import random
 import re
 
 import corpus_pipeline as pipeline
+from pyspark.sql import functions as F
 
 from kotonami.llm import common
 from test_operators import base_spans, grams, words
@@ -82,3 +83,29 @@ def test_registered_with_the_entry():
 
     names = entry_module.queries()
     assert "pipeline" in names and sum(n.startswith("op") for n in names) == 10
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def test_stages_on_empty_tables_and_clashing_columns(spark, tmp_path):
+    rng = random.Random(2)
+    long = words(rng, 60_000) + " a.b@c.org " + words(rng, 60_000)
+    rows = [(1, long, "en", "s", 0), (2, long + " more", "en", None, 0), (None, words(rng, 30), None, "s", 0), (4, None, "en", "s", 7), (5, "", None, None, None), (6, words(rng, 30), "de", "t", 0)]
+    clash = ["row", "size", "hash", "kind", "key", "component_id", "positions", "score", "lang_pred", "pii_row", "at", "start", "id", "digest"]
+    full = spark.createDataFrame(rows, SCHEMA)
+    for name in clash:
+        full = full.withColumn(name, F.lit("clash"))
+    spark.createDataFrame([], "item_id long, text string").withColumn("shingle", F.lit("clash")).write.parquet(str(tmp_path / "benchmark.parquet"))
+    for (name, stage), want in zip(pipeline.STAGES, [4, 5, 6, 6, 4], strict=True):
+        assert stage(spark, full.limit(0), str(tmp_path)).count() == 0, name
+        out = stage(spark, full, str(tmp_path))
+        got = out.collect()
+        assert len(got) == want, name
+        if name != "source_mixing":
+            assert out.columns == list(pipeline.COLUMNS)
+        if name == "near_duplicates":
+            assert sorted(str(r.doc_id) for r in got) == ["1", "4", "5", "6", "None"]
+        if name == "personal_data":
+            own = {r.doc_id: r for r in got}
+            assert "<EMAIL>" in own[1].text and own[1].n_chars == len(own[1].text) and own[4].n_chars == 7 and own[4].text is None
