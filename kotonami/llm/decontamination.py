@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -55,11 +56,20 @@ def _has(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 def _emit(widths: tuple[int, ...], wanted: np.ndarray | None = None, sketch: np.ndarray | None = None):
     """Batches of (id, norm) -> (id, shingle, hash, width).
 
-    With bitmaps, only shingles that an item has, and only of documents that hold one of a sketch.
+    With bitmaps, only shingles that an item has, and only of documents that hold one of a sketch. Rows with a third
+    column, their own width, give shingles of that width alone.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def by_width(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, tuple[int, ...]]]:
         for batch in batches:
+            if batch.num_columns == 2:
+                yield batch, widths
+                continue
+            for width in widths:
+                yield batch.filter(pc.equal(batch.column(2), width)), (width,)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, widths in by_width(batches):
             ids, norm = batch.column(0), batch.column(1).cast(pa.large_string())
             raw, _ = shingles.buffers(norm)
             kept: list[tuple[np.ndarray, ...]] = []
@@ -102,13 +112,8 @@ def item_shingles(items: DataFrame, width: int = WIDTH) -> DataFrame:
     rows = items.select("item_id", common.normalised(F.col("text")).alias("norm")).where("norm != ''").distinct()
     rows = rows.select(F.struct("item_id", F.md5("norm").alias("digest")).alias("id"), "norm")
     # Fewer words than a shingle has: one shingle of all of them, whose width is their number.
-    words = F.size(F.split("norm", " "))
-    parts = [_shingled(rows.where(words >= width), (width,))]
-    parts += [_shingled(rows.where(words == w), (w,)) for w in range(1, width)]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    out = out.distinct()
+    rows = rows.withColumn("width", F.least(F.size(F.split("norm", " ")), F.lit(width)))
+    out = _shingled(rows, tuple(range(1, width + 1))).distinct()
     counts = out.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
     return out.join(counts, "id").select(
         F.col("id.digest").alias("item"), F.col("id.item_id").alias("item_id"), "shingle", "hash", "width", "n"
