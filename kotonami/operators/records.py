@@ -57,6 +57,11 @@ def morae(page: Column) -> Column:
     )
 
 
+def paragraph(phrases: Column) -> Column:
+    """The surfaces of an accent page's phrases, one after the other."""
+    return F.array_join(F.transform(phrases, lambda p: p["surface"]), "")
+
+
 def sentences(blocks: Column, entry_id: Column) -> Column:
     """(jp, en) of the example sentences of a page whose block (``html.example_blocks``) mentions the
     entry; a pair without a second part has a null ``en``. The mention is a substring, so an id also

@@ -46,6 +46,17 @@ def _accent_page(morae: list[tuple[str, str | None]]) -> str:
     return f'<html><div class="phrasing_text">{spans}</div><div class="phrasing_subscript"><span>お金</span></div><br><div class="phrasing_text"><span>extra'
 
 
+def _phrase(surfaces: list[str], morae: list[tuple[str, str]]) -> str:
+    above = "".join(f'<span class="{c}"><span class=inner>{t}</span></span>' for t, c in morae)
+    below = "".join(f"<span>{s}</span>" for s in surfaces)
+    return f'<div class="phrasing_text">{above}</div><p><div class="phrasing_subscript">{below}</div></p>'
+
+
+_WALK = _phrase(["山", "道", "を"], [("や", "mora"), ("ま", "accent_plain"), ("み", "accent_top"), ("ち", "mora"), ("を", "mora")])
+_RUN = _phrase(["走<b>る</b>"], [("は", "mora"), ("し", "accent_top"), ("る", "mora")])
+#: Pages of several phrases; the last page's second phrase has nothing below it, its third is no phrase.
+PHRASE_PAGES = [(1, _WALK + _RUN), (2, _RUN), (3, ""), (4, _WALK + '<div class="phrasing_text"><span class="mora">x</span></div>'), (5, None), (6, _phrase([], [("あ", "accent_top")]))]
+
 _MORAE = [("お", "mora"), ("か", "accent_plain"), ("ね", "accent_plain"), ("を", "accent_plain"), ("か", "accent_plain"), ("せ", "accent_top x"), ("ぐ", "mora")]
 ACCENT_PAYLOAD = [
     *((i, None, 200, _accent_page(_MORAE)) for i in range(1, 10)),

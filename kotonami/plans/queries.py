@@ -324,6 +324,16 @@ def accent_morae(spark: SparkSession, _: str) -> DataFrame:
     return each.select("request_id", "pos", "m.text", "m.accent")
 
 
+@register("accent_phrases", f"""SELECT id, (k - 1)::INT AS pos, regexp_replace(below[k], '<[^>]*>', '', 'g') AS surface, len(regexp_extract_all(above[k], '<span class="'))::INT AS n_morae,
+    array_to_string(list_transform(below[1:least(len(above), len(below))], lambda b: regexp_replace(b, '<[^>]*>', '', 'g')), '') AS paragraph
+    FROM (SELECT id, above, below, unnest(range(1, least(len(above), len(below)) + 1)) AS k FROM (SELECT id, regexp_extract_all(html, '<div class="phrasing_text">(.*?)</div>', 1) AS above,
+      regexp_extract_all(html, '<div class="phrasing_subscript">(.*?)</div>', 1) AS below FROM {values(fixtures.PHRASE_PAGES, 'id', 'html')}))""")
+def accent_phrases(spark: SparkSession, _: str) -> DataFrame:
+    pages = literal(spark, fixtures.PHRASE_PAGES, "id int, html string").select("id", html.phrases(F.col("html")).alias("p"))
+    each = pages.select("id", records.paragraph(F.col("p")).alias("paragraph"), F.posexplode("p").alias("pos", "phrase"))
+    return each.select("id", "pos", "phrase.surface", F.size("phrase.morae").alias("n_morae"), "paragraph")
+
+
 # Alignment at scale: the words of a part's name and its size are tokens, their kana the morae.
 _PARTS = f"""(SELECT p_partkey AS id, string_split(lower(p_name), ' ') || [(p_size)::VARCHAR] || CASE WHEN p_partkey % 5 = 0 THEN ['cafe-ー'] ELSE [] END AS words,
     string_split(CASE WHEN p_partkey % 7 = 0 THEN substr(kana, 2) WHEN p_partkey % 11 = 0 THEN 'う' || kana WHEN p_partkey % 13 = 0 THEN kana || '、ん' ELSE kana END, '') AS morae
