@@ -18,8 +18,8 @@ Every byte covered by a string of ``LENGTH`` bytes that also starts earlier in t
   byte, equal bytes in order of arrival; the common prefix of neighbours there is one more than the least one between
   them before. Each byte's tuples, in turn, are induced in the same way: the recursion ends
   ``HALF`` bytes before the place. At each depth a string's copies are the runs whose common prefix reaches ``LENGTH``;
-  all but the first are marked. Queues hold ``MEMORY_ROWS`` tuples in memory and the rest on disk, and tuples
-  carry their place, so a group far larger than memory is never held as a whole.
+  all but the first are marked. Queues hold some ``MEMORY_ROWS`` tuples in memory and the rest in files of the shared folder, and
+  tuples carry their place, so a group far larger than memory is never held as a whole.
 
 Only ``LENGTH`` bytes are ever compared, so the samples are in order after one sort. Tuples whose common prefix cannot
 reach ``LENGTH`` any more leave early.
@@ -31,12 +31,13 @@ order by their text and count as documents of their own, a null id comes first;
 from __future__ import annotations
 
 import hashlib
-import tempfile
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -372,57 +373,79 @@ def _marked(t: Tuples, head: Place | None = None, tail: Place | None = None) ->
     return (t.seq > seq) | ((t.seq == seq) & (t.pos > pos))
 
 
+class Store:
+    """Files of a task in the folder that all machines share; nothing is made before something is written."""
+
+    def __init__(self, folder: str):
+        self.folder, self.files, self.written = folder, None, 0
+
+    def write(self, parts: Iterable[np.ndarray]) -> str:
+        if self.files is None:
+            self.files, self.base = pyarrow.fs.FileSystem.from_uri(self.folder)
+            self.files.create_dir(self.base, recursive=True)
+        name = f"{self.base}/{self.written}"
+        self.written += 1
+        with self.files.open_output_stream(name, compression=None) as out:
+            for part in parts:
+                out.write(np.ascontiguousarray(part).tobytes())
+        return name
+
+    def read(self, name: str, sizes: Iterable[int]) -> Iterator[bytes]:
+        with self.files.open_input_file(name) as file:
+            for size in sizes:
+                yield file.read(size)
+
+    def delete(self, name: str) -> None:
+        self.files.delete_file(name)
+
+    def close(self) -> None:
+        if self.files is not None:
+            self.files.delete_dir(self.base)
+
+
 class Queue:
-    """A queue of tuples: appended in order, read in order as often as needed; on disk once spilled."""
+    """A queue of tuples: appended in order, read in order as often as needed; in the store once spilled."""
 
     WIDE = ((np.int64, 1), (np.int64, 1), (np.uint8, HALF), (np.uint8, 1), (np.uint8, 1))
 
-    def __init__(self, folder: str):
-        self.folder, self.file = folder, None
-        self.sizes: list[int] = []
+    def __init__(self, store: Store):
+        self.store = store
+        self.spilled: list[tuple[str, list[int]]] = []  # file and sizes of its parts
         self.parts: list[Tuples] = []
 
     def append(self, t: Tuples) -> None:
         self.parts.append(t)
 
     def spill(self) -> None:
-        if self.parts and self.file is None:
-            self.file = tempfile.TemporaryFile(dir=self.folder)
-        for t in self.parts:
-            self.file.seek(0, 2)
-            for part in (t.seq, t.pos, t.before, t.length, t.lcp):
-                self.file.write(np.ascontiguousarray(part).tobytes())
-            self.sizes.append(len(t))
+        if self.parts:
+            columns = (c for t in self.parts for c in (t.seq, t.pos, t.before, t.length, t.lcp))
+            self.spilled.append((self.store.write(columns), [len(t) for t in self.parts]))
         self.parts = []
 
     def __iter__(self) -> Iterator[Tuples]:
-        place = 0
-        for n in self.sizes:
-            columns = []
-            for kind, wide in self.WIDE:
-                self.file.seek(place)
-                size = n * wide * np.dtype(kind).itemsize
-                own = np.frombuffer(self.file.read(size), dtype=kind)
-                columns.append(own.reshape(n, HALF) if wide > 1 else own)
-                place += size
-            yield Tuples(*columns)
+        for name, sizes in self.spilled:
+            widths = [n * wide * np.dtype(kind).itemsize for n in sizes for kind, wide in self.WIDE]
+            read = self.store.read(name, widths)
+            for n in sizes:
+                columns = [np.frombuffer(next(read), dtype=kind).reshape((n, wide) if wide > 1 else n) for kind, wide in self.WIDE]
+                yield Tuples(*columns)
         yield from self.parts
 
     def __len__(self) -> int:
-        return sum(self.sizes) + sum(map(len, self.parts))
+        return sum(sum(sizes) for _, sizes in self.spilled) + sum(map(len, self.parts))
 
     def close(self) -> None:
-        self.parts, self.sizes = [], []
-        if self.file is not None:
-            self.file.close()
+        for name, _ in self.spilled:
+            self.store.delete(name)
+        self.parts, self.spilled = [], []
 
 
 class PriorityQueue:
     """Tuples by priority, their preceding byte; those of equal priority in order of arrival. Disk-backed:
-    beyond ``memory`` tuples all that is held goes to disk."""
+    when twice ``memory`` tuples are held all of them go to the store."""
 
-    def __init__(self, folder: str, memory: int):
-        self.folder, self.memory, self.held = folder, memory, 0
+    def __init__(self, store: Store, memory: int):
+        self.store, self.memory, self.held = store, memory, 0
         self.by: dict[int, Queue] = {}
         # Of each priority: the last tuple's common prefix with what has come since, None before the first.
         self.carried = np.zeros(256, dtype=np.uint8)
@@ -438,7 +461,7 @@ class PriorityQueue:
         for a, b in zip(edges.tolist(), ends.tolist(), strict=True):
             c = int(own[a])
             lcp[a] = min(int(self.carried[c]), int(upto[place[a]])) + 1 if self.met[c] else 0
-            self.by.setdefault(c, Queue(self.folder)).append(t.take(place[a:b], lcp[a:b]))
+            self.by.setdefault(c, Queue(self.store)).append(t.take(place[a:b], lcp[a:b]))
         behind = np.minimum.accumulate(t.lcp[::-1])[::-1]
         self.carried = np.minimum(self.carried, upto[-1])
         for a, b in zip(edges.tolist(), ends.tolist(), strict=True):
@@ -446,7 +469,7 @@ class PriorityQueue:
             self.met[own[a]] = True
             self.carried[own[a]] = behind[last + 1] if last + 1 < len(t) else 255
         self.held += len(place)
-        if self.held > self.memory:
+        if self.held > 2 * self.memory:
             for queue in self.by.values():
                 queue.spill()
             self.held = 0
@@ -504,7 +527,7 @@ def induce_in_memory(t: Tuples, depth: int) -> Iterator[tuple[np.ndarray, np.nda
         yield seq[hit], pos[hit] - high[hit], pos[hit] - low[hit] + LENGTH
 
 
-def induce(queue: Queue, depth: int, folder: str, memory: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def induce(queue: Queue, depth: int, memory: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """The same of a queue of any length, which is closed when done."""
     if len(queue) <= memory:
         parts = list(queue)
@@ -517,13 +540,13 @@ def induce(queue: Queue, depth: int, folder: str, memory: int) -> Iterator[tuple
         if hit.any():
             yield t.seq[hit], t.pos[hit] - depth, t.pos[hit] - depth + LENGTH
     if depth < HALF:
-        earlier, left = PriorityQueue(folder, memory), len(queue)
+        earlier, left = PriorityQueue(queue.store, memory), len(queue)
         for t in queue:
             left -= len(t)
             earlier.insert(t, depth, left > 0)
         queue.close()
         for own in earlier:
-            yield from induce(own, depth + 1, folder, memory)
+            yield from induce(own, depth + 1, memory)
     queue.close()
 
 
@@ -554,34 +577,35 @@ def _sorted_tuples(batch: pa.RecordBatch, last: tuple[int, np.ndarray, int] | No
     return key, t, (int(key[-1]), after[-1], int(size[-1]))
 
 
-def _induced(memory: int):
+def _induced(folder: str, memory: int):
     """Batches sorted by key and suffix -> (asked, seq, low, high) of the strings that stand earlier."""
 
+    def induced(queue: Queue) -> Iterator[pa.RecordBatch]:
+        for seq, low, high in induce(queue, 0, memory):
+            columns = [pa.array(np.zeros(len(seq), dtype=bool)), pa.array(seq), pa.array(low), pa.array(high)]
+            yield pa.record_batch(columns, names=["asked", "seq", "low", "high"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        with tempfile.TemporaryDirectory() as folder:
-
-            def induced(queue: Queue) -> Iterator[pa.RecordBatch]:
-                for seq, low, high in induce(queue, 0, folder, memory):
-                    columns = [pa.array(np.zeros(len(seq), dtype=bool)), pa.array(seq), pa.array(low), pa.array(high)]
-                    yield pa.record_batch(columns, names=["asked", "seq", "low", "high"])
-
-            queue, state, held = Queue(folder), None, 0
-            for batch in batches:
-                for k in range(0, len(batch), 20_000):
-                    key, t, state = _sorted_tuples(batch.slice(k, 20_000), state)
-                    # What fills the memory is worked off where a key begins.
-                    new = np.flatnonzero(np.concatenate(([t.lcp[0] == 0], key[1:] != key[:-1])))
-                    cut = int(new[-1]) if len(new) and len(queue) + new[-1] >= memory else 0
-                    if cut or (len(new) and new[0] == 0 and len(queue) >= memory):
-                        queue.append(t.take(slice(0, cut)))
-                        yield from induced(queue)
-                        queue, held, t = Queue(folder), 0, t.take(slice(cut, None))
-                    queue.append(t)
-                    held += len(t)
-                    if held > memory:
-                        queue.spill()
-                        held = 0
-            yield from induced(queue)
+        task = TaskContext.get()
+        store = Store(f"{folder}/{task.stageId()}-{task.partitionId()}-{task.taskAttemptId()}")
+        queue, state, held = Queue(store), None, 0
+        for batch in batches:
+            for k in range(0, len(batch), 20_000):
+                key, t, state = _sorted_tuples(batch.slice(k, 20_000), state)
+                # What fills the memory is worked off where a key begins.
+                new = np.flatnonzero(np.concatenate(([t.lcp[0] == 0], key[1:] != key[:-1])))
+                cut = int(new[-1]) if len(new) and len(queue) + new[-1] >= memory else 0
+                if cut or (len(new) and new[0] == 0 and len(queue) >= memory):
+                    queue.append(t.take(slice(0, cut)))
+                    yield from induced(queue)
+                    queue, held, t = Queue(store), 0, t.take(slice(cut, None))
+                queue.append(t)
+                held += len(t)
+                if held > 2 * memory:
+                    queue.spill()
+                    held = 0
+        yield from induced(queue)
+        store.close()
 
     return run
 
@@ -630,7 +654,8 @@ def repeated_ranges(texts: DataFrame, memory: int = MEMORY_ROWS) -> DataFrame:
     tuples = texts.join(asked, "seq").select("seq", "doc_id", "text", "asked").mapInArrow(
         _tuples, "key long, seq long, pos long, before binary, after binary"
     )
-    induced = tuples.repartition("key").sortWithinPartitions("key", "after").mapInArrow(_induced(memory), _RANGES)
+    folder = common.passing_folder(texts.sparkSession, common.new_folder(texts.sparkSession, "suffix-queues"))
+    induced = tuples.repartition("key").sortWithinPartitions("key", "after").mapInArrow(_induced(folder, memory), _RANGES)
     return classes.where("NOT asked").unionByName(induced).select("seq", "low", "high")
 
 

@@ -744,7 +744,7 @@ def test_priority_queue_of_preceding_bytes(tmp_path):
     n = 3_000
     t = suffix_dedup.Tuples(np.arange(n), np.zeros(n, np.int64), rng.integers(97, 101, (n, suffix_dedup.HALF)).astype(np.uint8), np.full(n, 34, np.uint8), rng.integers(70, 101, n).astype(np.uint8))
     t.lcp[0] = 0
-    queue = suffix_dedup.PriorityQueue(str(tmp_path), 500)
+    queue = suffix_dedup.PriorityQueue(suffix_dedup.Store(str(tmp_path / "queues")), 500)
     for k in range(0, n, 250):
         queue.insert(t.take(slice(k, k + 250)), 0, k + 250 < n)
     got = [suffix_dedup.joined(list(own)) for own in queue]
