@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable
 
@@ -11,8 +12,16 @@ from pyspark.sql import functions as F
 
 #: Folder of the local fallback, made once for each driver process.
 _FALLBACK: list[str] = []
-#: Folders that this driver process has staged and not deleted.
-_STAGED: list[str] = []
+
+
+class _Staged(threading.local):
+    """Folders that a thread of the driver has staged and not deleted."""
+
+    def __init__(self):
+        self.paths: list[str] = []
+
+
+_STAGED = _Staged()
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -51,7 +60,7 @@ def passing_folder(spark: SparkSession, path: str) -> str:
     files, name = _files(spark, path)
     files.mkdirs(name)
     files.deleteOnExit(name)
-    _STAGED.append(path)
+    _STAGED.paths.append(path)
     return path
 
 
@@ -67,16 +76,22 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def finished(spark: SparkSession, make: Callable[[], DataFrame], label: str) -> DataFrame:
-    """``make()``, staged; all that was staged before and on the way is deleted."""
+def finished(spark: SparkSession, make: Callable[[], DataFrame], label: str, since: int | None = None) -> DataFrame:
+    """``make()``, staged; what was staged on the way, or since there were ``since`` folders, is deleted."""
+    begin = staged_folders() if since is None else since
     out = staged(make(), label)
-    for path in _STAGED[:-1]:
+    for path in _STAGED.paths[begin:-1]:
         files, name = _files(spark, path)
         files.delete(name, True)
-    del _STAGED[:-1]
+    del _STAGED.paths[begin:-1]
     return out
 
 
+def staged_folders() -> int:
+    """How many folders this thread has staged and not deleted."""
+    return len(_STAGED.paths)
+
+
 def only(df: DataFrame, *names: str) -> DataFrame:
     """The named columns; extra columns, whatever they are called, go no further."""
     return df.select(*[df[name] for name in names])

@@ -837,9 +837,10 @@ def test_queries_of_token_counts_and_repeats(spark, tmp_path):
 def test_staged_folders_go(spark):
     import os
 
+    other, since = common.staged(spark.range(3), "test"), common.staged_folders()
     first = common.staged(spark.range(3), "test")
-    kept = common.finished(spark, lambda: common.staged(spark.range(5), "test").where("id > 1"), "test")
+    kept = common.finished(spark, lambda: common.staged(spark.range(5), "test").where("id > 1"), "test", since)
     folder = lambda df: df.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
-    assert kept.count() == 3 and os.path.isdir(folder(kept))
+    assert kept.count() == 3 and os.path.isdir(folder(kept)) and other.count() == 3
     with pytest.raises(Exception):
         first.count()
