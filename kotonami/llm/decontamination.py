@@ -10,8 +10,8 @@ the containment |item and document| / |item| of word shingles, 0.8 or more.
   partitions and no check of a document's size. The sketches together only drop documents; pairs
   come from joining the shingles left with those of all items. The filter is exact where MinHash
   estimates, and counting decides every pair, so its sketch excludes none that holds enough.
-* Two bitmaps of ``BITMAP_BITS`` bits, whatever the size of the benchmark, say which shingle hashes
-  the items and their sketches have. Documents are read once; a document that holds nothing of a
+* Two bitmaps of 16 bits for each of the benchmark's shingles (``LEAST_BITS`` at least; ``MOST_BITS`` at most, beyond which they
+  only let more through to the join) say which shingle hashes the items and their sketches have. Documents are read once; a document that holds nothing of a
   sketch is dropped in the scan, of the others the shingles that some item has leave it.
 * Candidates are verified by counting the item's different shingles in the document exactly, as
   texts and not as hashes.
@@ -37,19 +37,19 @@ from . import common, shingles
 
 WIDTH = 5
 THRESHOLD = 0.8
-BITMAP_BITS = 1 << 23
+LEAST_BITS, MOST_BITS = 1 << 23, 1 << 30
 
 
-def bitmap_of(hashes: DataFrame) -> np.ndarray:
-    """Which values ``hash mod BITMAP_BITS`` occur; at most that many rows reach the driver."""
-    bits = hashes.select(F.col("hash").bitwiseAND(F.lit(BITMAP_BITS - 1)).alias("bit")).distinct()
-    flags = np.zeros(BITMAP_BITS, dtype=np.uint8)
+def bitmap_of(hashes: DataFrame, size: int) -> np.ndarray:
+    """Which values ``hash mod size`` occur; no more rows reach the driver than there are shingles, nor than ``size``."""
+    bits = hashes.select(F.col("hash").bitwiseAND(F.lit(size - 1)).alias("bit")).distinct()
+    flags = np.zeros(size, dtype=np.uint8)
     flags[bits.toArrow().column("bit").to_numpy().astype(np.int64)] = 1
     return np.packbits(flags, bitorder="little")
 
 
 def _has(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    cell = (hashes & np.uint64(BITMAP_BITS - 1)).astype(np.int64)
+    cell = (hashes & np.uint64(len(bitmap) * 8 - 1)).astype(np.int64)
     return (bitmap[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1 > 0
 
 
@@ -146,7 +146,8 @@ def contained_items(
         empty = f"doc_id {kind}, item_id {items.schema['item_id'].dataType.simpleString()}, containment double"
         return docs.sparkSession.createDataFrame([], empty)
     rows = docs.select(docs[doc_id].alias("id"), common.normalised(docs[text]).alias("norm")).where("norm != ''")
-    found = _shingled(rows, widths, bitmap_of(wanted), bitmap_of(wanted.where("sketch")))
+    size = min(MOST_BITS, max(LEAST_BITS, 1 << (16 * wanted.count()).bit_length()))
+    found = _shingled(rows, widths, bitmap_of(wanted, size), bitmap_of(wanted.where("sketch"), size))
     found = found.select(F.col("id").alias("doc_id"), "shingle", "width").distinct()
     counted = (
         found.join(wanted, ["shingle", "width"])

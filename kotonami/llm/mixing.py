@@ -10,7 +10,8 @@ demand curve, pass after pass; inverting the curve at the word where a document
 training position. Rows are range-partitioned and sorted by position.
 
 The running word counts come from two levels (sums by source and digest bucket, then within
-buckets), so a source that holds a third of all rows is not gathered in one task. The table of
+buckets), so a source that holds a third of all rows is not gathered in one task. Rows under one id share a bucket: ids are
+taken to be mostly different. The table of
 sources has one row for each source name and is the only thing that is ordered as a whole.
 
 Defined results: null or empty texts have size 0, take nothing and have no position; a null source
