@@ -6,7 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, embedding_dedup, jaccard_join, language_id, mixing, pii, suffix_dedup, token_counts, toxicity, warc
+from . import (
+    decontamination,
+    embedding_dedup,
+    jaccard_join,
+    language_id,
+    mixing,
+    periodic_runs,
+    pii,
+    sentence_pieces,
+    source_divergence,
+    suffix_dedup,
+    token_counts,
+    toxicity,
+    warc,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,6 +37,9 @@ def queries() -> dict[str, Query]:
         "op8_token_counts": token_counts.query,
         "op9_embedding_dedup": embedding_dedup.query,
         "op10_suffix_dedup": suffix_dedup.query,
+        "op11_sentence_pieces": sentence_pieces.query,
+        "op12_source_divergence": source_divergence.query,
+        "op13_periodic_runs": periodic_runs.query,
     }
 
 
@@ -33,4 +50,5 @@ def oracle_sql() -> dict[str, str]:
         "op6_decontamination": decontamination.SQL,
         "op7_jaccard_join": jaccard_join.SQL,
         "op9_embedding_dedup": embedding_dedup.SQL,
+        "op12_source_divergence": source_divergence.SQL,
     }
