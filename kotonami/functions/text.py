@@ -110,7 +110,7 @@ def int_or_zero(text: Column) -> Column:
     Null means: there is text, but no number, or one beyond 64 bits.
     """
     own = F.translate(strip(text), _DIGITS, _VALUES)
-    number = F.when(own.rlike(r"\A[+-]?[0-9]+(?:_[0-9]+)*\z"), F.replace(own, F.lit("_"), F.lit("")).try_cast("bigint"))
+    number = F.when(own.rlike(r"\A[+-]?[0-9]++(?:_[0-9]++)*+\z"), F.replace(own, F.lit("_"), F.lit("")).try_cast("bigint"))
     return F.when(text.isNull(), F.lit(0).cast("long")).otherwise(number)
 
 

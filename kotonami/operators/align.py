@@ -1,12 +1,17 @@
 """Ordered alignment of a sentence's tokens with the morae of its accented reading.
 
-One fold over the tokens carries the position among the morae; all else follows from that position
-in closed form, so the whole operator is one column expression. Per token it looks along the next
-morae, and along all that follow only if its reading begins nowhere near.
+Each token is sought from where the one before it ended, which no built-in function can do in linear time (a
+fold copies its state for every token). So an Arrow batch function carries the position among the morae and returns
+spans only, found by binary search among the sorted places of each mora's text; what is put
+in and what the spans become are built-in functions.
 """
 
 from __future__ import annotations
 
+import bisect
+import itertools
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,7 +20,8 @@ from ..functions import text
 _SUB = "array<struct<furigana:string,surface:string>>"
 TOKENS = f"array<struct<surface:string,furigana:string,subword:{_SUB}>>"
 MORAE = "array<struct<text:string,accent:int>>"
-_ACCENT = "array<struct<furigana:string,accent_marking_type:int,length:int>>"
+_MARK = "struct<furigana:string,accent_marking_type:int,length:int>"
+_ACCENT = f"array<{_MARK}>"
 RESULT = f"array<struct<furigana:string,surface:string,accent:{_ACCENT},subword:{_SUB}>>"
 #: Marks that a skipped token may step over.
 PAUSES = ("、", "。", ",", ".")
@@ -26,30 +32,75 @@ def let(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def _lengths(texts: Column) -> Column:
-    """Length of each prefix of ``texts``: 0 first, then running sums."""
-    return F.aggregate(
-        texts,
-        F.array(F.lit(0)),
-        lambda sums, t: F.concat(sums, F.array(F.element_at(sums, -1) + F.char_length(t))),
-    )
-
-
-#: Morae in which a search looks first.
-NEAR = 48
-
-
-def _first(n: Column, begin: Column, hit) -> Column:
-    """The first k of begin..n-1 for which ``hit(k)`` holds, else n. All is only looked at if nothing near ``begin`` fits."""
-
-    def among(end: Column) -> Column:
-        return F.get(F.filter(F.sequence(begin, end), lambda k: (k == n) | hit(k)), F.lit(0))
-
-    return let(among(F.least(n, begin + NEAR)), lambda near: F.coalesce(near, among(n)))
-
-
-def _joined(texts: Column, begin: Column, end: Column) -> Column:
-    return F.array_join(F.slice(texts, begin + 1, F.greatest(end - begin, F.lit(0))), "")
+#: Where the morae of a token begin and end, and which way the token goes.
+SPANS = "array<struct<q:int,e:int,kind:string>>"
+
+
+class _Texts:
+    """Texts of morae: running lengths, and the sorted places of each text."""
+
+    def __init__(self, texts: list[str | None]):
+        self.sums = [0, *itertools.accumulate(len(t or "") for t in texts)]
+        self.places: dict[str, list[int]] = {}
+        for k, t in enumerate(texts):
+            if t is not None:
+                self.places.setdefault(t, []).append(k)
+        self.widths = sorted({len(t) for t in self.places})
+
+    def beginning(self, reading: str | None, begin: int) -> int:
+        """The first place from ``begin`` on whose text begins ``reading``, else the number of texts."""
+        first = len(self.sums) - 1
+        if reading is None:
+            return first
+        for width in self.widths:
+            if width > len(reading):
+                break
+            places = self.places.get(reading[:width], ())
+            k = bisect.bisect_left(places, begin)
+            if k < len(places):
+                first = min(first, places[k])
+        return first
+
+    def reaching(self, length: int | None, begin: int) -> int:
+        """The first place from ``begin`` on before which texts of ``length`` characters or more lie, else the number of texts."""
+        n = len(self.sums) - 1
+        return n if length is None else min(n, bisect.bisect_left(self.sums, self.sums[begin] + length, begin))
+
+
+def _walk(tokens: list[dict], raw: list, folded: list, bare: list) -> list[dict]:
+    """Spans of the tokens of one request, the cursor going from each to the next."""
+    n, p, out = len(raw), 0, []
+    lengths, starts, bares = _Texts(raw), _Texts(folded), _Texts(bare)
+    for token, after in zip(tokens, [*tokens[1:], {"reading": ""}], strict=True):
+        reading, number = token["reading"], token["numeric"]
+        if number:
+            q = p
+            e = bares.reaching(max(4 * token["surface"], 12) + 1, q)
+            if after["reading"]:
+                e = min(e, bares.beginning(after["reading"], q))
+            matched = bares.sums[e] > bares.sums[q]
+        else:
+            q = starts.beginning(reading, p)
+            e = lengths.reaching(token["length"], q)
+            matched = lengths.sums[e] - lengths.sums[q] == token["length"] and "".join(t or "" for t in folded[q:e]) == reading
+        kind = "skip" if token["skipped"] else "match" if matched else "fallback"
+        out.append({"q": q, "e": e, "kind": kind})
+        if matched and not token["skipped"]:
+            p = e
+        elif p < n:
+            p += not token["skipped"] or bare[p] in PAUSES
+    return out
+
+
+def _spans(tokens: Column, raw: Column, folded: Column, bare: Column) -> Column:
+    """``SPANS`` of each row: one pass over its tokens, each placed by binary search, so long requests take linear time."""
+
+    def batch(*arrays: pa.Array) -> pa.Array:
+        rows = zip(*[a.to_pylist() for a in arrays], strict=True)
+        kind = pa.list_(pa.struct([("q", pa.int32()), ("e", pa.int32()), ("kind", pa.string())]))
+        return pa.array([None if None in row else _walk(*row) for row in rows], kind)
+
+    return F.arrow_udf(batch, SPANS)(tokens, raw, folded, bare)
 
 
 def align(tokens: Column, morae: Column) -> Column:
@@ -63,96 +114,48 @@ def align(tokens: Column, morae: Column) -> Column:
     * Without a match the reading gets accent 0, subwords go, and the cursor moves by one.
     """
     tokens, morae = tokens.cast(TOKENS), morae.cast(MORAE)
-    plain = F.transform(morae, lambda m: m["text"])
+    raw = F.transform(morae, lambda m: m["text"])
+    folded = F.transform(raw, text.to_hiragana)
+    bare = F.transform(raw, lambda t: text.to_hiragana(text.strip(t)))
     return let(
         F.struct(
             tokens.alias("tokens"),
-            morae.alias("morae"),
-            F.size(morae).alias("n"),
-            plain.alias("raw"),
-            F.transform(plain, text.to_hiragana).alias("folded"),
-            F.transform(plain, lambda t: text.to_hiragana(text.strip(t))).alias("bare"),
-        ),
-        lambda s: let(
-            F.struct(_lengths(s["raw"]).alias("raw"), _lengths(s["bare"]).alias("bare")), lambda c: _fold(s, c)
+            _spans(F.transform(tokens, _known), raw, folded, bare).alias("spans"),
+            F.transform(morae, lambda m: F.struct(m["text"], m["accent"], F.char_length(m["text"])).cast(_MARK)).alias("raw"),
+            F.zip_with(bare, morae, lambda t, m: F.struct(t, m["accent"], F.char_length(t)).cast(_MARK)).alias("bare"),
         ),
+        lambda s: F.zip_with(s["tokens"], s["spans"], lambda token, span: _emit(s, token, span)),
     )
 
 
-def _fold(s: Column, c: Column) -> Column:
-    start = F.struct(F.lit(0).alias("p"), F.array().cast(RESULT).alias("out"))
-
-    def step(state: Column, i: Column) -> Column:
-        token = F.get(s["tokens"], i)
-        own = F.struct(
-            state["p"].alias("p"),
-            text.to_hiragana(token["furigana"]).alias("reading"),
-            text.is_numeric(token["surface"]).alias("numeric"),
-            F.coalesce(text.to_hiragana(F.get(s["tokens"], i + 1)["furigana"]), F.lit("")).alias("ahead"),
-        )
-        return let(own, lambda t: let(_span(s, c, token, t), lambda span: _emit(s, state, token, t, span)))
-
-    last = F.size(s["tokens"]) - 1
-    each = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(each, start, step, lambda state: state["out"])
-
-
-def _span(s: Column, c: Column, token: Column, t: Column) -> Column:
-    """Where a token's morae begin and end, and which way it goes."""
-    n = s["n"]
-    begin = F.when(t["numeric"], t["p"]).otherwise(
-        _first(n, t["p"], lambda k: F.startswith(t["reading"], F.get(s["folded"], k)))
+def _known(token: Column) -> Column:
+    """What the walk needs of a token."""
+    numeric = F.coalesce(text.is_numeric(token["surface"]), F.lit(False))
+    skipped = (F.size(token["subword"]) <= 0) & text.has_other_script(token["furigana"]) & ~numeric
+    return F.struct(
+        text.to_hiragana(token["furigana"]).alias("reading"),
+        F.char_length(token["furigana"]).alias("length"),
+        F.coalesce(F.char_length(token["surface"]), F.lit(0)).alias("surface"),
+        numeric.alias("numeric"),
+        F.coalesce(skipped, F.lit(False)).alias("skipped"),
     )
 
-    def ended(q: Column) -> Column:
-        most = F.greatest(4 * F.char_length(token["surface"]), F.lit(12))
-        number = _first(
-            n,
-            q,
-            lambda k: ((t["ahead"] != "") & F.startswith(t["ahead"], F.get(s["bare"], k)))
-            | (F.get(c["bare"], k) - F.get(c["bare"], q) > most),
-        )
-        normal = _first(n, q, lambda k: F.get(c["raw"], k) - F.get(c["raw"], q) >= F.char_length(token["furigana"]))
-        end = F.when(t["numeric"], number).otherwise(normal)
-        return let(end, lambda e: F.struct(q.alias("q"), e.alias("e"), read(q, e).alias("read"), kind(q, e).alias("kind")))
 
-    def read(q: Column, e: Column) -> Column:
-        return F.when(t["numeric"], _joined(s["bare"], q, e)).otherwise(_joined(s["raw"], q, e))
-
-    def kind(q: Column, e: Column) -> Column:
-        skipped = (F.size(token["subword"]) <= 0) & text.has_other_script(token["furigana"]) & ~t["numeric"]
-        normal = (F.get(c["raw"], e) - F.get(c["raw"], q) == F.char_length(token["furigana"])) & (
-            text.to_hiragana(read(q, e)) == t["reading"]
-        )
-        matched = F.when(t["numeric"], read(q, e) != "").otherwise(normal)
-        return F.when(skipped, "skip").when(matched, "match").otherwise("fallback")
-
-    return let(begin, ended)
-
-
-def _emit(s: Column, state: Column, token: Column, t: Column, span: Column) -> Column:
-    p, n = t["p"], s["n"]
+def _emit(s: Column, token: Column, span: Column) -> Column:
+    match, skip, numeric = span["kind"] == "match", span["kind"] == "skip", text.is_numeric(token["surface"])
 
     def flat(word: Column) -> Column:
         return F.array(F.struct(word, F.lit(0), F.char_length(word))).cast(_ACCENT)
 
-    taken = F.slice(F.sequence(F.lit(0), n), span["q"] + 1, F.greatest(span["e"] - span["q"], F.lit(0)))
-
-    def mora(k: Column) -> Column:
-        own = F.when(t["numeric"], F.get(s["bare"], k)).otherwise(F.get(s["raw"], k))
-        return F.struct(own, F.get(s["morae"], k)["accent"], F.char_length(own))
+    def taken(marks: Column) -> Column:
+        return F.slice(marks, span["q"] + 1, F.greatest(span["e"] - span["q"], F.lit(0)))
 
-    match, skip = span["kind"] == "match", span["kind"] == "skip"
     none = F.array().cast(_SUB)
-    entry = F.struct(
-        F.when(match & t["numeric"], span["read"]).otherwise(token["furigana"]).alias("furigana"),
+    read = F.array_join(F.transform(taken(s["bare"]), lambda m: m["furigana"]), "")
+    marks = F.when(numeric, taken(s["bare"])).otherwise(taken(s["raw"]))
+    return F.struct(
+        F.when(match & numeric, read).otherwise(token["furigana"]).alias("furigana"),
         token["surface"].alias("surface"),
-        F.when(match, F.transform(taken, mora).cast(_ACCENT))
-        .when(skip, flat(token["surface"]))
-        .otherwise(flat(token["furigana"]))
-        .alias("accent"),
+        F.when(match, marks).when(skip, flat(token["surface"])).otherwise(flat(token["furigana"])).alias("accent"),
         F.when(match, F.coalesce(token["subword"], none)).otherwise(none).alias("subword"),
     )
-    pause = (p < n) & F.coalesce(F.get(s["bare"], p).isin(*PAUSES), F.lit(False))
-    moved = F.when(match, span["e"]).when(skip, p + pause.cast("int")).otherwise(p + (p < n).cast("int"))
-    return F.struct(moved.alias("p"), F.concat(state["out"], F.array(entry).cast(RESULT)).alias("out"))

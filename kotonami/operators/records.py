@@ -103,7 +103,12 @@ def details(payloads: DataFrame) -> DataFrame:
 
 
 def entries(requests: DataFrame, search_pages: DataFrame, entry_pages: DataFrame) -> DataFrame:
-    """(request_id, pos, entry_id, entry, missing): dictionary entries of each request in order.
+    """(request_id, pos, entry_id, entry, missing): dictionary entries of each request in order."""
+    return searched_entries(requests, search_pages, entry_pages).where("pos IS NOT NULL").drop("unread")
+
+
+def searched_entries(requests: DataFrame, search_pages: DataFrame, entry_pages: DataFrame) -> DataFrame:
+    """``entries`` with ``unread``; a search without any has one row, with a null ``pos``, which is unread if its page breaks.
 
     An entry page that was not captured, or not got, is missing, as one that cannot be read.
 
@@ -118,7 +123,7 @@ def entries(requests: DataFrame, search_pages: DataFrame, entry_pages: DataFrame
         .otherwise(html.entry_ids(F.col("html")))
         .alias("ids"),
     )
-    listed = found.select("request_id", F.posexplode("ids").alias("pos", "entry_id"))
+    listed = found.select("request_id", F.col("ids").isNull().alias("unread"), F.posexplode_outer("ids").alias("pos", "entry_id"))
     got = F.when(F.col("transport_error").isNull(), F.col("html"))
     pages = entry_pages.select("entry_id", html.entry(got).alias("entry"), F.lit(True).alias("read"))
     return listed.join(pages, "entry_id", "left").withColumn("missing", F.col("read").isNull() | F.col("entry").isNull()).drop("read")

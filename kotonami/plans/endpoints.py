@@ -59,29 +59,35 @@ def headword_links(requests: DataFrame, lexicon: DataFrame) -> DataFrame:
 
 
 def headword_details(requests: DataFrame, payloads: DataFrame) -> DataFrame:
-    """Seven payloads per headword as one record; the first that failed decides the status."""
+    """Seven payloads per headword as one record; the first that failed decides the status.
+
+    A request without a site or a headword id has no payloads and fails (500).
+    """
     keys = ["site", "headword_id"]
     whole = [e for e, (_, target, _) in records.DETAILS.items() if not target]
     status = envelope.first_failure(requests, payloads, list(records.DETAILS), sources.detail_endpoints(), whole)
-    rows = requests.join(status, keys).join(records.details(payloads), keys, "left")
+    rows = requests.join(status, keys, "left").join(records.details(payloads), keys, "left")
+    status_of = F.coalesce("status", F.lit(500))
     fields = [f for f, _, _ in records.DETAILS.values()]
     shaped = F.coalesce(F.col("base").startswith("{"), F.lit(False))
     for field in fields[1:]:
         shaped = shaped & records.is_list_of_objects(F.col(field))
-    final = F.when((F.col("status") == 200) & ~shaped, 500).otherwise(F.col("status"))
+    final = F.when((status_of == 200) & ~shaped, 500).otherwise(status_of)
     return envelope.enveloped(rows, final, F.struct(*fields))
 
 
 def dictionary(requests: DataFrame, search_pages: DataFrame, entry_pages: DataFrame) -> DataFrame:
-    found = records.entries(requests, search_pages, entry_pages)
+    found = records.searched_entries(requests, search_pages, entry_pages)
+    listed = F.col("pos").isNotNull()
     per = found.groupBy("request_id").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.bool_or("missing").alias("broken"),
-        F.transform(F.array_sort(F.collect_list(F.struct("pos", "entry"))), lambda x: x["entry"]).alias("result"),
+        F.count("pos").alias("n"),
+        F.bool_or("unread").alias("unread"),
+        F.bool_or(listed & F.col("missing")).alias("broken"),
+        F.transform(F.array_sort(F.collect_list(F.when(listed, F.struct("pos", "entry")))), lambda x: x["entry"]).alias("result"),
     )
     failed = search_pages.select("request_id", F.col("transport_error").isNotNull().alias("failed"))
     rows = requests.join(failed, "request_id", "left").join(per, "request_id", "left")
-    rows = rows.withColumn("failed", F.coalesce("failed", F.lit(True)))
+    rows = rows.withColumn("failed", F.coalesce("failed", F.lit(True)) | F.coalesce("unread", F.lit(False)))
     return envelope.enveloped(rows, envelope.dictionary_status(F.col("failed"), F.col("n"), F.col("broken")), F.col("result"))
 
 

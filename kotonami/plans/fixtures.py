@@ -133,10 +133,10 @@ DETAIL_PAYLOAD = [
     *_details("NLB", "V.11", patternfreqorder=(None, 200, '{"rows":[1]}')),
     *_details("NLB", "V.12", basicinfob=(None, 200, "[1]"), basicinfosj=("timeout", 0, "")),
 ]
-DETAIL_REQUESTS = [(1, "NLB", "V.1"), (2, "NLT", "V.2"), (3, "NLB", "V.3"), (4, "NLB", "V.4"), (5, "NLB", "V.5"), (6, "NLB", "V.6"), (7, "NLT", "V.7"), (8, "NLB", "V.8"), (9, "NLB", "V.9"), (10, "NLB", "V.10"), (11, "NLB", "V.11"), (12, "NLB", "V.12"), (13, "NLB", "V.1")]
+DETAIL_REQUESTS = [(1, "NLB", "V.1"), (2, "NLT", "V.2"), (3, "NLB", "V.3"), (4, "NLB", "V.4"), (5, "NLB", "V.5"), (6, "NLB", "V.6"), (7, "NLT", "V.7"), (8, "NLB", "V.8"), (9, "NLB", "V.9"), (10, "NLB", "V.10"), (11, "NLB", "V.11"), (12, "NLB", "V.12"), (13, "NLB", "V.1"), (14, None, "V.1"), (15, "NLB", None), (16, None, None)]
 #: V.3 times out first; V.4 has no object as base; V.5 is unreadable; V.6 falls back to a whole document that is no list; V.7 fails only where
-#: its site is not asked; V.8 is a list where an object is due; nothing was captured of V.9, not all of V.10; V.11 lists no objects; V.12 times out before its base is looked at.
-DETAIL_STATUS = [(1, 200), (2, 200), (3, 504), (4, 500), (5, 500), (6, 500), (7, 200), (8, 500), (9, 500), (10, 500), (11, 500), (12, 504), (13, 200)]
+#: its site is not asked; V.8 is a list where an object is due; nothing was captured of V.9, not all of V.10; V.11 lists no objects; V.12 times out before its base is looked at; the last three name no headword.
+DETAIL_STATUS = [(1, 200), (2, 200), (3, 504), (4, 500), (5, 500), (6, 500), (7, 200), (8, 500), (9, 500), (10, 500), (11, 500), (12, 504), (13, 200), (14, 500), (15, 500), (16, 500)]
 
 
 _FIELDS = [("basicinfob", "base", "", 1), ("basicinfosc", "subcorpus", "subcorpus", 0), ("basicinfosj", "shojikei", "shojikei", 1), ("basicinfoss", "subcorpus_shojikei", "subcorpus", 0), ("basicinfoky", "katuyokei", "katuyokei", 0), ("basicinfojs", "setuzoku", "setuzoku", 1), ("patternfreqorder", "patternfreqorder", "rows", 1)]
@@ -176,7 +176,7 @@ SELECT request_id::BIGINT AS request_id, s AS status, CASE WHEN s <> 200 THEN s
 FROM (SELECT *, CASE WHEN status = 200 AND NOT coalesce(shaped, false) THEN 500 ELSE status END AS s FROM f)"""
 
 # Dictionary.
-DICT_REQUESTS = [(1, "先生", "NLB", 0), (2, "みたび", "NLB", 0), (3, "none", "NLB", 0), (4, "down", "NLB", 0), (5, "gap", "NLB", 0), (6, "bad", "NLB", 0), (7, "unanswered", "NLB", 0), (8, "huge", "NLB", 0)]
+DICT_REQUESTS = [(1, "先生", "NLB", 0), (2, "みたび", "NLB", 0), (3, "none", "NLB", 0), (4, "down", "NLB", 0), (5, "gap", "NLB", 0), (6, "bad", "NLB", 0), (7, "unanswered", "NLB", 0), (8, "huge", "NLB", 0), (9, "broken", "NLB", 0)]
 _RESULTS = '<table><tr class="resrow odd"><td><input type=checkbox name="e" value="101"><td>x<tr class="resrow"><td><input name="q" value="9"><input name="e" value="102"></tr><tr class="resrow"><td><input name="e"></tr><tr class="other"><input name="e" value="7"></table>'
 SEARCH_PAGES = [
     (1, None, "https://www.edrdg.org/jmwsgi/srchres.py?s1=1", _RESULTS),
@@ -186,6 +186,7 @@ SEARCH_PAGES = [
     (5, None, "https://www.edrdg.org/jmwsgi/entr.py?svc=jmdict&e=999", "<p>redirected"),
     (6, None, "https://www.edrdg.org/jmwsgi/entr.py?svc=jmdict&e=105", "<p>redirected"),
     (8, None, "https://www.edrdg.org/jmwsgi/entr.py?svc=jmdict&e=106", "<p>redirected"),
+    (9, None, "https://www.edrdg.org/jmwsgi/srchres.py?s1=1", "<p><![foo[ the parser cannot read this ]]>"),
 ]
 _ENTRY = '<span class="kanj"> 先生 </span><span class="rdng">せんせい</span><table><tr class="sense"><td><span class="pos">[<span class="abbr">n</span>,<span class="abbr">suf</span>]</span><span class="glossx">▶ teacher</span><span class="glossx">▶ <b>master</b></span></tr><tr class="sense"><span class="glossx">sensei</span></tr></table><a href="srchres.py?x">1387990</a><a href="srchres.py?y">5</a>'
 ENTRY_PAGES = [
@@ -202,6 +203,7 @@ DICT_STATUS = [
     (2, 200, '[{"kanji":[],"furigana":[],"definitions":[{"pos":[],"meanings":["thrice"]}],"id":138799}]'),
     (3, 404, None), (4, 500, None), (5, 500, None), (6, 500, None), (7, 500, None),
     (8, 200, '[{"kanji":["多"],"furigana":[],"definitions":[],"id":99999999999}]'),
+    (9, 500, None),
 ]
 ENTRIES_SQL = """SELECT * REPLACE (request_id::BIGINT AS request_id, id::BIGINT AS id) FROM (VALUES (1, 0, '101', false, 1387990, 0, 'n|suf', 'teacher|master'), (1, 0, '101', false, 1387990, 1, '', 'sensei'),
     (1, 1, '102', false, 0, NULL, NULL, NULL), (2, 0, '103', false, 138799, 0, '', 'thrice'),

@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -82,3 +83,26 @@ def test_documented_example(spark):
     got = run(spark, [(1, tokens, morae)])[1]
     assert [[(t, a) for t, a, _ in word[2]] for word in got] == [[("お", 0), ("か", 1), ("ね", 1)], [("を", 1)], [("か", 1), ("せ", 2), ("ぐ", 0)]]
     assert got[0][3] == [("お", "お"), ("かね", "金")]
+
+
+def test_long_requests_take_linear_time(spark):
+    """Tokens that match, that match nowhere and numbers, 8,000 of them in one request."""
+    rng = random.Random(2)
+    kana = "かきくけこさしすせそ"
+    tokens, morae = [], []
+    for i in range(8000):
+        reading = "".join(rng.choice(kana) for _ in range(rng.randint(1, 4)))
+        tokens.append(("文", "んんん", []) if i % 3 == 1 else ("12", "12", []) if i % 7 == 3 else ("文", reading, []))
+        morae += [(c, 1) for c in reading]
+    run(spark, [(0, tokens[:10], morae[:20])])
+    began = time.time()
+    got = run(spark, [(1, tokens, morae)])
+    assert time.time() - began < 3
+    assert len(got[1]) == 8000
+    assert run(spark, [(2, tokens[:1500], morae[:3000])])[2] == model(tokens[:1500], morae[:3000])
+
+
+def test_null_parts_of_requests(spark):
+    assert run(spark, [(1, [("文", None, None), ("x", "か", None)], [(None, 1), ("か", 2)])])[1][1] == ("か", "x", [("か", 2, 1)], [])
+    frame = spark.createDataFrame([(1, None, None)], f"id int, tokens {align.TOKENS}, morae {align.MORAE}")
+    assert frame.select(align.align(F.col("tokens"), F.col("morae")).alias("r")).first().r is None

@@ -2,6 +2,7 @@
 
 import subprocess
 import sys
+import time
 from pathlib import Path
 
 from pyspark.sql import functions as F
@@ -107,3 +108,20 @@ def test_package_does_not_need_the_training_data_part():
         "import __spark_entry__ as e; assert 'headword_urls' in e.queries(); assert 'pipeline' not in e.queries(); e.oracle_sql()"
     )
     subprocess.run([sys.executable, "-c", code], check=True, cwd=Path(__file__).resolve().parents[1])
+
+
+def test_links_of_long_tags_and_many_open_ones(spark):
+    pages = [
+        "<a " + 'x="y" ' * 20_000 + 'href="long">',
+        "<a b " * 20_000 + '<a c="1" href="last">',
+        '<a x="<a href=\'no\'" HREF = "one"><abbr href="no"><a\nhref=""><a data-x href="two" href="three">',
+        '<a x="foo <a href="inner">',
+        '<a title="a > b" href="sign"> <a name="n"> <a xhref="no"> href="no"',
+        '<a "' * 20_000,
+        None,
+    ]
+    frame = spark.createDataFrame(list(enumerate(pages)), "i int, html string")
+    began = time.time()
+    got = {r.i: r.l for r in frame.select("i", web.links(F.col("html")).alias("l")).collect()}
+    assert time.time() - began < 5
+    assert got == {0: ["long"], 1: ["last"], 2: ["one", "", "two"], 3: ["inner"], 4: ["sign"], 5: [], 6: None}

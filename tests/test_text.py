@@ -55,3 +55,7 @@ def test_int_or_zero(spark):
 def test_normalise_subset(spark):
     rows = ["Ａｂｃ１２３", "ｶﾞｷﾞﾊﾟ", "らーーめん", "a‐b", "～x~", "　空　"]
     assert values(spark, rows, text.normalise) == ["Abc123", "ガギパ", "らーめん", "a-b", "～x～", "空"]
+
+
+def test_long_numbers_need_no_stack(spark):
+    assert values(spark, ["1" + "_1" * 20_000, "1_2", "1__2", "_1", "1_", "-1_0"], text.int_or_zero) == [None, 12, None, None, None, -10]
