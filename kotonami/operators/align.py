@@ -71,7 +71,7 @@ def _walk(tokens: list[dict], raw: list, folded: list, bare: list) -> list[dict]
     """Spans of the tokens of one request, the cursor going from each to the next."""
     n, p, out = len(raw), 0, []
     lengths, starts, bares = _Texts(raw), _Texts(folded), _Texts(bare)
-    for token, after in zip(tokens, [*tokens[1:], {"reading": ""}], strict=True):
+    for token, after in zip(tokens, [*tokens[1:], {"reading": ""}], strict=False):
         reading, number = token["reading"], token["numeric"]
         if number:
             q = p
