@@ -8,12 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text, web
 from ..operators import align, envelope, records, search
-from ..sources import html, payloads, requests
+from ..sources import html, payloads, requests, tree
+from ..sources.tree import Step
 from . import endpoints, fixtures
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -509,6 +510,95 @@ def html_class_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "pages").select("page_id", F.size(html.ad_texts(F.col("html"))).alias("n_ads"))
 
 
+# Pages as trees.
+def _plain_sql(value: str) -> str:
+    """Text of a page without its entities."""
+    for entity, own in (("&quot;", '"'), ("&middot;", "·"), ("&copy;", "©"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
+        value = f"replace({value}, '{entity}', '{own}')"
+    return value
+
+
+def _place(*keys: str) -> Column:
+    return (F.row_number().over(Window.partitionBy(*keys).orderBy("pre")) - 1).alias("pos")
+
+
+_LISTED = "'<li><a href=\"([^\"]*)\">([^<]*)</a></li>'"
+
+
+@register("tree_list_items", f"""SELECT page_id, pos, href, item, lead(item) OVER (PARTITION BY page_id ORDER BY pos) AS next_item FROM (
+    SELECT page_id, (k - 1)::INT AS pos, {_plain_sql("h[k]")} AS href, {_plain_sql("t[k]")} AS item FROM (SELECT *, unnest(range(1, len(h) + 1)) AS k
+      FROM (SELECT page_id, regexp_extract_all(html, {_LISTED}, 1) AS h, regexp_extract_all(html, {_LISTED}, 2) AS t FROM pages)))""")
+def tree_list_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items of the lists of each page's navigation: address and text of the link, text of the next item."""
+    table = tree.nodes(read(spark, sf_dir, "pages"), "page_id")
+    lists = tree.children(table.where("tag = 'nav'"), table.where("tag = 'ul'"))
+    items = tree.children(lists.drop("top"), tree.with_next(table, "li").where("tag = 'li'")).drop("top")
+    hrefs = tree.children(items, table.where("tag = 'a'")).select("key", F.col("top").alias("pre"), F.col("attrs")["href"].alias("href"))
+    read_ = tree.texts(table, items)
+    after = read_.select("key", F.col("pre").alias("next"), F.col("text").alias("next_item"))
+    rows = items.select("key", "pre", "next").join(hrefs, ["key", "pre"]).join(read_, ["key", "pre"]).join(after, ["key", "next"], "left")
+    return rows.select(F.col("key").alias("page_id"), _place("key"), "href", F.col("text").alias("item"), "next_item")
+
+
+@register("tree_break_lines", f"""SELECT page_id, (k - 1)::INT AS pos, nullif({_plain_sql("l[k]")}, '') AS line FROM (SELECT *, unnest(range(1, len(l) + 1)) AS k
+    FROM (SELECT page_id, regexp_extract_all(html, '<br>(?:<p>(?:<b>)?([^<]*))?', 1) AS l FROM pages))""")
+def tree_break_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each line break of a page the first text of the next paragraph beside it."""
+    table = tree.nodes(read(spark, sf_dir, "pages"), "page_id")
+    breaks = tree.with_next(table, "p").where("tag = 'br'").select("key", "pre", "next")
+    first = tree.below(table.where("tag = 'p'"), table.where("tag = '#text'")).groupBy("key", F.col("top").alias("next")).agg(F.min_by("data", "pre").alias("line"))
+    return breaks.join(first, ["key", "next"], "left").select(F.col("key").alias("page_id"), _place("key"), "line")
+
+
+_AD = "'<!--([^>]*)--><div class=\"ad\">([^<]*)</div>'"
+
+
+@register("tree_comment_blocks", f"""SELECT page_id, trim(c[k]) AS comment, {_plain_sql("t[k]")} AS block FROM (SELECT *, unnest(range(1, len(c) + 1)) AS k
+    FROM (SELECT page_id, regexp_extract_all(html, {_AD}, 1) AS c, regexp_extract_all(html, {_AD}, 2) AS t FROM pages))""")
+def tree_comment_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Comments of pages with the text of the block beside them that they announce."""
+    table = tree.nodes(read(spark, sf_dir, "pages"), "page_id")
+    comments = tree.with_next(table, "div").where("tag = '#comment'").select("key", F.col("next").alias("pre"), "data")
+    blocks = tree.texts(table, table.where("tag = 'div' AND array_contains(classes, 'ad')"))
+    return comments.join(blocks, ["key", "pre"]).select(F.col("key").alias("page_id"), text.strip(F.col("data")).alias("comment"), F.col("text").alias("block"))
+
+
+#: Selectors with the pattern that finds the same elements of the given pages. Those of the dictionary and accent
+#: pages, below, meet nothing there; all are followed in the one walk.
+_SELECTED = {
+    "nav > ul > li": ([Step("nav"), Step("ul", how=">"), Step("li", how=">")], "<li>"),
+    "li a[href^=/]": ([Step("li"), Step("a", attrs=(("href", "^=", "/"),))], '<li><a href="/'),
+    "div.ad": ([Step("div", "ad")], '<div class="ad">'),
+    "br + p": ([Step("br"), Step("p", how="+")], "<br><p>"),
+    "article h1": ([Step("article"), Step("h1")], "<h1>"),
+    "title + style": ([Step("title"), Step("style", how="+")], "</title><style>"),
+    "meta[charset=utf-8]": ([Step("meta", attrs=(("charset", "=", "utf-8"),))], '<meta charset="utf-8">'),
+    "nav ~ article": ([Step("nav"), Step("article", how="~")], "<article>"),
+    "[class*=a]": ([Step(attrs=(("class", "*=", "a"),))], 'class="[^"]*a'),
+    "html[lang]": ([Step("html", attrs=(("lang", "?", ""),))], "<html lang="),
+}
+SELECTORS = {name: steps for name, (steps, _) in _SELECTED.items()} | {
+    "tr.resrow input[name=e]": [Step("tr", "resrow"), Step("input", attrs=(("name", "=", "e"),))],
+    "span.kanj": [Step("span", "kanj")],
+    "span.rdng": [Step("span", "rdng")],
+    "tr.sense span.pos span.abbr": [Step("tr", "sense"), Step("span", "pos"), Step("span", "abbr")],
+    "tr.sense span.glossx": [Step("tr", "sense"), Step("span", "glossx")],
+    "a[href^=srchres.py]": [Step("a", attrs=(("href", "^=", "srchres.py"),))],
+    "div[style*=clear] br ~ font[size=-1]": [Step("div", attrs=(("style", "*=", "clear"),)), Step("br"), Step("font", attrs=(("size", "=", "-1"),), how="~")],
+    "div.phrasing_text > span": [Step("div", "phrasing_text"), Step("span", how=">")],
+    "div.phrasing_subscript > span": [Step("div", "phrasing_subscript"), Step("span", how=">")],
+}
+
+
+@register("selector_matches", " UNION ALL ".join(
+    f"SELECT page_id, '{name}' AS selector, len(regexp_extract_all(html, '{pattern}')) AS n FROM pages WHERE regexp_matches(html, '{pattern}')" for name, (_, pattern) in _SELECTED.items()))
+def selector_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many elements of each page every selector meets: one parse and one walk a page for all of them."""
+    table = tree.nodes(read(spark, sf_dir, "pages"), "page_id", selectors=SELECTORS)
+    met = table.select(F.col("key").alias("page_id"), F.explode("matched").alias("selector"))
+    return met.groupBy("page_id", "selector").agg(F.count(F.lit(1)).alias("n"))
+
+
 # Payload fixtures: dictionary and envelopes.
 @register("dict_entries", fixtures.ENTRIES_SQL)
 def dict_entries(spark: SparkSession, _: str) -> DataFrame:
