@@ -19,7 +19,9 @@ Null counts as empty text (0 bytes, 0 tokens). Rows that repeat are counted each
 
 from __future__ import annotations
 
+import bisect
 import functools
+import itertools
 from collections.abc import Iterator
 
 import regex
@@ -99,9 +101,11 @@ def spliced(text: str, vocabulary: str, chunk: int = CHUNK_CHARS, overlap: int =
     tok, specials = tokenizer(vocabulary), special_strings(vocabulary)
     forbidden = [(m.start() - 1, m.end() + 1) for s in specials for m in regex.finditer(regex.escape(s), text)]
     forbidden.sort()
+    begins, reach = [a for a, _ in forbidden], list(itertools.accumulate((b for _, b in forbidden), max))
 
     def allowed(p: int) -> bool:
-        return all(not a <= p <= b for a, b in forbidden if abs(a - p) < 2 * MARGIN + (b - a))
+        k = bisect.bisect_right(begins, p)
+        return k == 0 or reach[k - 1] < p
 
     total = widened = 0
     begin, end, trusted = 0, min(len(text), chunk), 0

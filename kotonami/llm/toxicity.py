@@ -142,7 +142,7 @@ def _units_of(batches) -> Iterator[pd.DataFrame]:
                 own: set[str] = set()
                 for token in set(text.split()):
                     word = token.strip(_STRIP).lower()
-                    if word.isalpha() and len(word) < 40:
+                    if word.isalpha():
                         own.update(units(word))
                 for u in own:
                     counts.setdefault(u, [0, 0])[int(toxic)] += 1

@@ -117,7 +117,6 @@ class Members:
     """Gzip members in an archive."""
 
     STEP = 1 << 14
-    NAME = 1 << 12
 
     def __init__(self, raw: bytes):
         self.raw, self._zero = raw, -1
@@ -131,10 +130,7 @@ class Members:
         return self._zero + 1
 
     def _body(self, at: int) -> int | None:
-        """Where the deflated data of the member at ``at`` begins; None if its header is unsound.
-
-        So is one whose name or comment is longer than a path can be.
-        """
+        """Where the deflated data of the member at ``at`` begins; None if its header is unsound."""
         raw, flags = self.raw, self.raw[at + 3] if at + 10 <= len(self.raw) else 255
         if flags & 0xE0:
             return None
@@ -143,9 +139,7 @@ class Members:
             place += 2 + int.from_bytes(raw[place : place + 2], "little")
         for bit in (8, 16):
             if flags & bit:
-                begin, place = place, self._after_zero(place)
-                if place - begin > self.NAME:
-                    return None
+                place = self._after_zero(place)
         if flags & 2:
             if raw[place : place + 2] != (zlib.crc32(raw[at:place]) & 0xFFFF).to_bytes(2, "little"):
                 return None

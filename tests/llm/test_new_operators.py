@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from fractions import Fraction
 
@@ -10,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from kotonami.llm import periodic_runs, registry, sentence_pieces, source_divergence
+from kotonami.llm import periodic_runs, registry, sentence_pieces, source_divergence, token_counts, toxicity, warc
 
 SF = "/root/testdata/sf0.001"
 
@@ -205,3 +206,29 @@ def test_runs_of_edge_rows(spark):
                 assert (len(own.runs), sha(own.collapsed)) == (want[0], want[-1]), (doc_id, tail)
     assert [tuple(r) for r in periodic_runs.runs(frame.where("doc_id = 7")).first().runs] == [(0, 100_000, 2)]
     assert periodic_runs.runs(frame.where("false")).count() == 0
+
+
+# earlier operators: rows that were left out or took too long
+
+
+def test_many_special_strings_in_a_huge_text():
+    text = "<|endoftext|> a b c " * 40_000
+    began = time.time()
+    n, _ = token_counts.spliced(text, token_counts.VOCABULARY)
+    assert time.time() - began < 2.5
+    assert n == len(token_counts.tokenizer(token_counts.VOCABULARY).encode(text, add_special_tokens=False))
+
+
+def test_lexicon_learns_long_words(spark):
+    insult = "q" * 30 + "z" * 30
+    rows = [(f"a{i} b {insult}", 1) for i in range(60)] + [(f"a{i} b", 0) for i in range(120)]
+    lexicon = toxicity.learn_lexicon(spark.createDataFrame(rows, "text string, toxic int"))
+    assert any("qz" in unit or unit == insult for unit in lexicon)
+
+
+def test_member_with_a_long_name_is_read():
+    body = zlib.compressobj(9, zlib.DEFLATED, -15)
+    data = body.compress(b"hello") + body.flush()
+    member = b"\x1f\x8b\x08\x08\0\0\0\0\0\x03" + b"n" * 10_000 + b"\0" + data
+    member += zlib.crc32(b"hello").to_bytes(4, "little") + (5).to_bytes(4, "little")
+    assert warc.Members(member)._body(0) == 10 + 10_001
