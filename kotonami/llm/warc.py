@@ -133,8 +133,8 @@ class Members:
     def _body(self, at: int) -> int | None:
         """Where the deflated data of the member at ``at`` begins; None if its header is unsound.
 
-        A header that bears its own check and is longer than ``HASHED`` is judged by its data, which have checks
-        of their own: hashing it at every false start before the same data would take the square of its length.
+        So is one with a check of its own that is longer than ``HASHED``: hashing it at every false start before
+        the same data would take the square of its length. Names without such a check may have any length.
         """
         raw, flags = self.raw, self.raw[at + 3] if at + 10 <= len(self.raw) else 255
         if flags & 0xE0:
@@ -146,7 +146,7 @@ class Members:
             if flags & bit:
                 place = self._after_zero(place)
         if flags & 2:
-            if place - at <= self.HASHED and raw[place : place + 2] != (zlib.crc32(raw[at:place]) & 0xFFFF).to_bytes(2, "little"):
+            if place - at > self.HASHED or raw[place : place + 2] != (zlib.crc32(raw[at:place]) & 0xFFFF).to_bytes(2, "little"):
                 return None
             place += 2
         return place if place < len(raw) and place != self.fruitless else None
