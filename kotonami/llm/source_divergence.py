@@ -1,6 +1,6 @@
 r"""How the sources of a language differ in their terms, by wide term vectors (op12).
 
-Terms are counted within each batch, so that of a frequent term or a hot source only one row for each batch and group
+Terms are counted within each task, so that of a frequent term or a hot source only one row for each step and group
 is shuffled. Per language and kept term the counts are pivoted into one array, indexed by the
 language's sources; the arrays become smoothed probabilities (parts of 10^9, in decimal integers), and higher-order functions
 emit what the term adds to each pair of sources, which map-side aggregation sums.
@@ -26,8 +26,10 @@ LEAST_DOCS = 30
 SCALE = 1_000_000_000
 SMOOTHING = 5
 TOP_TERMS = 50
-#: Distinct terms of a batch's groups after which their counts are handed on.
-STEP_TERMS = 200_000
+#: Distinct terms of a task's groups after which their counts are handed on.
+STEP_TERMS = 500_000
+#: A document in a term's count, above its occurrences between two steps.
+_DOC = 1 << 40
 #: ASCII letters lower-cased, all other ASCII as space, bytes of other characters as they are.
 _BYTES = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
 
@@ -38,26 +40,25 @@ def terms_of(text: str) -> list[bytes]:
 
 
 def _count_batches(batches) -> Iterator[pa.RecordBatch]:
+    counts: dict[tuple[str, str], dict[bytes, int]] = {}
+    held = 0
     for batch in batches:
-        counts: dict[tuple[str, str], tuple[Counter, Counter]] = {}
-        held = 0
         for lang, source, text in zip(*[column.to_pylist() for column in batch.columns], strict=True):
-            total, docs = counts.setdefault((lang, source), (Counter(), Counter()))
-            before, own = len(total), Counter(terms_of(text))
-            total.update(own)
-            docs.update(own.keys())
-            held += len(total) - before
+            own = counts.setdefault((lang, source), {})
+            before, get = len(own), own.get
+            for term, n in Counter(terms_of(text)).items():
+                own[term] = get(term, 0) + n + _DOC
+            held += len(own) - before
             if held >= STEP_TERMS:
                 yield from _counted(counts)
                 counts, held = {}, 0
-        yield from _counted(counts)
+    yield from _counted(counts)
 
 
-def _counted(counts: dict[tuple[str, str], tuple[Counter, Counter]]) -> Iterator[pa.RecordBatch]:
-    for (lang, source), (total, docs) in counts.items():
-        names, size = list(total), len(total)
-        columns = [pa.repeat(lang, size), pa.repeat(source, size), pa.array(names, pa.binary()).cast(pa.string())]
-        columns += [pa.array(list(total.values()), pa.int64()), pa.array([docs[n] for n in names], pa.int64())]
+def _counted(counts: dict[tuple[str, str], dict[bytes, int]]) -> Iterator[pa.RecordBatch]:
+    for (lang, source), own in counts.items():
+        columns = [pa.repeat(lang, len(own)), pa.repeat(source, len(own)), pa.array(list(own), pa.binary()).cast(pa.string())]
+        columns += [pa.array([x % _DOC for x in own.values()], pa.int64()), pa.array([x // _DOC for x in own.values()], pa.int64())]
         yield pa.RecordBatch.from_arrays(columns, ["lang", "source", "term", "n", "docs"])
 
 
