@@ -7,7 +7,8 @@ Documents are linked when the Jaccard similarity of their sets of five-word shin
   candidates: at similarity 0.8 all but one pair in ten million are.
 * Candidates are compared in groups. A class's leader is the least class it shares a bucket with; leader groups
   of more than ``GROUP_ROWS`` classes or ``GROUP_SHINGLES`` shingles are cut into chunks, and each pair of chunks that share a bucket
-  is a task's work of its own. So no bucket is gathered whole, pairs are never written out, and none is lost.
+  is a task's work of its own. So no bucket is gathered whole and no pair is lost; the pairs that
+  pruning leaves are handed on as lists of partners, n (n - 1) / 2 entries for n near copies of each other.
 * Within a group, candidates compare their MinHash values ``STEP`` at a time. With a uniform prior, m
   equal values of n give the posterior Beta(m + 1, n - m + 1); a pair whose probability of
   reaching the threshold is below ``TOLERANCE`` is dropped.
