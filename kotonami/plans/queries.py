@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text, web
-from ..operators import align, envelope, records, search
+from ..operators import align, envelope, mentions, records, search
 from ..sources import html, payloads, requests, tree
 from ..sources.tree import Step
 from . import endpoints, fixtures
@@ -563,6 +563,34 @@ def tree_comment_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return comments.join(blocks, ["key", "pre"]).select(F.col("key").alias("page_id"), text.strip(F.col("data")).alias("comment"), F.col("text").alias("block"))
 
 
+_COMMENTS = "(SELECT page_id, (k - 1)::INT AS pos, c[k] AS c FROM (SELECT *, unnest(range(1, len(c) + 1)) AS k FROM (SELECT page_id, regexp_extract_all(html, '(?s)<!--(.*?)-->', 1) AS c FROM pages)))"
+
+
+def _ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a comment of the given pages says of each id."""
+    return read(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), F.concat(F.lit("ad "), F.col("page_id").cast("string")).alias("word"))
+
+
+@register("comment_mentions", f"SELECT c.page_id, c.pos, p.page_id AS id FROM {_COMMENTS} c JOIN pages p ON contains(c.c, 'ad ' || p.page_id)")
+def comment_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every comment with every id that it contains, as a part of a longer one, too."""
+    ids = _ids(spark, sf_dir)
+    comments = read(spark, sf_dir, "pages").select(F.col("page_id").alias("key"), F.posexplode(web.comments(F.col("html"))).alias("pos", "data"))
+    return mentions.mentions(ids, comments).join(ids, "word").select(F.col("key").alias("page_id"), "pos", "id")
+
+
+@register("entry_blocks", f"""SELECT p.page_id AS id, b.page_id, b.block FROM (SELECT page_id, c[k] AS c, {_plain_sql("t[k]")} AS block FROM (SELECT *, unnest(range(1, len(c) + 1)) AS k
+    FROM (SELECT page_id, regexp_extract_all(html, {_AD}, 1) AS c, regexp_extract_all(html, {_AD}, 2) AS t FROM pages))) b JOIN pages p ON contains(b.c, 'ad ' || p.page_id)""")
+def entry_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each id the blocks of all pages whose comment contains it: entries with the blocks that are theirs."""
+    ids = _ids(spark, sf_dir)
+    table = tree.nodes(read(spark, sf_dir, "pages"), "page_id")
+    comments = tree.with_next(table, "div").where("tag = '#comment'").select("key", F.col("next").alias("pos"), "data")
+    met = mentions.mentions(ids, comments.where("pos IS NOT NULL")).join(ids, "word")
+    blocks = tree.texts(table, table.where("tag = 'div' AND array_contains(classes, 'ad')"))
+    return met.join(blocks.withColumnRenamed("pre", "pos"), ["key", "pos"]).select("id", F.col("key").alias("page_id"), F.col("text").alias("block"))
+
+
 #: Selectors with the pattern that finds the same elements of the given pages. Those of the dictionary and accent
 #: pages, below, meet nothing there; all are followed in the one walk.
 _SELECTED = {
