@@ -7,14 +7,15 @@ Documents are linked when the Jaccard similarity of their sets of five-word shin
   candidates: at similarity 0.8 all but one pair in ten million are.
 * Candidates are compared in groups. A class's leader is the least class it shares a bucket with; leader groups
   of more than ``GROUP_ROWS`` classes or ``GROUP_SHINGLES`` shingles are cut into chunks, and each pair of chunks that share a bucket
-  is a task's work of its own. So no bucket is gathered whole and no pair is lost; the pairs that
-  pruning leaves are handed on as lists of partners, n (n - 1) / 2 entries for n near copies of each other.
+  is a task's work of its own. So no bucket is gathered whole and no pair is lost.
 * Within a group, candidates compare their MinHash values ``STEP`` at a time. With a uniform prior, m
   equal values of n give the posterior Beta(m + 1, n - m + 1); a pair whose probability of
-  reaching the threshold is below ``TOLERANCE`` is dropped.
-* The rest is verified on whole shingle sets: the texts of the classes that still have partners are read again and
-  their sets intersected, grouped as before. Shingles are compared by hashes of 64 bits. The links are counted, and
-  each group's links are reduced to a forest for the components.
+  reaching the threshold is below ``TOLERANCE`` is dropped. What a group hands on is which of its classes still have
+  partners, never the pairs: n near copies make a row for each class and chunk that it meets.
+* The rest is verified on whole shingle sets: the texts of the classes that still have partners are read again and,
+  grouped as before, the same pruning finds the pairs again, whose sets are intersected at once, up to 256 classes at a time.
+  Shingles are compared by hashes of 64 bits. The links are counted, and each group's links are reduced to a forest for
+  the components.
 
 Defined results: a null text, or one without a letter or digit, has no shingles and links with
 nothing; a text of one to four words is one shingle of all its words; rows with equal ids are
@@ -112,49 +113,50 @@ def least_matches(threshold: float, tolerance: float) -> dict[int, int]:
     return out
 
 
+def _candidates(
+    values: np.ndarray, first: np.ndarray, within: bool, needed: dict[int, int]
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of ``values`` that share a band and may reach the threshold, 256 left rows at a time.
+
+    Pairs are of a ``first`` row and another one, or ``within`` a chunk of any two rows, once.
+    """
+    bands = _bands(values)
+    rows = np.arange(len(values)) if within else np.flatnonzero(first)
+    others = np.arange(len(values)) if within else np.flatnonzero(~first)
+    for k in range(0, len(rows), 256):
+        part = rows[k : k + 256]
+        shared = np.zeros((len(part), len(others)), dtype=bool)
+        for b in range(BANDS):
+            shared |= bands[part, b][:, None] == bands[others, b][None, :]
+        i, j = np.nonzero(shared)
+        i, j = part[i], others[j]
+        if within:
+            i, j = i[i < j], j[i < j]
+        same = np.zeros(len(i), dtype=np.int32)
+        for n in range(0, BANDS * ROWS, STEP):
+            same += (values[i, n : n + STEP] == values[j, n : n + STEP]).sum(axis=1, dtype=np.int32)
+            let = same >= needed[n + STEP]
+            i, j, same = i[let], j[let], same[let]
+        yield i, j
+
+
 def _prune(threshold: float, tolerance: float):
-    """A group's candidates whose similarity may still reach the threshold, as lists of partners."""
+    """The classes of a group that have a partner whose similarity may still reach the threshold."""
     needed = least_matches(threshold, tolerance)
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         low, high = key[0].as_py(), key[1].as_py()
-        ids, gid = table.column("key").to_numpy(), table.column("gid").to_numpy()
-        values = _matrix(table.column("sig"))
-        order = np.argsort(gid != low, kind="stable")
-        ids, gid, values = ids[order], gid[order], values[order]
-        bands = _bands(values)
-        rows = np.arange(len(ids)) if low == high else np.flatnonzero(gid == low)
-        others = np.arange(len(ids)) if low == high else np.flatnonzero(gid != low)
-        left, right = [], []
-        for k in range(0, len(rows), 256):
-            part = rows[k : k + 256]
-            shared = np.zeros((len(part), len(others)), dtype=bool)
-            for b in range(BANDS):
-                shared |= bands[part, b][:, None] == bands[others, b][None, :]
-            i, j = np.nonzero(shared)
-            i, j = part[i], others[j]
-            if low == high:
-                i, j = i[i < j], j[i < j]
-            same = np.zeros(len(i), dtype=np.int32)
-            for n in range(0, BANDS * ROWS, STEP):
-                same += (values[i, n : n + STEP] == values[j, n : n + STEP]).sum(axis=1, dtype=np.int32)
-                let = same >= needed[n + STEP]
-                i, j, same = i[let], j[let], same[let]
-            left.append(i)
-            right.append(j)
-        i = np.concatenate(left) if left else np.zeros(0, np.int64)
-        j = np.concatenate(right) if right else np.zeros(0, np.int64)
-        active = np.union1d(i, j)
-        starts = np.searchsorted(i, active, side="left")
-        ends = np.searchsorted(i, active, side="right")
-        partners = [ids[j[a:b]] for a, b in zip(starts, ends, strict=True)]
-        n = len(active)
+        first = table.column("gid").to_numpy() == low
+        active = np.zeros(len(first), dtype=bool)
+        for i, j in _candidates(_matrix(table.column("sig")), first, low == high, needed):
+            active[i] = active[j] = True
+        n = int(active.sum())
         return pa.table(
             {
                 "low": pa.array(np.full(n, low, dtype=np.int64)),
                 "high": pa.array(np.full(n, high, dtype=np.int64)),
-                "key": pa.array(ids[active]),
-                "partners": pa.array(partners, pa.list_(pa.int64())),
+                "key": pa.array(table.column("key").to_numpy()[active]),
+                "first": pa.array(first[active]),
             }
         )
 
@@ -175,17 +177,20 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([part.column(0), pa.array(packed, pa.large_binary()).cast(pa.binary())], names=["key", "shingles"])
 
 
-def _verify(threshold: float):
+def _verify(threshold: float, tolerance: float):
     """A group's exact links: by class the number of linked documents and a root of its forest."""
+    needed = least_matches(threshold, tolerance)
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         ids = table.column("key").to_numpy()
         order = np.argsort(ids, kind="stable")
         ids = ids[order]
-        first = np.concatenate(([True], ids[1:] != ids[:-1]))  # a text read twice counts once
-        order, ids = order[first], ids[first]
+        once = np.concatenate(([True], ids[1:] != ids[:-1]))  # a text read twice counts once
+        order, ids = order[once], ids[once]
         sizes = table.column("size").to_numpy()[order]
-        packed, partners = table.column("shingles"), table.column("partners")
+        first = table.column("first").to_numpy(zero_copy_only=False)[order]
+        signed = _matrix(table.column("sig"))[order]
+        packed = table.column("shingles")
         sets = [np.frombuffer(packed[int(k)].as_py(), dtype=np.uint64) for k in order]
         lengths = np.array([len(x) for x in sets], dtype=np.int64)
         values, own = np.unique(np.concatenate(sets), return_inverse=True)
@@ -201,16 +206,10 @@ def _verify(threshold: float):
             return x
 
         mark = np.zeros(len(values) + 1, dtype=np.int32)
-        for u, row in enumerate(order):
-            with_u = partners[int(row)].as_py()
-            if not with_u:
-                continue
+
+        def meet(u: int, at: np.ndarray) -> None:
             mine = own[starts[u] : ends[u]]
             mark[mine] = 1
-            at = np.searchsorted(ids, np.asarray(with_u, dtype=np.int64))
-            at = at[lengths[at] > 0]
-            # Similar sets are of similar size; the others cannot reach the threshold.
-            at = at[np.minimum(lengths[at], lengths[u]) >= threshold * np.maximum(lengths[at], lengths[u]) - 1e-9]
             for k in range(0, len(at), 256):
                 part = at[k : k + 256]
                 edges = np.concatenate(([0], np.cumsum(lengths[part])))
@@ -223,6 +222,15 @@ def _verify(threshold: float):
                     a, b = find(u), find(int(v))
                     root[max(a, b)] = min(a, b)
             mark[mine] = 0
+
+        for i, j in _candidates(signed, first, key[0].as_py() == key[1].as_py(), needed):
+            # Similar sets are of similar size; the others cannot reach the threshold.
+            near = np.minimum(lengths[i], lengths[j]) >= np.maximum(threshold * np.maximum(lengths[i], lengths[j]) - 1e-9, 1)
+            i, j = i[near], j[near]
+            # Pairs come ordered by their left row.
+            left, begin = np.unique(i, return_index=True)
+            for u, start, end in zip(left, begin, np.append(begin[1:], len(i)), strict=True):
+                meet(int(u), j[start:end])
         roots = np.array([find(k) for k in range(len(ids))], dtype=np.int64)
         let = links > 0
         return pa.table(
@@ -282,7 +290,7 @@ def jaccard_links(
         held.join(met.where("low != high"), F.col("gid") == F.col("high"))
     )
     active = sides.groupBy("low", "high").applyInArrow(
-        _prune(threshold, tolerance), "low long, high long, key long, partners array<long>"
+        _prune(threshold, tolerance), "low long, high long, key long, first boolean"
     )
     active = common.staged(active, "jaccard-candidates")
 
@@ -292,10 +300,10 @@ def jaccard_links(
     again = texts.join(wanted, "id").select("key", "of", common.normalised(F.col("text")).alias("norm"))
     sets = again.where(F.md5("norm") == F.col("of")).select("key", "norm").mapInArrow(_sets, "key long, shingles binary")
     found = (
-        active.join(classes.select("key", "size"), "key")
+        active.join(classes.select("key", "size", "sig"), "key")
         .join(sets, "key")
         .groupBy("low", "high")
-        .applyInArrow(_verify(threshold), "key long, links long, root long")
+        .applyInArrow(_verify(threshold, tolerance), "key long, links long, root long")
     )
     found = common.staged(found, "jaccard-links")
 

@@ -623,6 +623,30 @@ def test_jaccard_join_against_sets(spark, rows_in_group, monkeypatch):
         assert (got[i].n_links, got[i].component_id) == (len(links[i]), component[i])
 
 
+def test_near_copies_hand_on_no_pairs(spark, monkeypatch):
+    """What is staged between the stages grows with classes and chunks they meet, not with pairs, and holds no lists."""
+    handed, stage = {}, common.staged
+
+    def staged(frame, label):
+        out = stage(frame, label)
+        handed[label] = (out.count(), out.dtypes)
+        return out
+
+    monkeypatch.setattr(jaccard_join.common, "staged", staged)
+    own = words(random.Random(2), 300).split()
+    grown = []
+    for n in (400, 800, 1_600):
+        frame = docs_of(spark, [" ".join([*own, f"end{k}"]) for k in range(n)])
+        rows = jaccard_join.jaccard_links(frame).groupBy("n_links", "component_id").count().collect()
+        assert [tuple(r) for r in rows] == [(n - 1, 0, n)]
+        most = max(count for label, (count, _) in handed.items() if label in ("jaccard-candidates", "jaccard-links", "jaccard-group-pairs"))
+        assert not any("array" in kind for _, types in handed.values() for _, kind in types)
+        chunks = -(-n // jaccard_join.GROUP_ROWS)
+        assert most <= n * chunks
+        grown.append((n, most, n * (n - 1) // 2))
+    print("near copies, rows handed on, pairs:", grown)
+
+
 def test_posterior_bound():
     needed = jaccard_join.least_matches(0.8, 1e-5)
     assert list(needed.values()) == sorted(needed.values())
