@@ -227,6 +227,8 @@ def _verify(threshold: float, tolerance: float):
             # Similar sets are of similar size; the others cannot reach the threshold.
             near = np.minimum(lengths[i], lengths[j]) >= np.maximum(threshold * np.maximum(lengths[i], lengths[j]) - 1e-9, 1)
             i, j = i[near], j[near]
+            if not len(i):
+                continue
             # Pairs come ordered by their left row.
             left, begin = np.unique(i, return_index=True)
             for u, start, end in zip(left, begin, np.append(begin[1:], len(i)), strict=True):

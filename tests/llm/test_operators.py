@@ -647,6 +647,13 @@ def test_near_copies_hand_on_no_pairs(spark, monkeypatch):
     print("near copies, rows handed on, pairs:", grown)
 
 
+def test_equal_signatures_of_sets_too_different_in_size():
+    sig = np.zeros(jaccard_join.BANDS * jaccard_join.ROWS, dtype=np.uint16).tobytes()
+    sets = [np.arange(n, dtype=np.uint64).tobytes() for n in (10, 100)]
+    table = pa.table({"key": [1, 2], "first": [True, True], "size": [1, 1], "sig": [sig, sig], "shingles": sets})
+    assert jaccard_join._verify(0.8, 1e-5)((pa.scalar(5), pa.scalar(5)), table).num_rows == 0
+
+
 def test_posterior_bound():
     needed = jaccard_join.least_matches(0.8, 1e-5)
     assert list(needed.values()) == sorted(needed.values())
