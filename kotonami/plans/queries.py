@@ -627,6 +627,79 @@ def selector_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return met.groupBy("page_id", "selector").agg(F.count(F.lit(1)).alias("n"))
 
 
+# The scalar functions over whole tables.
+def _table_of_words(name: str, source: str, key: str, word: str, use: Callable[[Column], Column], sql: str) -> None:
+    """A scalar function over ``word``, an expression that both engines read, of every row of a table."""
+    register(name, f"SELECT {key}, {at(sql, 's')} AS value FROM (SELECT {key}, {word} AS s FROM {source})")(
+        lambda spark, sf_dir: read(spark, sf_dir, source).select(*key.split(", "), F.expr(word).alias("s")).select(*key.split(", "), use(F.col("s")).alias("value"))
+    )
+
+
+_TURN = "conv_id, turn"
+_table_of_words("strip_turns", "conversations", _TURN, "'　 ' || text || '  '", text.strip, _STRIP)
+_table_of_words("ordinal_turns", "conversations", _TURN, "'(' || turn || ')　 ' || text", text.strip_ordinal, rf"regexp_replace({{0}}, '\A\([0-9]+\){_WS}*', '')")
+_table_of_words("gloss_parts", "part", "p_partkey", "' ▶ ' || p_name || '▶　'", text.clean_gloss, at(_STRIP, "replace({0}, '▶', '')"))
+_table_of_words("kanji_parts", "part", "p_partkey", f"translate(substr(lower(p_name), 1 + p_partkey % 9, 1), {_SPELT})", text.is_kana_or_kanji, f"length({{0}}) = 1 AND NOT regexp_matches({{0}}, '{_NOT_KK}')")
+_DIGITS = "translate({0}, '０１２３４５６７８９', '0123456789')"
+_table_of_words(
+    "int_or_zero_orders", "orders", "o_orderkey",
+    "CASE o_orderkey % 4 WHEN 0 THEN NULL WHEN 1 THEN ' ' || translate(CAST(o_orderkey AS STRING), '0123456789', '０１２３４５６７８９') WHEN 2 THEN '-' || o_orderkey || '_0' ELSE o_orderkey || '_' END", text.int_or_zero,
+    at("CASE WHEN {0} IS NULL THEN 0 WHEN regexp_full_match(#, '[+-]?[0-9]+(_[0-9]+)*') THEN try_cast(replace(#, '_', '') AS BIGINT) END".replace("#", at(_DIGITS, _STRIP)), "{0}"),
+)
+
+
+@register("pair_turns", rf"""SELECT conv_id, turn, CASE WHEN p = '' THEN s ELSE substr(s, 1, instr(s, p) - 1) END AS jp, CASE WHEN p <> '' THEN substr(s, instr(s, p) + length(p)) END AS en
+    FROM (SELECT conv_id, turn, s, regexp_extract(s, '\t+|{_WS}{{2,}}') AS p FROM (SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN text WHEN turn % 3 = 1 THEN role || chr(9) || text ELSE text || '  ' || role END AS s FROM conversations))""")
+def pair_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = F.when(F.col("turn") % 3 == 0, F.col("text")).when(F.col("turn") % 3 == 1, F.concat("role", F.lit("\t"), "text")).otherwise(F.concat("text", F.lit("  "), "role"))
+    parts = text.split_pair(F.col("s"))
+    return read(spark, sf_dir, "conversations").select("conv_id", "turn", said.alias("s")).select("conv_id", "turn", F.get(parts, F.lit(0)).alias("jp"), F.get(parts, F.lit(1)).alias("en"))
+
+
+@register("punct_characters", f"""SELECT c AS mark, count(*) AS n FROM (SELECT unnest(string_split(text, '')) AS c FROM conversations)
+    WHERE c <> '' AND list_contains([{", ".join(map(quoted, dict.fromkeys(text.PUNCTUATION)))}], c) GROUP BY c""")
+def punct_characters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    each = read(spark, sf_dir, "conversations").select(F.explode(F.split("text", "")).alias("mark")).where("mark != ''")
+    return each.where(text.is_punctuation(F.col("mark"))).groupBy("mark").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("accent_shape_orders", """SELECT o_orderkey, CASE WHEN instr(a, '2') = 1 THEN 'Atamadaka' WHEN instr(a, '2') > 1 AND instr(a, '2') = length(a) THEN 'Odaka'
+    WHEN instr(a, '2') > 1 THEN 'Nakadaka' WHEN instr(a, '1') > 0 THEN 'Heiban' END AS shape FROM (SELECT o_orderkey, translate(o_orderkey::VARCHAR, '3456789', '0101012') AS a FROM orders)""")
+def accent_shape_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spelt = F.translate(F.col("o_orderkey").cast("string"), "3456789", "0101012")
+    accents = F.transform(F.filter(F.split(spelt, ""), lambda x: x != ""), lambda x: x.cast("int"))
+    return read(spark, sf_dir, "orders").select("o_orderkey", text.accent_shape(accents).alias("shape"))
+
+
+@register("props_target", """SELECT event_id, CASE WHEN NOT json_valid(props) THEN NULL WHEN json_type(props, t) IS NULL OR json_type(props, t) = 'NULL' THEN json(props)::VARCHAR ELSE json_extract(props, t)::VARCHAR END AS target
+    FROM (SELECT event_id, props, CASE WHEN event_id % 2 = 0 THEN '$.k' ELSE '$.none' END AS t FROM events)""")
+def props_target(spark: SparkSession, sf_dir: str) -> DataFrame:
+    document = F.try_parse_json("props")
+    own = F.when(F.col("event_id") % 2 == 0, F.to_json(web.target_or_whole(document, "k"))).otherwise(F.to_json(web.target_or_whole(document, "none")))
+    return read(spark, sf_dir, "events").select("event_id", own.alias("target"))
+
+
+#: A word of each part: a name in Latin letters, a part of it as kana, the whole.
+_WORD = f"CASE p_partkey % 3 WHEN 0 THEN split_part(lower(p_name), ' ', 1) WHEN 1 THEN translate(replace(lower(p_name), ' ', ''), {_SPELT}) ELSE p_name END"
+_PART_RULES = SQL["search_rules"].split(" FROM (VALUES")[0] + f" FROM (SELECT p_partkey AS request_id, {_WORD} AS word FROM part)"
+
+
+def _part_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "part").select(F.col("p_partkey").alias("request_id"), F.expr(_WORD).alias("word"))
+
+
+@register("search_rules_parts", _PART_RULES)
+def search_rules_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _part_words(spark, sf_dir).select("request_id", search.rule_json(F.col("word")).alias("filters"))
+
+
+@register("request_bodies_parts", SQL["request_bodies"].split(" FROM (VALUES")[0] + f" FROM (SELECT p_partkey AS request_id, {_WORD} AS word FROM part) t JOIN ({_PART_RULES}) r ON r.request_id = t.request_id")
+def request_bodies_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    word = F.col("word")
+    bodies = (requests.furigana_body(word).alias("furigana"), requests.accent_body(word).alias("accent"), requests.headword_body(word).alias("headwords"), requests.sentence_body(word).alias("sentences"))
+    return _part_words(spark, sf_dir).select("request_id", *bodies)
+
+
 # Payload fixtures: dictionary and envelopes.
 @register("dict_entries", fixtures.ENTRIES_SQL)
 def dict_entries(spark: SparkSession, _: str) -> DataFrame:
