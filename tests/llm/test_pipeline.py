@@ -82,7 +82,7 @@ def test_registered_with_the_entry():
     import __spark_entry__ as entry_module
 
     names = entry_module.queries()
-    assert "pipeline" in names and sum(n.startswith("op") for n in names) == 10
+    assert "pipeline" in names and sum(n.startswith("op") for n in names) == 13
 
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
