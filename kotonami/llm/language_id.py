@@ -6,10 +6,11 @@ regression, one language against the rest, is trained on Nyström features: with
 phi(x) = k(x, L) K(L, L)^(-1/2). All of it after the presence vectors is linear, so the trained
 model is one matrix (cells by languages) and a batch of texts is scored by one matrix product.
 
-Training takes a bounded sample: ``MAX_TRAINING`` rows with a language and a letter, shared evenly among the
-languages (what a rare one cannot fill goes to the others), of each those that come first in an order by a hash of id
-and text; ``LANDMARKS`` of them in turn by language as landmarks. With more languages than rows in the bound the most
-frequent ones are learnt. The executors turn the sample's whole texts into presence vectors; the driver gets 2 KB for each.
+Training reads every row with a language and a letter, whole texts. The regression needs of the rows only sums: each task adds up
+the weighted products of its rows' kernels with the landmarks, and, for ``familiar``, the rows of each language that have a cell. The
+sums of the tasks are added as whole numbers (``UNIT`` parts), so their order does not matter. Landmarks are but the basis of the
+features: ``LANDMARKS`` rows, shared evenly among the languages (what a rare one cannot fill goes to the others), of each those that come
+first in an order by a hash of id and text. Every language is learnt, up to the ``MAX_LANGUAGES`` most frequent: the model has a column for each.
 Scoring reads every whole text.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0; without training
@@ -26,6 +27,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,8 +35,12 @@ from pyspark.sql import types as T
 from . import common
 
 DIMENSIONS = 1 << 14
-MAX_TRAINING = 3_000
+MAX_LANGUAGES = 3_000
 LANDMARKS = 240
+#: Parts of 1 in which sums of weighted kernels, 1 at most, pass from the tasks to the driver.
+UNIT = 1 << 60
+#: Parts of 1 in which familiarities are counted for their median.
+STEPS = 1 << 16
 RIDGE = 1e-2
 UNKNOWN = "und"
 PIECE_CHARS = 1 << 18
@@ -62,7 +68,7 @@ class Familiarity:
     """
 
     shares: np.ndarray
-    #: Language -> least familiarity: ``LEAST_PART`` of the median of its training texts, each left out of the shares.
+    #: Language -> least familiarity: ``LEAST_PART`` of the median of all its training texts, each left out of the shares.
     least: dict[str, float]
 
 
@@ -142,30 +148,78 @@ def _unit(cells: np.ndarray) -> np.ndarray:
     return x / np.sqrt(np.maximum(x.sum(axis=1, keepdims=True), 1))
 
 
+def _kernel(cells: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    """The kernel of each row of ``cells`` with each of ``marks``, from whole numbers."""
+    common = cells.astype(np.float32) @ marks.astype(np.float32).T
+    return common / np.sqrt(np.maximum(np.outer(cells.sum(axis=1), marks.sum(axis=1)), 1))
+
+
+class Sums:
+    """What the regression and the shares need of training rows; the sums of parts are those of the whole.
+
+    ``products``: k k' of the rows' kernels k with the landmarks, weighted. ``kernels``: k, weighted, by language.
+    ``counts``: rows that have a cell, by language. Each language weighs the same, all together 1.
+    """
+
+    def __init__(self, marks: np.ndarray, sizes: list[int], counted: bool = False):
+        self.marks, self.counted = marks.astype(np.float32), counted
+        self.weights = 1 / (len(sizes) * np.asarray(sizes, dtype=np.float64))
+        self.products = np.zeros((len(marks), len(marks)))
+        self.kernels: dict[int, np.ndarray] = {}
+        self.counts: dict[int, np.ndarray] = {}
+
+    def add(self, cells: np.ndarray, of: np.ndarray) -> None:
+        """Rows of cells and the place of each one's language."""
+        own = _kernel(cells, self.marks)
+        weighted = own * self.weights[of][:, None]
+        self.products += own.T @ weighted
+        for k in np.unique(of):
+            self.kernels[k] = self.kernels.get(k, 0) + weighted[of == k].sum(axis=0)
+            if self.counted:
+                self.counts[k] = self.counts.get(k, 0) + cells[of == k].sum(axis=0)
+
+    def parts(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(language, places, whole numbers): counts by cell, behind them kernels by landmark; products as language -1."""
+        whole = lambda x: np.rint(x * UNIT).astype(np.int64)
+        if self.kernels:
+            at = np.triu_indices(len(self.marks))
+            yield -1, at[0] * len(self.marks) + at[1], whole(self.products[at])
+        for k, own in self.kernels.items():
+            yield k, DIMENSIONS + np.arange(len(own)), whole(own)
+        for k, own in self.counts.items():
+            at = np.flatnonzero(own)
+            yield k, at, own[at]
+
+
+def _solved(names: tuple[str, ...], marks: np.ndarray, products: np.ndarray, kernels: np.ndarray, ridge: float = RIDGE) -> Model:
+    """Kernel ridge regression by the sums over its rows; ``kernels`` has a row for each language."""
+    values, vectors = np.linalg.eigh(_kernel(marks, marks))
+    sound = values > 1e-6 * values[-1]
+    root = vectors[:, sound] / np.sqrt(values[sound])
+    centre, middle = kernels.sum(axis=0) @ root, np.full(len(names), 1 / len(names))
+    spread = root.T @ products @ root - np.outer(centre, centre)
+    w = np.linalg.solve(spread + ridge * np.eye(len(spread)), (kernels @ root).T - np.outer(centre, middle))
+    return Model(names, (_unit(marks).T.astype(np.float64) @ (root @ w)).astype(np.float32), (middle - centre @ w).astype(np.float32))
+
+
+def _nothing() -> Model:
+    return Model((), np.zeros((DIMENSIONS, 0), np.float32), np.zeros(0, np.float32))
+
+
 def train(bits: np.ndarray, languages: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
-    """Kernel ridge regression on Nyström features of presence vectors (packed), rows in a fixed order."""
+    """Kernel ridge regression on Nyström features of presence vectors (packed), rows in a fixed order, landmarks in turn by language."""
     names = tuple(sorted(set(languages)))
     if not names:
-        return Model((), np.zeros((DIMENSIONS, 0), np.float32), np.zeros(0, np.float32))
+        return _nothing()
     turn: list[int] = []
     by = [[i for i, own in enumerate(languages) if own == name] for name in names]
     for k in range(max(map(len, by))):
         turn += [rows[k] for rows in by if k < len(rows)]
-    marks = _unit(np.unpackbits(bits[turn[:landmarks]], axis=1))
-    values, vectors = np.linalg.eigh((marks @ marks.T).astype(np.float64))
-    sound = values > 1e-6 * values[-1]
-    root = vectors[:, sound] / np.sqrt(values[sound])
-    # Batch by batch: the unpacked vectors of the whole sample are never held.
-    parts = [_unit(np.unpackbits(bits[k : k + BATCH], axis=1)) @ marks.T for k in range(0, len(bits), BATCH)]
-    phi = np.concatenate(parts).astype(np.float64) @ root
-    y = np.array([[1.0 if own == name else 0.0 for name in names] for own in languages])
-    # Each class weighs the same, however rare the language is.
-    weight = np.sqrt(1 / (len(names) * y.sum(axis=0)))[np.argmax(y, axis=1)][:, None]
-    centre = (phi * weight**2).sum(axis=0)
-    middle = (y * weight**2).sum(axis=0)
-    a, b = (phi - centre) * weight, (y - middle) * weight
-    w = np.linalg.solve(a.T @ a + ridge * np.eye(a.shape[1]), a.T @ b)
-    return Model(names, (marks.T.astype(np.float64) @ (root @ w)).astype(np.float32), (middle - centre @ w).astype(np.float32))
+    marks = np.unpackbits(bits[turn[:landmarks]], axis=1)
+    sums, of = Sums(marks, [len(rows) for rows in by]), np.array([names.index(own) for own in languages])
+    for k in range(0, len(bits), BATCH):
+        sums.add(np.unpackbits(bits[k : k + BATCH], axis=1), of[k : k + BATCH])
+    return _solved(names, marks, sums.products, np.array([sums.kernels[k] for k in range(len(names))]), ridge)
 
 
 def scores(model: Model, texts: list[str]) -> np.ndarray:
@@ -196,13 +250,18 @@ def quotas(counts: dict[str, int], bound: int) -> dict[str, int]:
     return out
 
 
-def _sample(usable: DataFrame, max_training: int) -> tuple[np.ndarray, list[str], DataFrame]:
-    """Packed presence vectors and languages of the sample, and (lang, last): the greatest hash in it of each language."""
+def _counts(usable: DataFrame) -> dict[str, int]:
+    """Rows of each language, the most frequent first."""
+    counted = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES)
+    return {r["lang"]: r["n"] for r in counted.collect()}
+
+
+def _sample(usable: DataFrame, bound: int, counts: dict[str, int] | None = None) -> tuple[np.ndarray, list[str], DataFrame]:
+    """Packed presence vectors and languages of ``bound`` rows, and (lang, last): the greatest hash among them of each language."""
     spark = usable.sparkSession
     place = F.xxhash64("doc_id", "text")
-    counted = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(max_training)
-    counts = {r["lang"]: r["n"] for r in counted.collect()}
-    wanted = quotas(counts, max_training)
+    counts = _counts(usable) if counts is None else counts
+    wanted = quotas(dict(list(counts.items())[:bound]), bound)
     # The hash below which about twice the rows wanted of a language lie.
     below = [(name, _share(counts[name], n)) for name, n in wanted.items()]
     limits = spark.createDataFrame(below, "lang string, below long")
@@ -213,7 +272,7 @@ def _sample(usable: DataFrame, max_training: int) -> tuple[np.ndarray, list[str]
         .select("doc_id", "lang", "place", "text")
         .mapInPandas(_packed, "doc_id long, lang string, place long, cells binary")
         .orderBy("place", "doc_id", "cells", "lang")
-        .limit(4 * max_training)  # only rows that repeat very often can pass it
+        .limit(4 * bound)  # only rows that repeat very often can pass it
         .collect()
     )
     taken = dict.fromkeys(wanted, 0)
@@ -227,41 +286,80 @@ def _sample(usable: DataFrame, max_training: int) -> tuple[np.ndarray, list[str]
     return bits, [r["lang"] for r in rows], spark.createDataFrame(list(last.items()), "lang string, last long")
 
 
-def fit(labelled: DataFrame, max_training: int = MAX_TRAINING) -> Model:
-    """Train on a bounded sample of ``labelled`` (doc_id, text, lang)."""
-    bits, languages, _ = _sample(_usable(labelled), max_training)
-    return train(bits, languages)
+def _sum_batches(bits: np.ndarray, names: tuple[str, ...], sizes: list[int], counted: bool):
+    def run(batches) -> Iterator[pd.DataFrame]:
+        sums = Sums(np.unpackbits(bits, axis=1), sizes, counted)
+        place = {name: k for k, name in enumerate(names)}
+        for pdf in batches:
+            for k in range(0, len(pdf), BATCH):
+                part = pdf.iloc[k : k + BATCH]
+                sums.add(presence(part["text"].tolist()), part["lang"].map(place).to_numpy())
+        for k, at, value in sums.parts():
+            yield pd.DataFrame({"of": np.full(len(at), k, np.int32), "at": at.astype(np.int32), "value": value})
+
+    return run
 
 
-def fit_both(labelled: DataFrame, max_training: int = MAX_TRAINING) -> tuple[Model, Familiarity]:
-    """``fit``, and what is familiar by the same sample."""
+def _learnt(usable: DataFrame, landmarks: int, counted: bool = False) -> tuple[Model, np.ndarray, np.ndarray]:
+    """The model of all rows, and by language the number of rows and, if ``counted``, that of the rows with each cell."""
+    sizes = _counts(usable)
+    names = tuple(sorted(sizes))
+    if not names:
+        return _nothing(), np.zeros(0), np.zeros((0, DIMENSIONS))
+    bits, *_ = _sample(usable, landmarks, sizes)
+    size, m = [sizes[name] for name in names], len(bits)
+    rows = usable.where(F.col("lang").isin(list(names))).select("lang", "text")
+    parts = rows.mapInPandas(_sum_batches(bits, names, size, counted), "of int, at int, value long")
+    table = parts.groupBy("of", "at").agg(F.sum("value").alias("value")).toArrow()
+    of, at, value = (table[name].to_numpy() for name in ("of", "at", "value"))
+    products, kernels, counts = np.zeros((m, m)), np.zeros((len(names), m)), np.zeros((len(names), DIMENSIONS))
+    own, count = of < 0, (of >= 0) & (at < DIMENSIONS)
+    kernel = ~own & ~count
+    products.reshape(-1)[at[own]] = value[own] / UNIT
+    products = np.maximum(products, products.T)  # one half was added up, none of it below 0
+    kernels[of[kernel], at[kernel] - DIMENSIONS] = value[kernel] / UNIT
+    counts[of[count], at[count]] = value[count]
+    return _solved(names, np.unpackbits(bits, axis=1), products, kernels), np.array(size), counts
+
+
+def fit(labelled: DataFrame, landmarks: int = LANDMARKS) -> Model:
+    """Train on all rows of ``labelled`` (doc_id, text, lang) that have a language and a letter."""
+    return _learnt(_usable(labelled), landmarks)[0]
+
+
+def fit_both(labelled: DataFrame, landmarks: int = LANDMARKS) -> tuple[Model, Familiarity]:
+    """``fit``, and what is familiar by the same rows."""
     usable = _usable(labelled)
-    bits, languages, last = _sample(usable, max_training)
-    model = train(bits, languages)
-    size = np.array([languages.count(name) for name in model.languages])
-    count = np.zeros((len(size), DIMENSIONS))
-    for cells, language in zip(bits, languages, strict=True):
-        count[model.languages.index(language)] += np.unpackbits(cells)
+    model, size, count = _learnt(usable, landmarks, counted=True)
     share = count / size[:, None]
+    most = share.max(axis=0, initial=0.0)
+    if not model.languages:
+        return model, Familiarity(most.astype(np.float32), {})
+    # The largest share in another language: the second one where the language's own is the largest.
+    best = share.argmax(axis=0)
+    rest = share.copy()
+    rest[best, np.arange(DIMENSIONS)] = 0
+    second = rest.max(axis=0)
     # Without the text itself: all its cells have been counted once for it.
     without: dict[str, np.ndarray] = {}
     for k, name in enumerate(model.languages):
         if size[k] > 1:
-            others = np.delete(share, k, axis=0).max(axis=0, initial=0.0)
+            others = np.where(best == k, second, most)
             without[name] = np.maximum(others, (count[k] - 1) / (size[k] - 1)).astype(np.float32)
 
-    def measured(batches) -> Iterator:
+    def measured(batches) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for name, part in pdf.groupby("lang"):
                 for k in range(0, len(part), BATCH):
                     own = part.iloc[k : k + BATCH]
-                    yield own[["lang"]].assign(value=familiarity(own["text"].tolist(), without[name])[0])
+                    value = familiarity(own["text"].tolist(), without[name])[0]
+                    yield own[["lang"]].assign(step=np.rint(value * STEPS).astype(np.int32))
 
-    sample = usable.join(F.broadcast(last), "lang").where(F.xxhash64("doc_id", "text") <= F.col("last"))
-    sample = sample.where(F.col("lang").isin(list(without))).select("doc_id", "text", "lang")
-    middle = sample.mapInPandas(measured, "lang string, value double").groupBy("lang").agg(F.percentile("value", F.lit(0.5)).alias("m"))
+    rows = usable.where(F.col("lang").isin(list(without))).select("lang", "text")
+    steps = rows.mapInPandas(measured, "lang string, step int").groupBy("lang", "step").agg(F.count(F.lit(1)).alias("n"))
+    middle = steps.groupBy("lang").agg((F.percentile("step", F.lit(0.5), F.col("n")) / STEPS).alias("m"))
     least = {r["lang"]: LEAST_PART * r["m"] for r in middle.collect()} if without else {}
-    return model, Familiarity(share.max(axis=0, initial=0.0).astype(np.float32), least)
+    return model, Familiarity(most.astype(np.float32), least)
 
 
 def _share(total: int, wanted: int) -> int:

@@ -491,6 +491,35 @@ def test_rare_languages_are_in_the_sample(spark):
     assert language_id.predict(docs_of(spark, ["ßäß öü"]), model).first().lang_pred == "b"
 
 
+def test_language_model_shares_and_thresholds_come_from_all_rows(spark):
+    rng = random.Random(6)
+    sounds = {"a": "abcd ", "b": "cdef "}
+    rows = [(i, "".join(rng.choice(sounds["b" if i % 40 == 0 else "a"]) for _ in range(12)) + ("ß" if i % 500 == 1 else "k"), "b" if i % 40 == 0 else "a") for i in range(5_000)]
+    frame = spark.createDataFrame(rows + [(9_000, "q", None), (9_001, None, "a"), (9_002, "12", "zz")], "doc_id long, text string, lang string").repartition(7)
+    model, known = language_id.fit_both(frame, 60)
+    cells = language_id.presence([t for _, t, _ in rows])
+    of = np.array(["ab".index(lang) for *_, lang in rows])
+    size = [int((of == k).sum()) for k in (0, 1)]
+    counts = [cells[of == k].sum(axis=0) for k in (0, 1)]
+    assert (known.shares == np.maximum(counts[0] / size[0], counts[1] / size[1]).astype(np.float32)).all()
+    for k, name in enumerate("ab"):
+        own = np.maximum(counts[1 - k] / size[1 - k], (counts[k] - 1) / (size[k] - 1)).astype(np.float32)
+        middle = np.median(language_id.familiarity([t for _, t, lang in rows if lang == name], own)[0])
+        assert abs(known.least[name] - language_id.LEAST_PART * middle) < 1 / language_id.STEPS
+    # The same landmarks, weighted least squares over the features of all rows.
+    marks = np.unpackbits(language_id._sample(language_id._usable(frame), 60)[0], axis=1)
+    values, vectors = np.linalg.eigh(language_id._kernel(marks, marks))
+    phi = language_id._kernel(cells, marks) @ (vectors[:, values > 1e-6 * values[-1]] / np.sqrt(values[values > 1e-6 * values[-1]]))
+    w2, y = 1 / (2 * np.array(size)[of]), np.eye(2)[of]
+    x, t = phi - w2 @ phi, y - w2 @ y
+    w = np.linalg.solve((x.T * w2) @ x + language_id.RIDGE * np.eye(x.shape[1]), (x.T * w2) @ t)
+    want = x @ w + w2 @ y
+    got = language_id.scores(model, [t for _, t, _ in rows])
+    assert model.languages == ("a", "b") and np.abs(got - want).max() < 1e-3
+    # The order and number of the parts do not matter.
+    assert np.abs(language_id.fit(frame.repartition(3), 60).weights - model.weights).max() < 1e-6
+
+
 def test_language_query_holds_out(spark, tmp_path):
     out = lambda i: zlib.crc32(str(i).encode()) % 4 == 2
     sounds = {"xx": "abc", "yy": "cde"}
