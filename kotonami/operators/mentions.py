@@ -60,12 +60,15 @@ def by_grams(words: DataFrame, texts: DataFrame) -> DataFrame:
     """The same for any number of words: texts meet them by their last ``GRAM`` characters, longer words are verified."""
     size = F.least(F.char_length("word"), F.lit(GRAM))
     keyed = words.select("word", size.alias("size"), F.right("word", size).alias("gram"))
-    sizes = sorted(n for (n,) in keyed.select("size").distinct().collect())
+    lengths = [n for (n,) in words.select(F.char_length("word")).distinct().collect()]
+    sizes = sorted({min(n, GRAM) for n in lengths})
     if not sizes:
         return texts.limit(0).select("key", "pos", F.lit("").alias("word"))
     each = F.array_distinct(F.flatten(F.array(*[_grams(n) for n in sizes])))
     texts = texts.where("data != ''")
     met = texts.select("key", "pos", F.explode(each).alias("gram")).join(keyed.select("gram", "word"), "gram").drop("gram")
+    if max(lengths) <= GRAM:  # nothing to verify: the texts are read once
+        return met.select("key", "pos", "word")
     whole = met.where(F.char_length("word") <= GRAM)
     longer = met.where(F.char_length("word") > GRAM).join(texts, ["key", "pos"]).where(F.contains("data", "word"))
     return whole.select("key", "pos", "word").unionByName(longer.select("key", "pos", "word"))

@@ -530,37 +530,45 @@ _LISTED = "'<li><a href=\"([^\"]*)\">([^<]*)</a></li>'"
       FROM (SELECT page_id, regexp_extract_all(html, {_LISTED}, 1) AS h, regexp_extract_all(html, {_LISTED}, 2) AS t FROM pages)))""")
 def tree_list_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items of the lists of each page's navigation: address and text of the link, text of the next item."""
-    table = tree.nodes(read(spark, sf_dir, "pages"), "page_id")
-    lists = tree.children(table.where("tag = 'nav'"), table.where("tag = 'ul'"))
-    items = tree.children(lists.drop("top"), tree.with_next(table, "li").where("tag = 'li'")).drop("top")
-    hrefs = tree.children(items, table.where("tag = 'a'")).select("key", F.col("top").alias("pre"), F.col("attrs")["href"].alias("href"))
-    read_ = tree.texts(table, items)
-    after = read_.select("key", F.col("pre").alias("next"), F.col("text").alias("next_item"))
-    rows = items.select("key", "pre", "next").join(hrefs, ["key", "pre"]).join(read_, ["key", "pre"]).join(after, ["key", "next"], "left")
-    return rows.select(F.col("key").alias("page_id"), _place("key"), "href", F.col("text").alias("item"), "next_item")
+    item = [Step("nav"), Step("ul", how=">"), Step("li", how=">")]
+    table = tree.nodes(read(spark, sf_dir, "pages"), "page_id", selectors={"item": item, "link": [*item, Step("a", how=">")]}, texts_of=("item",), only=True)
+    rows = tree.gathered(table, "text", tree.joined()).where("tag != '#comment'")
+    is_link = F.array_contains("matched", "link")
+    links = F.array_sort(F.collect_list(F.when(is_link, F.struct("pre", F.col("attrs")["href"].alias("href"))))).alias("links")
+    own = F.first(F.when(~is_link, F.struct("parent", "text")), ignorenulls=True).alias("own")
+    items = rows.groupBy("key", F.when(is_link, F.col("parent")).otherwise(F.col("pre")).alias("pre")).agg(own, links)
+    # The next element of the list is an item, too.
+    after = F.lead("own.text").over(Window.partitionBy("key", "own.parent").orderBy("pre"))
+    each = items.withColumn("next_item", after).select("key", "pre", "own.text", "next_item", F.posexplode("links").alias("nth", "link"))
+    pos = (F.row_number().over(Window.partitionBy("key").orderBy("pre", "nth")) - 1).alias("pos")
+    return each.select(F.col("key").alias("page_id"), pos, F.col("link.href").alias("href"), F.col("text").alias("item"), "next_item")
 
 
 @register("tree_break_lines", f"""SELECT page_id, (k - 1)::INT AS pos, nullif({_plain_sql("l[k]")}, '') AS line FROM (SELECT *, unnest(range(1, len(l) + 1)) AS k
     FROM (SELECT page_id, regexp_extract_all(html, '<br>(?:<p>(?:<b>)?([^<]*))?', 1) AS l FROM pages))""")
 def tree_break_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each line break of a page the first text of the next paragraph beside it."""
-    table = tree.nodes(read(spark, sf_dir, "pages"), "page_id")
-    breaks = tree.with_next(table, "p").where("tag = 'br'").select("key", "pre", "next")
-    first = tree.below(table.where("tag = 'p'"), table.where("tag = '#text'")).groupBy("key", F.col("top").alias("next")).agg(F.min_by("data", "pre").alias("line"))
-    return breaks.join(first, ["key", "next"], "left").select(F.col("key").alias("page_id"), _place("key"), "line")
+    table = tree.nodes(read(spark, sf_dir, "pages"), "page_id", selectors={"p": [Step("p")], "br": [Step("br")]}, texts_of=("p",), only=True)
+    rows = tree.gathered(table, "line", F.min_by("said", "at"))
+    breaks = tree.with_next(rows, "p", value=F.struct("line")).where("tag = 'br'")
+    return breaks.select(F.col("key").alias("page_id"), _place("key"), F.col("next.line").alias("line"))
 
 
 _AD = "'<!--([^>]*)--><div class=\"ad\">([^<]*)</div>'"
 
 
+def _announced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(key, data, next: pre and text): comments of pages with the block beside them that they announce."""
+    table = tree.nodes(read(spark, sf_dir, "pages"), "page_id", selectors={"div": [Step("div")], "ad": [Step("div", "ad")]}, texts_of=("ad",), only=True)
+    rows = tree.with_next(tree.gathered(table, "text", tree.joined()), "div", value=F.struct("pre", "matched", "text"))
+    return rows.where(F.col("tag") == "#comment").where(F.array_contains("next.matched", "ad")).select("key", "data", F.struct("next.pre", "next.text").alias("next"))
+
+
 @register("tree_comment_blocks", f"""SELECT page_id, trim(c[k]) AS comment, {_plain_sql("t[k]")} AS block FROM (SELECT *, unnest(range(1, len(c) + 1)) AS k
     FROM (SELECT page_id, regexp_extract_all(html, {_AD}, 1) AS c, regexp_extract_all(html, {_AD}, 2) AS t FROM pages))""")
 def tree_comment_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Comments of pages with the text of the block beside them that they announce."""
-    table = tree.nodes(read(spark, sf_dir, "pages"), "page_id")
-    comments = tree.with_next(table, "div").where("tag = '#comment'").select("key", F.col("next").alias("pre"), "data")
-    blocks = tree.texts(table, table.where("tag = 'div' AND array_contains(classes, 'ad')"))
-    return comments.join(blocks, ["key", "pre"]).select(F.col("key").alias("page_id"), text.strip(F.col("data")).alias("comment"), F.col("text").alias("block"))
+    return _announced(spark, sf_dir).select(F.col("key").alias("page_id"), text.strip(F.col("data")).alias("comment"), F.col("next.text").alias("block"))
 
 
 _COMMENTS = "(SELECT page_id, (k - 1)::INT AS pos, c[k] AS c FROM (SELECT *, unnest(range(1, len(c) + 1)) AS k FROM (SELECT page_id, regexp_extract_all(html, '(?s)<!--(.*?)-->', 1) AS c FROM pages)))"
@@ -584,11 +592,9 @@ def comment_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def entry_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each id the blocks of all pages whose comment contains it: entries with the blocks that are theirs."""
     ids = _ids(spark, sf_dir)
-    table = tree.nodes(read(spark, sf_dir, "pages"), "page_id")
-    comments = tree.with_next(table, "div").where("tag = '#comment'").select("key", F.col("next").alias("pos"), "data")
-    met = mentions.mentions(ids, comments.where("pos IS NOT NULL")).join(ids, "word")
-    blocks = tree.texts(table, table.where("tag = 'div' AND array_contains(classes, 'ad')"))
-    return met.join(blocks.withColumnRenamed("pre", "pos"), ["key", "pos"]).select("id", F.col("key").alias("page_id"), F.col("text").alias("block"))
+    comments = _announced(spark, sf_dir).withColumnRenamed("next", "pos")
+    met = mentions.mentions(ids, comments).join(ids, "word")
+    return met.select("id", F.col("key").alias("page_id"), F.col("pos.text").alias("block"))
 
 
 #: Selectors with the pattern that finds the same elements of the given pages. Those of the dictionary and accent

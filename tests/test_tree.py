@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from kotonami.plans import fixtures
-from kotonami.plans.queries import SELECTORS
+from kotonami.plans.queries import QUERIES, SELECTORS
 from kotonami.sources import html, tree
 from kotonami.sources.tree import Step
 
@@ -104,3 +104,45 @@ def test_broken_empty_null_and_deep_pages(spark):
     got = {r.key: (r.n, r.first, r.last) for r in rows}
     assert got == {0: (1, "#broken", None), 1: (1, "#document", 0), 2: (1, "#broken", None), 3: (30_002, "#document", 30_001), 4: (2, "#document", 1), 5: (2, "#document", 1)}
     assert tree.nodes(frame.where("false"), "page").count() == 0
+
+
+def test_gathered_texts_against_a_walk(spark, monkeypatch):
+    monkeypatch.setattr(tree, "_MOST", 7)
+    rng = random.Random(3)
+    pages = [*(random_page(rng) for _ in range(60)), None, "<![foo[ x ]]>", "<div>" * 500 + "a <br> b"]
+    selectors = {"d": [Step("div")], "x": [Step(None, "x")], "b": [Step("br")]}
+    table = tree.nodes(pages_of(spark, pages), "page", selectors=selectors, texts_of=("d", "x"), only=True)
+    got = {(r.key, r.pre, r.parent, r.tag, tuple(r.matched), r.data, r.text) for r in tree.gathered(table, "text", tree.joined("|")).collect()}
+    want = set()
+    for k, page in enumerate(pages):
+        if k in (60, 61):
+            continue
+        top = html.parse(page)
+        place = {id(n): i for i, n in enumerate([top, *top.walk()])}
+        for n in top.walk():
+            met = tuple(name for name, steps in selectors.items() if meets(n, steps))
+            if met or n.tag == "#comment":
+                want.add((k, place[id(n)], place[id(n.parent)], n.tag, met, n.data if n.tag == "#comment" else None, n.text("|") if set(met) & {"d", "x"} else ""))
+    assert got == want
+
+
+def test_queries_over_pages_parse_them_once(spark, tmp_path):
+    item = '<li><a href="/{0}">t{0}</a><a>u</a></li>'
+    pages = [
+        "<nav><ul>" + item.format(1) + "<b>x</b><li>no link</li> text " + item.format(2) + "</ul><ul>" + item.format(3) + "</ul></nav><ul>" + item.format(4) + "</ul>",
+        "<nav><ul><li><a href='/o'>o</a><nav><ul><li><a href='/i'> i </a></li></ul></nav></li></ul></nav>",
+        "<br>x<p><b> y</b>z</p><br><p></p><br><!-- ad 1 -->t<div class='ad'> a <b>b</b></div><!-- ad 2 --><div>c</div><div class='ad'>d</div>",
+        None,
+    ]
+    spark.createDataFrame([(k, "", p) for k, p in enumerate(pages, 1)], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    want = {
+        "tree_list_items": [(1, 0, "/1", "t1u", "no link"), (1, 1, None, "t1u", "no link"), (1, 2, "/2", "t2u", None), (1, 3, None, "t2u", None), (1, 4, "/3", "t3u", None), (1, 5, None, "t3u", None), (2, 0, "/o", "oi", None), (2, 1, "/i", "i", None)],
+        "tree_break_lines": [(3, 0, " y"), (3, 1, None), (3, 2, None)],
+        "tree_comment_blocks": [(3, "ad 1", "ab")],
+        "entry_blocks": [(1, 3, "ab")],
+    }
+    for name, rows in want.items():
+        out = QUERIES[name](spark, str(tmp_path))
+        assert sorted(map(tuple, out.collect()), key=str) == sorted(rows, key=str), name
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert sum("MapInArrow" in line and "page" in line for line in plan.splitlines()) == 1, name
